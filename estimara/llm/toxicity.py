@@ -1,6 +1,7 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine, found in a block-max inverted index.
 
-Terms are words and word beginnings of 4 and 5 letters. Those that go with the
+Terms are words, word beginnings of 4 to 6 letters, and beginnings that a text
+has at least 2, 3, 4 or 6 times. Those that go with the
 label in the labelled rows are the vocabulary (a bounded number). Inverse
 document frequencies are counted over all documents.
 """
@@ -33,8 +34,16 @@ MEMO = 300_000
 HELD = 1_000_000
 
 
+REPEATS = (2, 3, 4, 6)
+
+
 def terms_of(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}-" for n in (4, 5) if len(word) > n)]
+    return [word, *(f"{word[:n]}-" for n in (4, 5, 6) if len(word) > n)]
+
+
+def repeats_of(term: str, n: int) -> list[str]:
+    """Terms that stand for a beginning's being there so often."""
+    return [f"{term}{k}" for k in REPEATS if n >= k]
 
 
 def _words(text: bytes) -> Counter:
@@ -50,10 +59,14 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch, texts in slices(batches):
         for label, text in zip(batch.column("label").to_pylist(), texts.to_pylist()):
-            found = {t for w in _words(text) for t in terms_of(w)}
-            seen.update(found)
+            found: dict[str, int] = {}
+            for word, n in _words(text).items():
+                for term in terms_of(word):
+                    found[term] = found.get(term, 0) + n
+            found |= {r: 1 for t, n in found.items() if n > 1 and t[-1] == "-" for r in repeats_of(t, n)}
+            seen.update(found.keys())
             if label:
-                toxic.update(found)
+                toxic.update(found.keys())
         if len(seen) > HELD:
             yield out()
             seen, toxic = Counter(), Counter()
@@ -66,9 +79,17 @@ class Vectors:
 
     def __init__(self, vocabulary: dict[str, int]):
         self.vocabulary, self.memo = vocabulary, {}
+        #: By a beginning's place: (times, place of the term for so many). Beginnings that aren't terms have places after the terms'.
+        self.repeats: dict[int, list[tuple[int, int]]] = {}
+        self.known = dict(vocabulary)
+        for term, i in vocabulary.items():
+            stem, mark, times = term.rpartition("-")
+            if mark and times:
+                at = self.known.setdefault(f"{stem}-", len(self.known))
+                self.repeats.setdefault(at, []).append((int(times), i))
 
     def __call__(self, text: bytes) -> dict[int, int]:
-        memo, known, out = self.memo, self.vocabulary, {}
+        memo, known, out = self.memo, self.known, {}
         for word, n in _words(text).items():
             at = memo.get(word)
             if at is None:
@@ -77,7 +98,9 @@ class Vectors:
                 at = memo[word] = [known[t] for t in terms_of(word) if t in known]
             for i in at:
                 out[i] = out.get(i, 0) + n
-        return out
+        for i in [i for i in out if i in self.repeats]:
+            out |= {place: 1 for times, place in self.repeats[i] if out[i] >= times}
+        return {i: n for i, n in out.items() if i < len(self.vocabulary)} if out else out
 
 
 def _vectors(vocabulary):
