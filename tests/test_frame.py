@@ -101,7 +101,7 @@ def test_correlation(spark):
 
 
 def test_ttests_and_anova(spark):
-    x, y, z = [1.0, 2, 3, 4, 5], [2.0, 1, 4, 4, 9], [7.0, 8, 6, 9, 7.5]
+    x, y, z = [1.0, 2.0, 3.0, 4.0, 5.0], [2.0, 1.0, 4.0, 4.0, 9.0], [7.0, 8.0, 6.0, 9.0, 7.5]
     data = spark.createDataFrame([(float(v), g) for g, vs in ((1, x), (10, y), (9, z)) for v in vs] + [(None, 1)], "v double, g int")
     one = hypothesis.ttest_one(data.where("g = 1"), "v", 2.5).first()
     assert (one.diff, one.t, one.df) == (3.0, pytest.approx(0.5 / (np.std(x, ddof=1) / 5**0.5)), 4.0)
@@ -117,7 +117,7 @@ def test_ttests_and_anova(spark):
     f, groups = hypothesis.anova(data, "v", "g")
     grand = np.mean(x + y + z)
     ssb, ssw = sum(5 * (np.mean(v) - grand) ** 2 for v in (x, y, z)), sum(4 * np.var(v, ddof=1) for v in (x, y, z))
-    assert f.first().f == pytest.approx((ssb / 2) / (ssw / 12)) and [r.label for r in groups.collect()] == ["1", "10", "9"]
+    assert f.first()["f"] == pytest.approx((ssb / 2) / (ssw / 12)) and [r.label for r in groups.collect()] == ["1", "10", "9"]
     for wrong in (lambda: hypothesis.ttest_by(data, "v", "g"), lambda: hypothesis.ttest_one(data.withColumn("v", F.lit(1.0)), "v", 0), lambda: hypothesis.anova(data.where("g = 1"), "v", "g"), lambda: hypothesis.ttest_one(data.limit(0), "v", 0)):
         with pytest.raises(StatError):
             wrong()
