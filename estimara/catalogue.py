@@ -587,6 +587,31 @@ def csv_round_trip(spark, d):
     return back.agg(F.count("l_quantity").alias("rows"), (F.avg("l_quantity") > 0).alias("positive")).select(F.lit("l_quantity").alias("name"), "rows", "positive")
 
 
+@query("select l_quantity, l_extendedprice from lineitem where isfinite(l_quantity) and isfinite(l_extendedprice)")
+def scatter_data(spark, d):
+    return describe.scatter(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
+
+
+@query("select * from (values (1, 'regress', true), (2, 'xtreg', true), (3, 'summarize', true), (4, 'ttest_by', true), (5, 'glm', true)) t(step, command, reproduced)")
+def replay_ok(spark, d):
+    """Analyses of lineitem are recorded and run again on the project's own copy."""
+    import tempfile
+
+    from .plans.staging import stage
+    from .session import Project
+
+    data = stage(table(spark, d, "lineitem").withColumn("large", (F.col("l_quantity") > 25).cast("double")), "replay")
+    session = Session(spark, data)
+    session.project = Project.create(f"{tempfile.mkdtemp()}/project", "lines", data.inputFiles()[0].rsplit("/", 1)[0] + "-project")
+    session.project.add_dataset(data, "lineitem")
+    session.regress("l_extendedprice", ["l_quantity"], vce="cluster", cluster="l_suppkey")
+    session.xtreg("l_extendedprice", ["l_quantity"], "l_suppkey", model="fe")
+    session.summarize(["l_quantity", "l_tax"])
+    session.ttest_by("l_tax", "l_linestatus")
+    session.glm("logit", "large", ["l_discount"])
+    return session.project.replay(spark).select("step", "command", "reproduced")
+
+
 @query(f"select 'n' as name, {s('count(*)')} as value from lineitem union all select 'mean', {s('avg(l_tax)')} from lineitem")
 def moments_one_pass(spark, d):
     m = moments(table(spark, d, "lineitem"), ["l_tax", "l_discount"])

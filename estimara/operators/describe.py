@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from ..errors import StatError, too_few
 from ..functions.dist import t_p
 from ..functions.expr import with_rank
+from ..functions.order import running_total
 from ..plans.moments import moments
 from .frame import check_names, check_numeric, complete_cases, has_value, numeric_names
 
+#: Distinct values that one task may order.
+FEW_VALUES = 100_000
 SUMMARY = "variable string, n long, missing long, mean double, sd double, variance double, min double, max double, sum double, q1 double, median double, q3 double, skewness double, kurtosis double, distinct long"
 
 
@@ -46,9 +49,20 @@ def frequency(df: DataFrame, name: str) -> DataFrame:
     check_names(df, [name])
     value = F.coalesce(F.when(has_value(df, name), F.col(name).cast("string")), F.lit("(missing)"))
     counts = df.groupBy(value.alias("value")).agg(F.count("*").alias("count"))
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    before = Window.orderBy(F.desc("count"), "value").rowsBetween(Window.unboundedPreceding, 0)  # of distinct values
-    return counts.select("value", "count", (100.0 * F.col("count") / total).alias("percent"), (100.0 * F.sum("count").over(before) / total).alias("cumulative"))
+    total, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
+    if distinct <= FEW_VALUES:
+        before = Window.orderBy(F.desc("count"), "value").rowsBetween(Window.unboundedPreceding, 0)
+        upto = counts.withColumn("upto", F.sum("count").over(before))
+    else:
+        upto = running_total(counts.withColumn("less", -F.col("count")), ["less", "value"], "count", "upto")
+    return upto.select("value", "count", (100.0 * F.col("count") / total).alias("percent"), (100.0 * F.col("upto") / total).alias("cumulative"))
+
+
+def scatter(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Pairs in which both numbers are finite."""
+    check_numeric(df, [x, y])
+    pairs = df.select(F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
+    return pairs.where((F.abs(x) < float("inf")) & (F.abs(y) < float("inf")))
 
 
 def histogram(df: DataFrame, name: str, bins: int = 24) -> DataFrame:

@@ -32,6 +32,13 @@ def _normal_cdf(z: Column) -> Column:
     return F.pandas_udf(cdf, "double")(z)
 
 
+def _log_factorial(v: Column) -> Column:
+    def logs(x: pd.Series) -> pd.Series:
+        return pd.Series([math.lgamma(v + 1) for v in x])
+
+    return F.pandas_udf(logs, "double")(v)
+
+
 def _parts(family: str, eta: Column, y: Column) -> tuple[Column, Column, Column]:
     """Mean, score and expected weight of each row, per unit of the linear predictor."""
     if family == "poisson":
@@ -87,8 +94,9 @@ def glm(df: DataFrame, family: str, y: str, x: list[str], robust: bool = False,
 
     beta = np.zeros(k)
     beta[0] = {"logit": math.log(mean / (1 - mean)) if mean < 1 else 0.0, "poisson": math.log(mean), "probit": normal_quantile(mean) if mean < 1 else 0.0}[family]
-    # ln y! of the outcomes that occur; they are few.
-    constant = -sum(c * math.lgamma(v + 1) for v, c in rows.groupBy("__y").count().collect()) if family == "poisson" else 0.0
+    constant = 0.0
+    if family == "poisson":  # ln y!, once for each outcome that occurs
+        constant = -rows.groupBy("__y").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * _log_factorial(F.col("__y")))).first()[0]
 
     def step_at(beta: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
         held, eta = at(beta)

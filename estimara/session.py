@@ -30,7 +30,7 @@ HELP = {
     "ttest_one": "mean against a number", "ttest_by": "two groups", "ttest_two": "two variables", "ttest_paired": "differences of two variables", "anova": "one-way analysis of variance",
     "regress": "linear regression", "xtreg": "panel: fe, be or pooled", "ivregress": "two-stage least squares", "did": "difference in differences", "glm": "logit, probit or poisson",
     "generate": "a new variable", "replace": "new values", "drop_vars": "delete variables", "keep_vars": "keep variables", "drop_if": "delete rows", "keep_if": "keep rows", "rename": "a new name", "label_variable": "a description",
-    "sort": "row order", "estimates_list": "stored models", "compare": "models side by side", "export_table": "a publication table", "export_data": "the table as a file", "note": "keep a remark", "notes": "show remarks", "frequency": "counts of values",
+    "sort": "row order", "estimates_list": "stored models", "compare": "models side by side", "export_table": "a publication table", "export_data": "the table as a file", "note": "keep a remark", "notes": "show remarks", "frequency": "counts of values", "histogram": "counts in equal-width bins", "scatter": "pairs of finite numbers",
 }
 
 
@@ -174,10 +174,15 @@ class Session:
         frame.check_names(self.df, [name])
         return self.frequency(name) if frame.is_text(self.df, name) else self.summarize([name])
 
-    # Statistics
+    # Statistics. With a project, summaries, correlations and tests are recorded like models.
+
+    def _noted(self, command: str, arguments: dict[str, Any], result: DataFrame) -> DataFrame:
+        if self.project:
+            self.project.append(command_text(command, arguments), rows_of(result))
+        return result
 
     def summarize(self, names: list[str] | None = None) -> DataFrame:
-        return describe.summarize(self.df, names)
+        return self._noted("summarize", {"names": names}, describe.summarize(self.df, names))
 
     def describe(self, names: list[str] | None = None) -> DataFrame:
         return frame.describe(self.df, names)
@@ -185,31 +190,38 @@ class Session:
     def frequency(self, name: str) -> DataFrame:
         return describe.frequency(self.df, name)
 
+    def histogram(self, name: str, bins: int = 24) -> DataFrame:
+        return describe.histogram(self.df, name, bins)
+
+    def scatter(self, x: str, y: str) -> DataFrame:
+        return describe.scatter(self.df, x, y)
+
     def correlate(self, names: list[str] | None = None, spearman: bool = False) -> DataFrame:
-        return describe.correlate(self.df, names, spearman)
+        return self._noted("correlate", {"names": names, "spearman": spearman or None}, describe.correlate(self.df, names, spearman))
 
     def ttest_one(self, x: str, mean: float) -> DataFrame:
-        return hypothesis.ttest_one(self.df, x, mean)
+        return self._noted("ttest_one", {"x": x, "mean": mean}, hypothesis.ttest_one(self.df, x, mean))
 
     def ttest_by(self, x: str, group: str, welch: bool = False) -> DataFrame:
-        return hypothesis.ttest_by(self.df, x, group, welch)
+        return self._noted("ttest_by", {"x": x, "group": group, "welch": welch or None}, hypothesis.ttest_by(self.df, x, group, welch))
 
     def ttest_two(self, a: str, b: str) -> DataFrame:
-        return hypothesis.ttest_two(self.df, a, b)
+        return self._noted("ttest_two", {"a": a, "b": b}, hypothesis.ttest_two(self.df, a, b))
 
     def ttest_paired(self, a: str, b: str) -> DataFrame:
-        return hypothesis.ttest_paired(self.df, a, b)
+        return self._noted("ttest_paired", {"a": a, "b": b}, hypothesis.ttest_paired(self.df, a, b))
 
     def anova(self, y: str, group: str) -> tuple[DataFrame, DataFrame]:
-        return hypothesis.anova(self.df, y, group)
+        table, groups = hypothesis.anova(self.df, y, group)
+        return self._noted("anova", {"y": y, "group": group}, table), groups
 
     # Models
 
     def _store(self, command: str, arguments: dict[str, Any], fit: Fit, label: str | None) -> Fit:
-        text = json.dumps({"command": command, "arguments": {k: v for k, v in arguments.items() if v not in (None, [], {})}}, ensure_ascii=False, sort_keys=True)
+        text = command_text(command, arguments)
         self.estimates.append(Estimate(f"M{len(self.estimates) + 1}", label or f"{fit.kind}: {fit.outcome}", text, fit))
         if self.project:
-            self.project.append(text, fit)
+            self.project.append(text, result_of(fit))
         return fit
 
     def regress(self, y: str, x: list[str], label: str | None = None, **options) -> Fit:
@@ -274,6 +286,16 @@ class Session:
         return f"{command}: {HELP[command]}"
 
 
+def command_text(command: str, arguments: dict[str, Any]) -> str:
+    given = {k: v for k, v in arguments.items() if v is not None and v != []}
+    return json.dumps({"command": command, "arguments": given}, ensure_ascii=False, sort_keys=True)
+
+
+def rows_of(result: DataFrame) -> dict[str, Any]:
+    """A small result's rows, in their own order."""
+    return {"columns": result.columns, "rows": [list(r) for r in result.collect()]}
+
+
 def result_of(fit: Fit) -> dict[str, Any]:
     return {"kind": fit.kind, "n": fit.n, "terms": fit.terms, "coef": [float(x) for x in fit.coef], "se": [float(x) for x in fit.se], "p": [float(x) for x in fit.p], "figures": {k: float(v) for k, v in fit.figures.items()}}
 
@@ -292,13 +314,14 @@ class Project:
     about: dict[str, Any]
 
     @classmethod
-    def create(cls, folder: str, name: str) -> Project:
+    def create(cls, folder: str, name: str, data_uri: str | None = None) -> Project:
+        """The folder is the driver's; ``data_uri`` is where Spark keeps the datasets, which a cluster's executors must reach."""
         at = Path(folder)
         if (at / "project.json").exists():
             raise StatError("io", f"'{folder}' holds a project already.", "Projects don't share folders.", "Open it, or choose another folder.")
-        for part in ("data", "scripts", "notes"):
+        for part in ("scripts", "notes"):
             os.makedirs(at / part, exist_ok=True)
-        out = cls(at, {"name": name, "datasets": [], "environment": environment()})
+        out = cls(at, {"name": name, "datasets": [], "data_uri": data_uri or f"file://{(at / 'data').resolve()}", "environment": environment()})
         out.save()
         return out
 
@@ -313,8 +336,8 @@ class Project:
         (self.folder / "project.json").write_text(json.dumps(self.about, indent=1), encoding="utf-8")
 
     def add_dataset(self, df: DataFrame, name: str) -> str:
-        path = f"data/ds{len(self.about['datasets']) + 1}.parquet"
-        df.write.mode("overwrite").parquet(f"file://{(self.folder / path).resolve()}")
+        path = f"{self.about['data_uri']}/ds{len(self.about['datasets']) + 1}.parquet"
+        df.write.mode("overwrite").parquet(path)
         self.about["datasets"].append({"name": name, "path": path})
         self.save()
         return path
@@ -327,9 +350,9 @@ class Project:
         path.write_text(text, encoding="utf-8")
         return path.name
 
-    def append(self, command: str, fit: Fit) -> None:
+    def append(self, command: str, result: dict[str, Any]) -> None:
         with (self.folder / "registry.jsonl").open("a", encoding="utf-8") as f:
-            f.write(json.dumps(json.loads(command) | {"result": result_of(fit)}, ensure_ascii=False) + "\n")
+            f.write(json.dumps(json.loads(command) | {"result": result}, ensure_ascii=False) + "\n")
 
     def records(self) -> list[dict[str, Any]]:
         path = self.folder / "registry.jsonl"
@@ -339,12 +362,13 @@ class Project:
         """Run every recorded command on the last dataset; a row for each, with its largest difference relative to max(1, |recorded|)."""
         if not self.about["datasets"]:
             raise StatError("io", "There is no dataset to replay on.", "The project has none.", "Add one.")
-        data = spark.read.parquet(f"file://{(self.folder / self.about['datasets'][-1]['path']).resolve()}")
+        data = spark.read.parquet(self.about["datasets"][-1]["path"])
         rows = []
         for i, record in enumerate(self.records(), 1):
             session = Session(spark, data)
             try:
-                again = result_of(getattr(session, record["command"])(**record["arguments"]))
+                got = getattr(session, record["command"])(**record["arguments"])
+                again = result_of(got) if isinstance(got, Fit) else rows_of(got[0] if isinstance(got, tuple) else got)
                 worst, trouble = difference(record["result"], again), ""
             except StatError as e:
                 worst, trouble = math.inf, str(e)

@@ -80,9 +80,14 @@ def test_summary(spark):
         describe.summarize(spark.createDataFrame([("a",)], "t string"), ["t"])
 
 
-def test_frequency_and_histogram(df):
+def test_frequency_and_histogram(df, monkeypatch):
     rows = [tuple(r) for r in describe.frequency(df, "g").orderBy("cumulative").collect()]
     assert [r[:2] for r in rows] == [("a", 3), ("(missing)", 2), ("b", 1)] and rows[-1][3] == pytest.approx(100)
+    many = df.sparkSession.range(50).select((F.col("id") % 7).cast("string").alias("v"))
+    want = sorted(map(tuple, describe.frequency(many, "v").collect()))
+    monkeypatch.setattr(describe, "FEW_VALUES", 1)
+    assert sorted(map(tuple, describe.frequency(many, "v").collect())) == want
+    assert describe.scatter(df, "x", "z").count() == 3
     bins = describe.histogram(df, "x", 4).orderBy("bin").collect()
     assert [b["count"] for b in bins] == [3, 0, 0, 1]
 
