@@ -12,7 +12,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -128,48 +128,52 @@ def _document_counts(vocabulary):
 
 @dataclass
 class Index:
-    """Examples in blocks, with each term's largest weight in each block.
+    """An inverted index of the examples in blocks, with each term's largest weight in each block.
 
-    A block's bound on a cosine is the sum of the document's weights times these
-    maxima; blocks that can't reach the worst neighbour so far are skipped, so
-    the neighbours are exactly the nearest.
+    ``postings`` has of each block the terms that occur in it and, by term, the
+    weights of its examples. A block's bound on a cosine is the sum of the
+    document's weights times the block's maxima; blocks that can't reach the
+    worst neighbour so far are skipped, so the neighbours are exactly the nearest.
     """
 
-    weights: np.ndarray  # examples x terms, of unit length
     labels: np.ndarray
     ids: np.ndarray
     rate: float  # toxic share of the examples without a term of the vocabulary
+    maxima: np.ndarray  # blocks x terms
+    postings: list[tuple[np.ndarray, np.ndarray]]
     block: int = BLOCK
-    maxima: np.ndarray = field(init=False)
 
-    def __post_init__(self):
+    @classmethod
+    def of(cls, weights: np.ndarray, labels: np.ndarray, ids: np.ndarray, rate: float, block: int = BLOCK) -> tuple[Index, np.ndarray]:
+        """The index of examples x terms of unit length, and the examples in its order."""
+        if not len(weights):
+            return cls(labels, ids, rate, np.zeros((0, weights.shape[1]), np.float32), [], block), weights
         # Examples with the same heaviest term stand together, which keeps the bounds tight.
-        if len(self.weights):
-            order = np.lexsort((self.ids, self.weights.max(axis=1), self.weights.argmax(axis=1)))
-            self.weights, self.labels, self.ids = self.weights[order], self.labels[order], self.ids[order]
-        cuts = range(0, len(self.weights), self.block)
-        self.maxima = np.stack([self.weights[i : i + self.block].max(axis=0) for i in cuts]) if len(self.weights) else np.zeros((0, self.weights.shape[1]), np.float32)
+        order = np.lexsort((ids, weights.max(axis=1), weights.argmax(axis=1)))
+        weights = weights[order]
+        parts = [weights[i : i + block] for i in range(0, len(weights), block)]
+        there = [np.flatnonzero(p.max(axis=0)) for p in parts]
+        postings = [(terms, np.ascontiguousarray(p[:, terms].T)) for terms, p in zip(there, parts)]
+        return cls(labels[order], ids[order], rate, np.stack([p.max(axis=0) for p in parts]), postings, block), weights
 
     def nearest(self, queries: np.ndarray, k: int = NEIGHBOURS, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines and places of the k nearest examples of each query, best first (cosine 0: none).
+        """Cosines and places of the k nearest examples of each query, best first (place -1: none with a term in common).
 
-        Postings of the queries' terms are gathered for each block that is looked at. own: places that don't count.
+        own: a place for each query that doesn't count.
         """
         n = len(queries)
         best, where = np.zeros((n, k), np.float32), np.full((n, k), -1, np.int64)
         bounds = queries @ self.maxima.T
-        for b in np.argsort(-bounds.max(axis=0, initial=0)) if len(self.maxima) else []:
+        for b in np.argsort(-bounds.max(axis=0, initial=0)) if self.postings else []:
             look = np.flatnonzero(bounds[:, b] * 1.00001 > best[:, -1])
             if not look.size:
                 continue
-            lo = b * self.block
-            part = self.weights[lo : lo + self.block]
-            terms = np.flatnonzero(self.maxima[b])  # terms with postings in this block
-            cosines = queries[np.ix_(look, terms)] @ part[:, terms].T
+            terms, weights = self.postings[b]
+            cosines = queries[np.ix_(look, terms)] @ weights
+            here = np.broadcast_to(np.arange(b * self.block, b * self.block + weights.shape[1]), cosines.shape)
             if own is not None:
-                cosines[own[look][:, None] == np.arange(lo, lo + len(part))[None, :]] = 0
-            every = np.concatenate([best[look], cosines], axis=1)
-            places = np.concatenate([where[look], np.broadcast_to(np.arange(lo, lo + len(part)), cosines.shape)], axis=1)
+                cosines[own[look][:, None] == here] = 0
+            every, places = np.concatenate([best[look], cosines], axis=1), np.concatenate([where[look], here], axis=1)
             top = np.argsort(-every, axis=1, kind="stable")[:, :k]
             best[look], where[look] = np.take_along_axis(every, top, 1), np.take_along_axis(places, top, 1)
         where[best <= 0] = -1
@@ -265,12 +269,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = examples.mapInArrow(_vectors(shared), "doc_id long, label int, at array<int>, n array<int>").collect()
     some, none = [r for r in rows if r["at"]], [r for r in rows if not r["at"]]
     rate = (sum(r["label"] for r in none) + (n_toxic / n if n else 0)) / (len(none) + 1)
-    model = Model(vocabulary, idf, Index(np.zeros((0, len(vocabulary)), np.float32), np.zeros(0), np.zeros(0, np.int64), rate))
+    model = Model(vocabulary, idf, Index.of(np.zeros((0, len(vocabulary)), np.float32), np.zeros(0), np.zeros(0, np.int64), rate)[0])
     if some:
         weights = model.dense([dict(zip(r["at"], r["n"])) for r in some])
-        model.index = index = Index(weights, np.array([float(r["label"]) for r in some]), np.array([r["doc_id"] for r in some]), rate)
+        index, weights = Index.of(weights, np.array([float(r["label"]) for r in some]), np.array([r["doc_id"] for r in some]), rate)
+        model.index = index
         # Votes of the others on each example, beside the prior for those without a term.
-        votes = np.concatenate([index.votes(*index.nearest(index.weights[i : i + QUERIES], own=np.arange(i, min(i + QUERIES, len(some))))) for i in range(0, len(some), QUERIES)])
+        votes = np.concatenate([index.votes(*index.nearest(weights[i : i + QUERIES], own=np.arange(i, min(i + QUERIES, len(some))))) for i in range(0, len(some), QUERIES)])
         model.slope, model.shift = platt(np.concatenate([votes, np.full(len(none), rate)]), np.concatenate([index.labels, [float(r["label"]) for r in none]]))
     return model
 

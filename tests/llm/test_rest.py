@@ -48,12 +48,12 @@ def test_nearest_is_exact():
     draw = np.random.default_rng(3)
     weights = np.where(draw.random((500, 40)) < 0.08, draw.random((500, 40)), 0).astype(np.float32) + np.eye(500, 40, dtype=np.float32) * 0.1
     weights /= np.maximum(np.sqrt((weights**2).sum(axis=1, keepdims=True)), 1e-9)
-    index = toxicity.Index(weights, draw.integers(0, 2, 500).astype(float), np.arange(500), 0.1, block=16)
+    index, ordered = toxicity.Index.of(weights, draw.integers(0, 2, 500).astype(float), np.arange(500), 0.1, block=16)
     queries = weights[draw.permutation(500)[:80]]
     cosines, places = index.nearest(queries, 10)
-    exact = -np.sort(-(queries @ index.weights.T), axis=1)[:, :10]
+    exact = -np.sort(-(queries @ ordered.T), axis=1)[:, :10]
     assert np.allclose(cosines, exact, atol=1e-5)
-    assert np.allclose(np.take_along_axis(queries @ index.weights.T, np.maximum(places, 0), 1)[places >= 0], cosines[places >= 0], atol=1e-5)
+    assert np.allclose(np.take_along_axis(queries @ ordered.T, np.maximum(places, 0), 1)[places >= 0], cosines[places >= 0], atol=1e-5)
 
 
 def test_toxicity(spark, odd, empty):
