@@ -14,6 +14,7 @@ apart from the payloads, so the index is read without them.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from .shared import binary, partitions, small, stage
 
 BLOCK_IDS = 1 << 16
-#: Distinct words whose ids a task remembers at a time.
+#: Distinct words whose ids a Python worker remembers at a time, for one task after the other.
 MEMO = 400_000
+MEMOS: dict[str, dict[bytes, bytes]] = {}
 PARTS = "kind string, shard int, block int, row int, doc_id long, start long, n int, plane_bytes array<int>, payload binary"
 
 
@@ -43,21 +45,51 @@ def word_coder(path: str):
     return coder
 
 
-def word_ids(path: str, memo: dict[bytes, list[int]], texts: list[bytes]) -> list[np.ndarray]:
-    """Ids of each text by a tokenizer that drops white space and never joins what white space parts.
+#: Pre-tokens of plain words: letters of ASCII and Latin-1, single digits, ASCII punctuation but for the apostrophe.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+ALL_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]*")
 
-    A word's ids don't depend on its neighbours then, so each distinct word is encoded once.
+
+def byte_letters() -> dict[int, str]:
+    """The usual printable stand-ins of byte-level vocabularies: printable bytes as themselves, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
+def encoded_word(coder, word: bytes) -> bytes:
+    """A word's ids, as unsigned 32-bit numbers.
+
+    Plain words need no Unicode normalisation and split in an obvious way, so
+    the tokenizer's model takes their lower-case pre-tokens directly; all
+    others go through the whole tokenizer.
+    """
+    text = word.decode()
+    if not ALL_PLAIN.fullmatch(text):
+        return np.array(coder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    model, ids = coder.model, []
+    for part in PLAIN.findall(text.lower()):
+        letters = part if part.isascii() else "".join(BYTE_LETTERS[b] for b in part.encode())
+        ids += [t.id for t in model.tokenize(letters)]
+    return np.array(ids, "<u4").tobytes()
+
+
+def word_ids(path: str, memo: dict[bytes, bytes], texts: list[bytes]) -> list[bytes]:
+    """Ids of each text, little endian, by a tokenizer that drops white space and never joins what white space parts.
+
+    A word's ids don't depend on its neighbours then, so a distinct word is encoded once.
     """
     coder, words = word_coder(path), [t.split() for t in texts]
-    new = list({w for ws in words for w in ws if w not in memo})
+    new = {w for ws in words for w in ws if w not in memo}
     if len(memo) + len(new) > MEMO:
         memo.clear()
-        new = list({w for ws in words for w in ws})
-    for lo in range(0, len(new), 10_000):
-        part = new[lo : lo + 10_000]
-        for word, got in zip(part, coder.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-            memo[word] = got.ids
-    return [np.fromiter((i for w in ws for i in memo[w]), np.uint32) for ws in words]
+        new = {w for ws in words for w in ws}
+    for word in new:
+        memo[word] = encoded_word(coder, word)
+    return [b"".join(map(memo.__getitem__, ws)) for ws in words]
 
 
 def to_planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:
@@ -86,7 +118,8 @@ def _write(path: str, end_id: int, block_ids: int, bits: bool):
         return pa.RecordBatch.from_arrays([pa.array([kind] * len(n)), pa.array([shard] * len(n), pa.int32()), filled["block"], filled["row"], filled["doc_id"], filled["start"], pa.array(n, pa.int32()), filled["plane_bytes"], filled["payload"]], ["kind", "shard", "block", "row", "doc_id", "start", "n", "plane_bytes", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, memo = TaskContext.get().partitionId(), {}
+        shard, end = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
+        memo = MEMOS.setdefault(path, {})
         held, held_n, block, row, start = [], 0, 0, 0, 0
 
         def full(last: bool = False):
@@ -103,11 +136,11 @@ def _write(path: str, end_id: int, block_ids: int, bits: bool):
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 ids = word_ids(path, memo, binary(part.column("text")).to_pylist())
-                sizes = [len(x) + 1 for x in ids]
+                sizes = [len(x) // 4 + 1 for x in ids]
                 starts = start + np.cumsum([0, *sizes[:-1]])
                 yield batch_of("doc", shard, sizes, row=list(range(row, row + len(ids))), doc_id=part.column("doc_id").to_pylist(), start=starts.tolist())
                 row, start = row + len(ids), start + sum(sizes)
-                held += [y for x in ids for y in (x, np.array([end_id], np.uint32))]
+                held.append(np.frombuffer(end.join([*ids, b""]), "<u4"))
                 held_n += sum(sizes)
                 if held_n >= block_ids:
                     yield from full()
