@@ -119,5 +119,24 @@ def _lines_sql() -> str:
     select doc_id, count(*)::bigint as n_lines, sum(gone::int)::bigint as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256 from judged group by doc_id"""
 
 
+def _urls_sql() -> str:
+    """The rounds of the propagation are a recursive sum."""
+    rules = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '{r[len(r.partition('/')[0]):]}')" for v, r in RULES)
+    link = urls.LINK.replace("'", "''")
+    flow = lambda name, seed, edges: f"""{name}(host, value, round) as (select host, {1 - urls.DAMPING} * {seed}, 0 from seeds where {seed} > 0 union all
+        select dst, {urls.DAMPING} * sum(value * share), round + 1 from {name} join {edges} on src = host where round < {urls.ROUNDS} group by dst, round)"""
+    return f"""with recursive parsed as (select page_id, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+    rules(v, rule, rule_host, rule_path) as (values {rules}),
+    best as (select page_id, arg_max(rule, length(rule)) as rule, arg_max(v, length(rule)) as v from parsed, rules where (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path) group by page_id),
+    judged as (select page_id, host, path, rule, v from parsed left join best using (page_id)),
+    seeds as (select host, avg((coalesce(v, '') = 'allow')::int) as allow, avg((coalesce(v, '') = 'block')::int) as block from judged where host <> '' group by host),
+    links as (select src, dst, count(*)::double as n from (select host as src, translate(unnest(regexp_extract_all(html, '{link}', 1)), '{_UPPER}', '{_LOWER}') as dst from parsed) where src <> '' and dst <> src group by src, dst),
+    onward as (select src, dst, n / sum(n) over (partition by src) as share from links),
+    back as (select dst as src, src as dst, share / sum(share) over (partition by dst) as share from onward),
+    {flow("trust", "allow", "onward")}, {flow("distrust", "block", "back")},
+    bad as (select host from (select host, value from distrust union all select host, -value from trust) group by host having sum(value) > {urls.THRESHOLD})
+    select page_id, host, path, rule, coalesce(v, case when host in (select host from bad) then 'block' else 'allow' end) as verdict from judged"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.license_sql(), "op2_quality_rules": _quality_sql(), "op7_decontaminate": _decontam_sql(), "op9_line_dedup": _lines_sql()}
+    return {"op1_license_scan": licenses.license_sql(), "op2_quality_rules": _quality_sql(), "op6_url_filter": _urls_sql(), "op7_decontaminate": _decontam_sql(), "op9_line_dedup": _lines_sql()}
