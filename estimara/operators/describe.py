@@ -15,28 +15,35 @@ from ..functions.order import running_total
 from ..plans.moments import moments
 from .frame import check_names, check_numeric, complete_cases, has_value, numeric_names
 
-#: Distinct values that one task may order.
-FEW_VALUES = 100_000
+#: Distinct values that one task may order, and rows whose values one aggregation may hold to find quartiles.
+FEW_VALUES, FEW_ROWS = 100_000, 20_000_000
+QUARTILES = (0.25, 0.5, 0.75)
 SUMMARY = "variable string, n long, missing long, mean double, sd double, variance double, min double, max double, sum double, q1 double, median double, q3 double, skewness double, kurtosis double, distinct long"
 
 
 def summarize(df: DataFrame, names: list[str] | None = None, compat: bool = False) -> DataFrame:
-    """A row for each variable, in one aggregation; each variable loses its own missing rows only.
+    """A row for each variable; each variable loses its own missing rows only.
 
-    Quartiles are of type 7. Skewness and kurtosis are the adjusted G1 and G2;
+    One aggregation gives all figures, but for exact quartiles and distinct
+    counts of very many rows: those come from ordered counts of values, dealt
+    by range. Quartiles are of type 7. Skewness and kurtosis are the adjusted G1 and G2;
     compat: skewness as n m3 / ((n-1)(n-2) m2^1.5) with sums' means, once published so.
     """
     names = names or numeric_names(df)
     check_numeric(df, names)
+    few = df.count() <= FEW_ROWS
     facts = []
-    for i, name in enumerate(names):
-        x = F.when(has_value(df, name), F.col(f"`{name}`").cast("double"))
-        facts += [F.count(x), F.avg(x), F.stddev_samp(x), F.var_samp(x), F.min(x), F.max(x), F.sum(x), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))), F.skewness(x), F.kurtosis(x), F.count_distinct(x)]
+    for name in names:
+        x = valued(df, name)
+        facts += [F.count(x), F.avg(x), F.stddev_samp(x), F.var_samp(x), F.min(x), F.max(x), F.sum(x), F.skewness(x), F.kurtosis(x)]
+        if few:
+            facts += [F.percentile(x, F.array(*map(F.lit, QUARTILES))), F.count_distinct(x)]
     width = len(facts) // max(1, len(names))
     row = df.agg(F.count("*"), *(f.alias(f"f{i}") for i, f in enumerate(facts))).first()
     out = []
     for i, name in enumerate(names):
-        n, mean, sd, var, low, high, total, q, g, k, distinct = row[1 + i * width : 1 + (i + 1) * width]
+        n, mean, sd, var, low, high, total, g, k, *rest = row[1 + i * width : 1 + (i + 1) * width]
+        q, distinct = rest if few else ordered_facts(df, name, n)
         skew = None if n < 3 or g is None or not var else (g * n / ((n - 1) * (n - 2)) if compat else g * math.sqrt(n * (n - 1)) / (n - 2))
         kurt = None if n < 4 or k is None or not var else (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * k + 6)
         q = q or [None] * 3
@@ -44,6 +51,22 @@ def summarize(df: DataFrame, names: list[str] | None = None, compat: bool = Fals
     return df.sparkSession.createDataFrame(out, SUMMARY)
 
 
+def valued(df: DataFrame, name: str):
+    return F.when(has_value(df, name), F.col(f"`{name}`").cast("double"))
+
+
+def ordered_facts(df: DataFrame, name: str, n: int) -> tuple[list[float] | None, int]:
+    """Exact quartiles of type 7, and distinct values, of any number of rows: counts by value, dealt by range, with running totals."""
+    if not n:
+        return None, 0
+    counts = df.select(valued(df, name).alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("c"))
+    upto = running_total(counts, ["x"], "c", "upto")
+    spots = [(n - 1) * p for p in QUARTILES]
+    ranks = [r for h in spots for r in (math.floor(h), math.ceil(h))]
+    row = upto.agg(F.count("*"), *(F.min(F.when(F.col("upto") > r, F.col("x"))) for r in ranks)).first()
+    return [row[1 + 2 * i] + (h - math.floor(h)) * (row[2 + 2 * i] - row[1 + 2 * i]) for i, h in enumerate(spots)], row[0]
+
+
 def frequency(df: DataFrame, name: str) -> DataFrame:
     """value, count, percent and cumulative percent; most frequent first, then by value; missing is a value."""
     check_names(df, [name])

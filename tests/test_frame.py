@@ -66,6 +66,13 @@ def test_rows_and_columns(df):
         assert e.value.what and e.value.why and e.value.action
 
 
+def test_quartiles_of_many_rows(spark, monkeypatch):
+    data = spark.createDataFrame([(float(i * 37 % 101), float(i % 3) if i % 5 else None) for i in range(230)], "v double, w double")
+    want = [tuple(r) for r in describe.summarize(data).collect()]
+    monkeypatch.setattr(describe, "FEW_ROWS", 0)
+    assert [tuple(r) for r in describe.summarize(data).collect()] == [tuple(pytest.approx(x, rel=1e-12) if isinstance(x, float) else x for x in r) for r in want]
+
+
 def test_summary(spark):
     data = spark.createDataFrame([(float(v), None) for v in (1, 2, 3, 4, 5, 30)] + [(None, None)], "v double, w double")
     v, w = describe.summarize(data).collect()
