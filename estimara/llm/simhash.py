@@ -82,12 +82,12 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
 
 
 def blocks(bits: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of the fewest blocks of which one differs in at most a bit."""
+    """(first bit, bits) of the fewest blocks of which one differs in at most a bit; 22 bits of a block are enough."""
     n = bits // 2 + 1
     if not 0 <= bits <= 7:
         raise ValueError("the distance may be 0 to 7 bits: blocks need 15 bits each")
     cuts = [round(64 * i / n) for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])] if n > 1 else [(0, 22)]
+    return [(a, min(b - a, 22)) for a, b in zip(cuts, cuts[1:])]
 
 
 def _syndromes() -> np.ndarray:
