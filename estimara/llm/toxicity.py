@@ -76,7 +76,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Vectors:
-    """Term counts over the vocabulary; the terms of a word are looked up once."""
+    """Term counts over the vocabulary; what white space parts is split into words, and looked up, once."""
 
     def __init__(self, vocabulary: dict[str, int]):
         self.vocabulary, self.memo = vocabulary, {}
@@ -91,12 +91,12 @@ class Vectors:
 
     def __call__(self, text: bytes) -> dict[int, int]:
         memo, known, out = self.memo, self.known, {}
-        for word, n in _words(text).items():
-            at = memo.get(word)
+        for piece, n in Counter(text.decode("utf-8", "replace").lower().split()).items():
+            at = memo.get(piece)
             if at is None:
                 if len(memo) > MEMO:
                     memo.clear()
-                at = memo[word] = [known[t] for t in terms_of(word) if t in known]
+                at = memo[piece] = [known[t] for word in WORDS.findall(piece) for t in terms_of(word) if t in known]
             for i in at:
                 out[i] = out.get(i, 0) + n
         for i in [i for i in out if i in self.repeats]:

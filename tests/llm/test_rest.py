@@ -56,6 +56,13 @@ def test_nearest_is_exact():
     assert np.allclose(np.take_along_axis(queries @ ordered.T, np.maximum(places, 0), 1)[places >= 0], cosines[places >= 0], atol=1e-5)
 
 
+def test_vectors_count_terms():
+    vector = toxicity.Vectors({"idiot": 0, "idio-": 1, "clow-3": 2, "clowns": 3, "été": 4})
+    assert vector("Idiot! idiots, (idiot)idiot ÉTÉ été\u3000Été".encode()) == {0: 3, 1: 4, 4: 3}
+    assert vector(b"clowns clown clowning") == {2: 1, 3: 1}
+    assert vector(b"") == vector(b"nothing of it") == {}
+
+
 def test_toxicity(spark, odd, empty):
     draw = np.random.default_rng(5)
     words = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("alo", "eri", "umo", "inta", "osk")]
