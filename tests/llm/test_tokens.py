@@ -29,6 +29,17 @@ def test_byte_bpe(odd, empty, size, overlap):
         assert sorted((r.doc_id or -1, r.decoded_sha256) for r in rows) == sorted((r.doc_id or -1, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in odd.collect())
 
 
+def test_words_alone_are_encoded_like_the_tokenizer_does():
+    path = P.path("word_bpe_49k.json")
+    coder = Tokenizer.from_file(path)
+    coder.encode_special_tokens = True
+    parts = ["The", "THE", "éèÉ", "ß", "ÿ", "ñandú", "œ", "İ", "e\u0301", "it's", "'ll", "12", "3a", "...", "$$$", "a!b", "x&y", "<b>", "漢字", "🙂", "\u00a0", "\u3000", "ª", "µ", "×", "÷", "`~", "[", "]", "^_", "Σ", "<|endoftext|>", "\x00", "don't", "O'Re"]
+    words = [*parts, *(a + b for a in parts for b in parts)]
+    for word in words:
+        for w in word.encode().split():
+            assert np.frombuffer(tokenfile.encoded_word(coder, w), "<u4").tolist() == coder.encode(w.decode(), add_special_tokens=False).ids, w
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_planes(bits):
     ids = np.random.default_rng(1).integers(0, 49408, 1003).astype("<u4")
