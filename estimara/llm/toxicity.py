@@ -174,6 +174,8 @@ class Index:
             here = np.broadcast_to(np.arange(b * self.block, b * self.block + weights.shape[1]), cosines.shape)
             if own is not None:
                 cosines[own[look][:, None] == here] = 0
+            nearer = cosines.max(axis=1) > best[look, -1]
+            look, cosines, here = look[nearer], cosines[nearer], here[nearer]
             every, places = np.concatenate([best[look], cosines], axis=1), np.concatenate([where[look], here], axis=1)
             top = np.argsort(-every, axis=1, kind="stable")[:, :k]
             best[look], where[look] = np.take_along_axis(every, top, 1), np.take_along_axis(places, top, 1)
