@@ -37,7 +37,7 @@ def summarize(df: DataFrame, names: list[str] | None = None, compat: bool = Fals
         x = valued(df, name)
         facts += [F.count(x), F.avg(x), F.stddev_samp(x), F.var_samp(x), F.min(x), F.max(x), F.sum(x), F.skewness(x), F.kurtosis(x)]
         if few:
-            facts += [F.percentile(x, F.array(*map(F.lit, QUARTILES))), F.count_distinct(x)]
+            facts += [F.percentile(x, F.array(*map(F.lit, QUARTILES))), F.size(F.collect_set(x))]
     width = len(facts) // max(1, len(names))
     row = df.agg(F.count("*"), *(f.alias(f"f{i}") for i, f in enumerate(facts))).first()
     out = []
