@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estimara.llm import bpe, decontam, linededup, shared, simhash, toxicity
+from estimara.llm import bpe, decontam, linededup, shared, similar, toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -33,8 +33,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id stays."""
-    return simhash.drop_near_copies(docs, n=5, bits=4)
+    """Of each group of near copies (fingerprints within 4 bits, or five-word Jaccard similarity of 0.8 or more), the document with the smallest id stays."""
+    return similar.drop_similar(docs, n=5, bits=4)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

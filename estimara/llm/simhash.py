@@ -235,7 +235,12 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     """
     rows = stage(fingerprints(docs, doc_id, text, n), "fingerprints")
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(fingerprint_links(classes.select("fp"), bits)).select(F.col("node").alias("fp"), "root")
+    return grouped(rows, classes, fingerprint_links(classes.select("fp"), bits))
+
+
+def grouped(rows: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id of ``rows`` (doc_id, fp); ``classes`` has the least id of each fingerprint."""
+    roots = components(links).select(F.col("node").alias("fp"), "root")
     rooted = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = stage(rooted, "roots")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
