@@ -36,15 +36,26 @@ PARTS = "kind string, shard int, block int, row int, doc_id long, start long, n
 
 
 @lru_cache(maxsize=2)
-def word_coder(path: str):
+def word_coder(path: str, added: bool = False):
+    """added: literals of added tokens are these tokens, as is the library's default; else they are text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(path)
-    coder.encode_special_tokens = True
+    coder.encode_special_tokens = not added
     return coder
 
 
+@lru_cache(maxsize=2)
+def added_tokens(path: str) -> re.Pattern[bytes] | None:
+    """Finds the literals of added tokens; none: there are no such tokens.
+
+    Those that match the normalised text are found in any case: the whole tokenizer decides then.
+    """
+    added = word_coder(path).get_added_tokens_decoder().values()
+    return re.compile("|".join(f"(?i:{re.escape(t.content)})" if t.normalized else re.escape(t.content) for t in added).encode()) if added else None
+
+
 #: Pre-tokens of plain words: letters of ASCII and Latin-1, single digits, ASCII punctuation but for the apostrophe.
 PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 ALL_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]*")
@@ -60,6 +71,10 @@ def byte_letters() -> dict[int, str]:
 BYTE_LETTERS = byte_letters()
 
 
+def ids_of(coder, text: str) -> bytes:
+    return np.array(coder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def encoded_word(coder, word: bytes) -> bytes:
     """A word's ids, as unsigned 32-bit numbers.
 
@@ -69,7 +84,7 @@ def encoded_word(coder, word: bytes) -> bytes:
     """
     text = word.decode()
     if not ALL_PLAIN.fullmatch(text):
-        return np.array(coder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return ids_of(coder, text)
     model, ids = coder.model, []
     for part in PLAIN.findall(text.lower()):
         letters = part if part.isascii() else "".join(BYTE_LETTERS[b] for b in part.encode())
@@ -77,19 +92,22 @@ def encoded_word(coder, word: bytes) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-def word_ids(path: str, memo: dict[bytes, bytes], texts: list[bytes]) -> list[bytes]:
+def word_ids(path: str, memo: dict[bytes, bytes], texts: list[bytes], added: bool = False) -> list[bytes]:
     """Ids of each text, little endian, by a tokenizer that drops white space and never joins what white space parts.
 
-    A word's ids don't depend on its neighbours then, so a distinct word is encoded once.
+    A word's ids don't depend on its neighbours then, so a distinct word is encoded once. added: texts
+    that hold an added token's literal go through the tokenizer whole.
     """
-    coder, words = word_coder(path), [t.split() for t in texts]
+    coder, literal = word_coder(path, added), added_tokens(path) if added else None
+    whole = {i for i, t in enumerate(texts) if literal and literal.search(t)}
+    words = [[] if i in whole else t.split() for i, t in enumerate(texts)]
     new = {w for ws in words for w in ws if w not in memo}
     if len(memo) + len(new) > MEMO:
         memo.clear()
         new = {w for ws in words for w in ws}
     for word in new:
         memo[word] = encoded_word(coder, word)
-    return [b"".join(map(memo.__getitem__, ws)) for ws in words]
+    return [ids_of(coder, t.decode()) if i in whole else b"".join(map(memo.__getitem__, ws)) for i, (t, ws) in enumerate(zip(texts, words))]
 
 
 def to_planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:
@@ -111,7 +129,7 @@ def from_planes(payload: bytes, plane_bytes: list[int], n: int) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u4").ravel()
 
 
-def _write(path: str, end_id: int, block_ids: int, bits: bool):
+def _write(path: str, end_id: int, block_ids: int, bits: bool, added: bool):
     def batch_of(kind: str, shard: int, n: list[int], **own) -> pa.RecordBatch:
         kinds = {"block": pa.int32(), "row": pa.int32(), "doc_id": pa.int64(), "start": pa.int64(), "plane_bytes": pa.list_(pa.int32()), "payload": pa.binary()}
         filled = {k: pa.array(own[k], t) if k in own else pa.nulls(len(n), t) for k, t in kinds.items()}
@@ -135,7 +153,7 @@ def _write(path: str, end_id: int, block_ids: int, bits: bool):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                ids = word_ids(path, memo, binary(part.column("text")).to_pylist())
+                ids = word_ids(path, memo, binary(part.column("text")).to_pylist(), added)
                 sizes = [len(x) // 4 + 1 for x in ids]
                 starts = start + np.cumsum([0, *sizes[:-1]])
                 yield batch_of("doc", shard, sizes, row=list(range(row, row + len(ids))), doc_id=part.column("doc_id").to_pylist(), start=starts.tolist())
@@ -150,16 +168,18 @@ def _write(path: str, end_id: int, block_ids: int, bits: bool):
     return run
 
 
-def token_parts(docs: DataFrame, path: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS, bits: bool = False) -> DataFrame:
+def token_parts(docs: DataFrame, path: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS, bits: bool = False, added: bool = False) -> DataFrame:
     """The parts of a token file of ``docs``, for writing.
 
     Documents are dealt by range of doc_id (null ids first; equal ids in the
     order of their texts' hashes) and encoded where they land, so the range
     sample reads ids, not texts. Null and empty texts hold the end id only.
+    added: an added token's literal in a text is that token, as by the library's
+    default; else it is encoded as text.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     dealt = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", F.xxhash64("text"))
-    return dealt.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(_write(path, end_id, block_ids, bits), PARTS)
+    return dealt.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(_write(path, end_id, block_ids, bits, added), PARTS)
 
 
 def write_tokens(docs: DataFrame, to: str, path: str, **options) -> None:
