@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_digests import DIGESTS
+from .shared import small, stage
+
 # Texts of public licences, without their copyright lines.
 _BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
@@ -23,6 +27,20 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
 }
+# A further short text, and title lines that may stand before a short text.
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>"""
+TITLES = {
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "0BSD", "Zero-Clause BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "The BSD 2-Clause License", "BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "The BSD 3-Clause License", "BSD License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
 # Notices of a line each.
 NOTICES = {
     "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
@@ -60,28 +78,43 @@ def digest_of(lines: Column) -> Column:
     return F.sha2(F.array_join(lines, " "), 256)
 
 
+def known_texts() -> list[tuple[str, str]]:
+    """(license, text) of the short texts: plain, BSD also without its conditions' numbers, each with and without a title."""
+    plain = [*LICENSES.items(), ("Unlicense", UNLICENSE)]
+    plain += [(name, re.sub(r"(?m)^[1-3]\. ", "", text)) for name, text in plain if name.startswith("BSD-")]
+    return [(name, title + text) for name, text in plain for title in ("", *(f"{t}\n" for t in TITLES[name]))]
+
+
 def known_digests(spark: SparkSession) -> DataFrame:
-    """(digest, license) of the known texts; a fixed, small table."""
-    table = spark.createDataFrame(list(LICENSES.items()), "license string, text string")
-    return table.select(digest_of(canonical_lines(F.col("text"))).alias("digest"), "license")
+    """(digest, license) of the known texts; a fixed, small table. Long texts are known by digest only."""
+    short = spark.createDataFrame(known_texts(), "license string, text string")
+    long = spark.createDataFrame(list(DIGESTS.items()), "digest string, license string")
+    return short.select(digest_of(canonical_lines(F.col("text"))).alias("digest"), "license").distinct().unionByName(long)
 
 
-def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: DataFrame | None = None) -> DataFrame:
     """doc_id, digest of the canonical text, license (null: the text is no known one), n_notices and notices, a row for each row.
 
     Two texts have one digest if they differ in case, punctuation, line breaks,
     copyright lines or listed spellings only. A null text counts as empty; an
     empty canonical text has a digest but no licence. notices: ordered names,
     comma-joined, of the licences that a line of the text declares. The only
-    join is with the fixed table of known digests, so nothing is shuffled.
+    join is with the known digests. known: a table (digest, license) of them; of
+    a digest with several licences the first by name counts. Without it, the
+    fixed table of known texts is used, and nothing is shuffled.
     """
+    if known is None:
+        table = F.broadcast(known_digests(docs.sparkSession))
+    else:
+        table = stage(known.where("digest is not null").groupBy("digest").agg(F.min("license").alias("license")), "known-licenses")
+        table = small(table, table.count())
     notices = docs.sparkSession.createDataFrame(list(NOTICES.items()), "line string, license string")
     by_line = {r["line"]: r["license"] for r in notices.select(canonical_line(F.col("line")).alias("line"), "license").collect()}
-    known = F.create_map(*(F.lit(x) for pair in by_line.items() for x in pair))
+    line_names = F.create_map(*(F.lit(x) for pair in by_line.items() for x in pair))
     lines = docs.select(F.col(doc_id).cast("long").alias("doc_id"), canonical_lines(F.col(text).cast("string")).alias("lines"))
-    declared = F.filter(F.transform("lines", lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull())
+    declared = F.filter(F.transform("lines", lambda x: F.try_element_at(line_names, x)), lambda x: x.isNotNull())
     scanned = lines.select("doc_id", digest_of(F.col("lines")).alias("digest"), declared.alias("declared"))
-    joined = scanned.join(F.broadcast(known_digests(docs.sparkSession)), "digest", "left")
+    joined = scanned.join(table, "digest", "left")
     return joined.select("doc_id", "digest", "license", F.size("declared").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("declared")), ",").alias("notices"))
 
 
