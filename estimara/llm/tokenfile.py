@@ -13,52 +13,50 @@ apart from the payloads, so the index is read without them.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import binary, partitions, small, stage
+from .shared import LOWER, bytes_of, partitions, slices, small, stage, totals, words_in
 
 BLOCK_IDS = 1 << 16
-#: Distinct words whose ids a Python worker remembers at a time, for one task after the other.
-MEMO = 400_000
-MEMOS: dict[str, dict[bytes, bytes]] = {}
+#: Pieces whose ids a Python worker remembers: twice as many at most, for one task after the other.
+MEMO = 200_000
 PARTS = "kind string, shard int, block int, row int, doc_id long, start long, n int, plane_bytes array<int>, payload binary"
+# The normaliser and the splitter of tokenizer files whose words can be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: A pre-token as the model may take it: lower-case letters of ASCII and Latin-1, a digit, or ASCII punctuation but for the apostrophe.
+PLAIN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+ODD, LETTER, DIGIT, MARK, SPACE, WHOLE = range(6)
 
 
-@lru_cache(maxsize=2)
-def word_coder(path: str, added: bool = False):
-    """added: literals of added tokens are these tokens, as is the library's default; else they are text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    coder = Tokenizer.from_file(path)
-    coder.encode_special_tokens = not added
-    return coder
-
-
-@lru_cache(maxsize=2)
-def added_tokens(path: str) -> re.Pattern[bytes] | None:
-    """Finds the literals of added tokens; none: there are no such tokens.
-
-    Those that match the normalised text are found in any case: the whole tokenizer decides then.
-    """
-    added = word_coder(path).get_added_tokens_decoder().values()
-    return re.compile("|".join(f"(?i:{re.escape(t.content)})" if t.normalized else re.escape(t.content) for t in added).encode()) if added else None
+def byte_kinds() -> np.ndarray:
+    """Of each byte alone; all bytes of what isn't ASCII are odd."""
+    text = "".join(map(chr, range(128)))
+    own = [SPACE if c in "\t\n\v\f\r " else LETTER if c.isalpha() else DIGIT if c.isdigit() else MARK if c.isprintable() and c != "'" else ODD for c in text]
+    return np.array(own + [ODD] * 128, np.uint8)
 
 
-#: Pre-tokens of plain words: letters of ASCII and Latin-1, single digits, ASCII punctuation but for the apostrophe.
-PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
-ALL_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]*")
+KINDS = byte_kinds()
 
 
 def byte_letters() -> dict[int, str]:
@@ -71,43 +69,110 @@ def byte_letters() -> dict[int, str]:
 BYTE_LETTERS = byte_letters()
 
 
-def ids_of(coder, text: str) -> bytes:
-    return np.array(coder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+class Memo(dict):
+    """What ``make`` gave for the latest keys: of two generations of ``most`` keys, the older one goes when the newer is full."""
 
+    def __init__(self, make, most: int = MEMO):
+        self.make, self.most, self.older = make, most, {}
 
-def encoded_word(coder, word: bytes) -> bytes:
-    """A word's ids, as unsigned 32-bit numbers.
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(key)
+        value = self[key] = self.make(key) if found is None else found
+        return value
 
-    Plain words need no Unicode normalisation and split in an obvious way, so
-    the tokenizer's model takes their lower-case pre-tokens directly; all
-    others go through the whole tokenizer.
+
+def pretokens(texts: pa.Array, literal: re.Pattern[bytes] | None = None) -> tuple[pa.Array, np.ndarray]:
+    """All bytes of the texts cut up, and the index of each text's first piece (one more than texts).
+
+    A piece is a run of white space, a lower-case pre-token of a plain word, or
+    a whole word as it stands: one with other characters, or with a match of ``literal``.
+    """
+    data, begins = bytes_of(texts)
+    if not len(data):
+        return pa.array([], pa.large_binary()), np.zeros(len(begins), np.int64)
+    kind, low = KINDS[data], LOWER[data]
+    lead = np.flatnonzero(data == 0xC3)  # of U+00C0 to U+00FF, all letters but for the signs at U+00D7 and U+00F7
+    lead = lead[(data[lead + 1] & 0xDF) != 0x97]
+    kind[lead] = kind[lead + 1] = LETTER
+    upper = lead[data[lead + 1] < 0x9F] + 1
+    low[upper] += 32
+    for match in literal.finditer(data.tobytes()) if literal else ():
+        kind[match.start() : match.end()] = ODD
+    if not kind.all():
+        starts, ends, _ = words_in(data, begins, KINDS != SPACE)
+        odd = totals(kind == ODD, np.append(starts, len(data))) > 0  # only white space stands between two words
+        edges = np.zeros(len(data) + 1, np.int8)
+        np.add.at(edges, starts[odd], 1)
+        np.add.at(edges, ends[odd], -1)
+        whole = np.cumsum(edges[:-1], dtype=np.int8).view(bool)
+        kind[whole] = WHOLE
+        low[whole] = data[whole]
+    new = np.empty(len(data), bool)
+    new[0] = True
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    new[begins[:-1][begins[:-1] < len(data)]] = True
+    cuts = np.append(np.flatnonzero(new), len(data))
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(low)]), np.searchsorted(cuts, begins)
+
+
+class WordCoder:
+    """A tokenizer file's ids of whole texts, from the ids of pieces where these don't depend on their neighbours.
+
+    That is so for a tokenizer that drops white space, never joins what white
+    space parts, and has no added token with white space in it or around it.
+    Distinct pieces are encoded once then: the tokenizer's model takes the
+    pre-tokens of plain words, which need no Unicode normalisation and split in
+    an obvious way; other words go through the whole tokenizer. Any other
+    tokenizer gets each text whole.
     """
-    text = word.decode()
-    if not ALL_PLAIN.fullmatch(text):
-        return ids_of(coder, text)
-    model, ids = coder.model, []
-    for part in PLAIN.findall(text.lower()):
-        letters = part if part.isascii() else "".join(BYTE_LETTERS[b] for b in part.encode())
-        ids += [t.id for t in model.tokenize(letters)]
-    return np.array(ids, "<u4").tobytes()
 
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.coder = Tokenizer.from_file(path)
+        with open(path) as f:
+            file = json.load(f)
+        added = file.get("added_tokens") or []
+        alone = all(not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) and t["content"].split() == [t["content"]] for t in added)
+        self.by_piece = alone and file["normalizer"] == NORMALIZER and file["pre_tokenizer"] == SPLITTER and file["model"]["type"] == "BPE" and not file["model"].get("dropout")
+        self.literal = re.compile("|".join(re.escape(t["content"]) for t in added).encode()) if added else None
+        self.model, self.ids = self.coder.model, Memo(self.piece)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.coder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def piece(self, piece: bytes) -> bytes:
+        """Ids of a piece, little endian."""
+        if KINDS[piece[0]] == SPACE:
+            return b""
+        text = piece.decode()
+        if not PLAIN.fullmatch(text) or (self.literal and self.literal.search(piece)):
+            return self.whole(text)
+        letters = text if text.isascii() else "".join(BYTE_LETTERS[b] for b in piece)
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text (a large_binary column without nulls)."""
+        if not self.by_piece:
+            return [np.frombuffer(self.whole(t.decode()), "<u4") for t in texts.to_pylist()]
+        pieces, first = pretokens(texts, self.literal)
+        coded = pc.dictionary_encode(pieces)
+        ids = [self.ids[x] for x in coded.dictionary.to_pylist()]
+        sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))[coded.indices.to_numpy()]
+        raw = pa.array(ids, pa.large_binary()).take(coded.indices).buffers()[2]
+        every = np.frombuffer(raw, "<u4", int(sizes.sum())) if raw else np.zeros(0, "<u4")
+        at = np.append(0, np.cumsum(sizes))[first]
+        return [every[a:b] for a, b in zip(at, at[1:])]
 
-def word_ids(path: str, memo: dict[bytes, bytes], texts: list[bytes], added: bool = False) -> list[bytes]:
-    """Ids of each text, little endian, by a tokenizer that drops white space and never joins what white space parts.
 
-    A word's ids don't depend on its neighbours then, so a distinct word is encoded once. added: texts
-    that hold an added token's literal go through the tokenizer whole.
-    """
-    coder, literal = word_coder(path, added), added_tokens(path) if added else None
-    whole = {i for i, t in enumerate(texts) if literal and literal.search(t)}
-    words = [[] if i in whole else t.split() for i, t in enumerate(texts)]
-    new = {w for ws in words for w in ws if w not in memo}
-    if len(memo) + len(new) > MEMO:
-        memo.clear()
-        new = {w for ws in words for w in ws}
-    for word in new:
-        memo[word] = encoded_word(coder, word)
-    return [ids_of(coder, t.decode()) if i in whole else b"".join(map(memo.__getitem__, ws)) for i, (t, ws) in enumerate(zip(texts, words))]
+@lru_cache(maxsize=2)
+def word_coder(path: str) -> WordCoder:
+    return WordCoder(path)
 
 
 def to_planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:
@@ -129,15 +194,15 @@ def from_planes(payload: bytes, plane_bytes: list[int], n: int) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u4").ravel()
 
 
-def _write(path: str, end_id: int, block_ids: int, bits: bool, added: bool):
+def _write(path: str, end_id: int, block_ids: int, bits: bool):
     def batch_of(kind: str, shard: int, n: list[int], **own) -> pa.RecordBatch:
         kinds = {"block": pa.int32(), "row": pa.int32(), "doc_id": pa.int64(), "start": pa.int64(), "plane_bytes": pa.list_(pa.int32()), "payload": pa.binary()}
         filled = {k: pa.array(own[k], t) if k in own else pa.nulls(len(n), t) for k, t in kinds.items()}
         return pa.RecordBatch.from_arrays([pa.array([kind] * len(n)), pa.array([shard] * len(n), pa.int32()), filled["block"], filled["row"], filled["doc_id"], filled["start"], pa.array(n, pa.int32()), filled["plane_bytes"], filled["payload"]], ["kind", "shard", "block", "row", "doc_id", "start", "n", "plane_bytes", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, end = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
-        memo = MEMOS.setdefault(path, {})
+        shard, end = TaskContext.get().partitionId(), np.array([end_id], "<u4")
+        coder = word_coder(path)
         held, held_n, block, row, start = [], 0, 0, 0, 0
 
         def full(last: bool = False):
@@ -150,36 +215,35 @@ def _write(path: str, end_id: int, block_ids: int, bits: bool, added: bool):
                 at, block = at + len(part), block + 1
             held, held_n = [ids[at:]], len(ids) - at
 
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids = word_ids(path, memo, binary(part.column("text")).to_pylist(), added)
-                sizes = [len(x) // 4 + 1 for x in ids]
-                starts = start + np.cumsum([0, *sizes[:-1]])
-                yield batch_of("doc", shard, sizes, row=list(range(row, row + len(ids))), doc_id=part.column("doc_id").to_pylist(), start=starts.tolist())
-                row, start = row + len(ids), start + sum(sizes)
-                held.append(np.frombuffer(end.join([*ids, b""]), "<u4"))
-                held_n += sum(sizes)
-                if held_n >= block_ids:
-                    yield from full()
+        for part, texts in slices(batches):
+            ids = coder(texts)
+            sizes = [len(x) + 1 for x in ids]
+            starts = start + np.cumsum([0, *sizes[:-1]])
+            yield batch_of("doc", shard, sizes, row=list(range(row, row + len(ids))), doc_id=part.column("doc_id").to_pylist(), start=starts.tolist())
+            row, start = row + len(ids), start + sum(sizes)
+            held += [x for own in ids for x in (own, end)]
+            held_n += sum(sizes)
+            if held_n >= block_ids:
+                yield from full()
         if held_n:
             yield from full(last=True)
 
     return run
 
 
-def token_parts(docs: DataFrame, path: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS, bits: bool = False, added: bool = False) -> DataFrame:
-    """The parts of a token file of ``docs``, for writing.
+def token_parts(docs: DataFrame, path: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS, bits: bool = False) -> DataFrame:
+    """The parts of a token file of ``docs``, for writing; ids are the tokenizers library's, without special tokens of its own.
 
     Documents are dealt by range of doc_id (null ids first; equal ids in the
     order of their texts' hashes) and encoded where they land, so the range
-    sample reads ids, not texts. Null and empty texts hold the end id only.
-    added: an added token's literal in a text is that token, as by the library's
-    default; else it is encoded as text.
+    sample reads ids, not texts. Null and empty texts hold the end id only. A
+    very long text fills blocks as it goes on. Repeated rows stay repeated. An
+    empty table gives a file without blocks. Other columns aren't looked at. An
+    added token's literal in a text is that token, as by the library's default.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     dealt = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", F.xxhash64("text"))
-    return dealt.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(_write(path, end_id, block_ids, bits, added), PARTS)
+    return dealt.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(_write(path, end_id, block_ids, bits), PARTS)
 
 
 def write_tokens(docs: DataFrame, to: str, path: str, **options) -> None:

@@ -2,10 +2,12 @@
 
 import base64
 import hashlib
+import json
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -29,15 +31,38 @@ def test_byte_bpe(odd, empty, size, overlap):
         assert sorted((r.doc_id or -1, r.decoded_sha256) for r in rows) == sorted((r.doc_id or -1, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in odd.collect())
 
 
-def test_words_alone_are_encoded_like_the_tokenizer_does():
+def test_texts_are_encoded_like_the_library_does():
     path = P.path("word_bpe_49k.json")
-    coder = Tokenizer.from_file(path)
-    coder.encode_special_tokens = True
-    parts = ["The", "THE", "éèÉ", "ß", "ÿ", "ñandú", "œ", "İ", "e\u0301", "it's", "'ll", "12", "3a", "...", "$$$", "a!b", "x&y", "<b>", "漢字", "🙂", "\u00a0", "\u3000", "ª", "µ", "×", "÷", "`~", "[", "]", "^_", "Σ", "<|endoftext|>", "\x00", "don't", "O'Re"]
-    words = [*parts, *(a + b for a in parts for b in parts)]
-    for word in words:
-        for w in word.encode().split():
-            assert np.frombuffer(tokenfile.encoded_word(coder, w), "<u4").tolist() == coder.encode(w.decode(), add_special_tokens=False).ids, w
+    library, coder = Tokenizer.from_file(path), tokenfile.WordCoder(path)
+    assert coder.by_piece
+    parts = ["The", "THE", "éèÉ", "ß", "ÿ", "ñandú", "œ", "İ", "e\u0301", "it's", "'ll", "12", "3a", "...", "$$$", "a!b", "x&y", "<b>", "漢字", "🙂", "\u00a0", "\u3000", "ª", "µ", "×", "÷", "`~", "[", "]", "^_", "Σ", "<|endoftext|>", "\x00", "\x1c", "\x7f", "\x85", "don't", "O'Re", "H\u0331", "\u0301", "<|endoftext", "À×Þ", "Æð"]
+    texts = [*parts, *(a + b for a in parts for b in parts), *(f"a {a}\n\t{b}  {a}. " for a in parts for b in parts), "", " \n"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for most in (1, 7, len(texts)):  # texts stand beside other texts
+        for lo in range(0, len(texts), most):
+            got = coder(pa.array([t.encode() for t in texts[lo : lo + most]], pa.large_binary()))
+            assert [x.tolist() for x in got] == want[lo : lo + most]
+
+
+def test_a_memo_forgets_the_oldest():
+    made = []
+    memo = tokenfile.Memo(lambda k: made.append(k) or f"{k}!", most=3)
+    for k in "abcdaeabf":
+        assert memo[k] == f"{k}!"
+    assert len(memo) + len(memo.older) <= 6 and made[:4] == list("abcd") and made.count("a") == 1
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"added_tokens": [{"id": 49407, "content": "of the", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}]}])
+def test_other_tokenizers_get_whole_texts(tmp_path, change):
+    with open(P.path("word_bpe_49k.json")) as f:
+        file = json.load(f)
+    path = f"{tmp_path}/other.json"
+    with open(path, "w") as f:
+        json.dump(file | change, f)
+    library, coder = Tokenizer.from_file(path), tokenfile.WordCoder(path)
+    texts = ["The end of the THE É", "of  the", ""]
+    assert not coder.by_piece
+    assert [x.tolist() for x in coder(pa.array([t.encode() for t in texts], pa.large_binary()))] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize("bits", [False, True])
@@ -51,7 +76,6 @@ def test_planes(bits):
 @pytest.mark.parametrize("block_ids, bits", [(1 << 16, False), (64, True)])
 def test_token_file(spark, odd, empty, tmp_path, block_ids, bits):
     coder = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    coder.encode_special_tokens = True
     rows = [r for r in odd.collect() if r.doc_id is not None]
     want, start = [], 0
     for r in sorted(rows, key=lambda r: r.doc_id):
