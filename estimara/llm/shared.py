@@ -7,6 +7,7 @@ executor costs no more than the tasks that it ran.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,6 +54,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns c0, c1, ... and the new names of these columns: no name of a table's own can clash or need quotes then."""
+    lower = [c.lower() for c in df.columns]
+    return df.toDF(*(f"c{i}" for i in range(len(lower)))), [f"c{df.columns.index(x) if x in df.columns else lower.index(x.lower())}" for x in names]
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcasting if its counted rows are within the limit."""
     return F.broadcast(df) if rows <= limit else df
@@ -90,8 +97,6 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def byte_class(pattern: str) -> np.ndarray:
     """For each byte, whether the character class ``pattern`` holds it (bytes over 127 count by the pattern, too)."""
-    import re
-
     known = re.compile(pattern.encode("latin-1") if "\\x" not in pattern else pattern.encode("ascii"))
     return np.array([known.fullmatch(bytes([b])) is not None for b in range(256)])
 
@@ -168,3 +173,57 @@ def totals(flags: np.ndarray, begins: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=sums[1:])
     return sums[begins[1:]] - sums[begins[:-1]]
+
+
+ODD, LETTER, DIGIT, MARK, SPACE, WHOLE = range(6)
+
+
+def byte_kinds() -> np.ndarray:
+    """Of each byte alone; all bytes of what isn't ASCII are odd."""
+    text = "".join(map(chr, range(128)))
+    own = [SPACE if c in "\t\n\v\f\r " else LETTER if c.isalpha() else DIGIT if c.isdigit() else MARK if c.isprintable() and c != "'" else ODD for c in text]
+    return np.array(own + [ODD] * 128, np.uint8)
+
+
+KINDS = byte_kinds()
+
+
+def pretokens(texts: pa.Array, literal: re.Pattern[bytes] | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All bytes of the texts cut up, the index of each text's first piece (one more than texts), and what kind each piece is.
+
+    A piece is a run of white space, a lower-case pre-token of a plain word, or
+    a whole word as it stands: one with other characters, or with a match of ``literal``.
+    """
+    data, begins = bytes_of(texts)
+    if not len(data):
+        return pa.array([], pa.large_binary()), np.zeros(len(begins), np.int64), np.zeros(0, np.uint8)
+    kind, low = KINDS[data], LOWER[data]
+    lead = np.flatnonzero(data == 0xC3)  # of U+00C0 to U+00FF, all letters but for the signs at U+00D7 and U+00F7
+    lead = lead[lead + 1 < len(data)]
+    lead = lead[(data[lead + 1] >> 6 == 2) & ((data[lead + 1] & 0xDF) != 0x97)]
+    kind[lead] = kind[lead + 1] = LETTER
+    upper = lead[data[lead + 1] < 0x9F] + 1
+    low[upper] += 32
+    for match in literal.finditer(data.tobytes()) if literal else ():
+        kind[match.start() : match.end()] = ODD
+    if not kind.all():
+        starts, ends, _ = words_in(data, begins, KINDS != SPACE)
+        odd = totals(kind == ODD, np.append(starts, len(data))) > 0  # only white space stands between two words
+        edges = np.zeros(len(data) + 1, np.int8)
+        np.add.at(edges, starts[odd], 1)
+        np.add.at(edges, ends[odd], -1)
+        whole = np.cumsum(edges[:-1], dtype=np.int8).view(bool)
+        kind[whole] = WHOLE
+        low[whole] = data[whole]
+    new = np.empty(len(data), bool)
+    new[0] = True
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    new[begins[:-1][begins[:-1] < len(data)]] = True
+    cuts = np.append(np.flatnonzero(new), len(data))
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(low)]), np.searchsorted(cuts, begins), kind[cuts[:-1]]
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of runs that begin at ``starts``."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)

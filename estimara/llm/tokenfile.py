@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import LOWER, bytes_of, partitions, slices, small, stage, totals, words_in
+from .shared import KINDS, SPACE, partitions, pretokens, slices, small, stage
 
 BLOCK_IDS = 1 << 16
 #: Pieces whose ids a Python worker remembers: twice as many at most, for one task after the other.
@@ -46,19 +46,6 @@ SPLITTER = {
 }
 #: A pre-token as the model may take it: lower-case letters of ASCII and Latin-1, a digit, or ASCII punctuation but for the apostrophe.
 PLAIN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
-ODD, LETTER, DIGIT, MARK, SPACE, WHOLE = range(6)
-
-
-def byte_kinds() -> np.ndarray:
-    """Of each byte alone; all bytes of what isn't ASCII are odd."""
-    text = "".join(map(chr, range(128)))
-    own = [SPACE if c in "\t\n\v\f\r " else LETTER if c.isalpha() else DIGIT if c.isdigit() else MARK if c.isprintable() and c != "'" else ODD for c in text]
-    return np.array(own + [ODD] * 128, np.uint8)
-
-
-KINDS = byte_kinds()
-
-
 def byte_letters() -> dict[int, str]:
     """The usual printable stand-ins of byte-level vocabularies: printable bytes as themselves, the rest from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -84,40 +71,6 @@ class Memo(dict):
         return value
 
 
-def pretokens(texts: pa.Array, literal: re.Pattern[bytes] | None = None) -> tuple[pa.Array, np.ndarray]:
-    """All bytes of the texts cut up, and the index of each text's first piece (one more than texts).
-
-    A piece is a run of white space, a lower-case pre-token of a plain word, or
-    a whole word as it stands: one with other characters, or with a match of ``literal``.
-    """
-    data, begins = bytes_of(texts)
-    if not len(data):
-        return pa.array([], pa.large_binary()), np.zeros(len(begins), np.int64)
-    kind, low = KINDS[data], LOWER[data]
-    lead = np.flatnonzero(data == 0xC3)  # of U+00C0 to U+00FF, all letters but for the signs at U+00D7 and U+00F7
-    lead = lead[(data[lead + 1] & 0xDF) != 0x97]
-    kind[lead] = kind[lead + 1] = LETTER
-    upper = lead[data[lead + 1] < 0x9F] + 1
-    low[upper] += 32
-    for match in literal.finditer(data.tobytes()) if literal else ():
-        kind[match.start() : match.end()] = ODD
-    if not kind.all():
-        starts, ends, _ = words_in(data, begins, KINDS != SPACE)
-        odd = totals(kind == ODD, np.append(starts, len(data))) > 0  # only white space stands between two words
-        edges = np.zeros(len(data) + 1, np.int8)
-        np.add.at(edges, starts[odd], 1)
-        np.add.at(edges, ends[odd], -1)
-        whole = np.cumsum(edges[:-1], dtype=np.int8).view(bool)
-        kind[whole] = WHOLE
-        low[whole] = data[whole]
-    new = np.empty(len(data), bool)
-    new[0] = True
-    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
-    new[begins[:-1][begins[:-1] < len(data)]] = True
-    cuts = np.append(np.flatnonzero(new), len(data))
-    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(low)]), np.searchsorted(cuts, begins)
-
-
 class WordCoder:
     """A tokenizer file's ids of whole texts, from the ids of pieces where these don't depend on their neighbours.
 
@@ -149,7 +102,7 @@ class WordCoder:
         """Ids of a piece, little endian."""
         if KINDS[piece[0]] == SPACE:
             return b""
-        text = piece.decode()
+        text = piece.decode("utf-8", "replace")
         if not PLAIN.fullmatch(text) or (self.literal and self.literal.search(piece)):
             return self.whole(text)
         letters = text if text.isascii() else "".join(BYTE_LETTERS[b] for b in piece)
@@ -159,8 +112,8 @@ class WordCoder:
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text (a large_binary column without nulls)."""
         if not self.by_piece:
-            return [np.frombuffer(self.whole(t.decode()), "<u4") for t in texts.to_pylist()]
-        pieces, first = pretokens(texts, self.literal)
+            return [np.frombuffer(self.whole(t.decode("utf-8", "replace")), "<u4") for t in texts.to_pylist()]
+        pieces, first, _ = pretokens(texts, self.literal)
         coded = pc.dictionary_encode(pieces)
         ids = [self.ids[x] for x in coded.dictionary.to_pylist()]
         sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))[coded.indices.to_numpy()]

@@ -1,9 +1,11 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine, found in a block-max inverted index.
 
-Terms are words, word beginnings of 4 to 6 letters, and beginnings that a text
-has at least 2, 3, 4 or 6 times. Those that go with the
-label in the labelled rows are the vocabulary (a bounded number). Inverse
-document frequencies are counted over all documents.
+Terms are all words of the labelled examples. A term weighs its inverse
+document frequency, counted over all documents, times how much it goes with the
+label among the examples; none is left out. Weights of unit vectors are cut to
+multiples of 2**-12, so sums of their products, which are 1 at most, are exact
+in single precision: a cosine, and which examples are nearest, don't depend on
+the order of sums or on the rows that happen to be scored together.
 """
 
 from __future__ import annotations
@@ -13,41 +15,36 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import slices, stage
+from .shared import LETTER, WHOLE, numbered, pretokens, slices, spread, stage
 
 #: Labelled rows that fit the classifier, at most: those with the least hashes of their ids.
 MAX_EXAMPLES = 20_000
 PLACES = 1 << 24
-#: Terms of the vocabulary, at most; toxic rows and chi-square that a term needs.
-MAX_TERMS, MIN_TOXIC, MIN_CHI2 = 1024, 3, 12.0
+#: A term's weight beside its frequency is FLOOR + c / (c + HALF), with c its chi-square if it goes with the label, else 0.
+FLOOR, HALF = 0.02, 50.0
 NEIGHBOURS, PRIOR_WEIGHT = 32, 1.0
-#: Examples of an index block, and documents scored at a time.
-BLOCK, QUERIES = 64, 1024
+#: Examples of an index block, blocks that are looked at first, and documents scored at a time.
+BLOCK, FIRST, QUERIES = 128, 4, 256
+#: Terms that more than one in so many examples have are kept as rows of numbers, not as postings.
+COMMON = 16
+GRAIN = 1 << 12
 WORDS = re.compile(r"[^\W\d_]+")
-MEMO = 300_000
 #: Distinct terms that a task counts before it hands the counts on.
 HELD = 1_000_000
 
 
-REPEATS = (2, 3, 4, 6)
-
-
-def terms_of(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}-" for n in (4, 5, 6) if len(word) > n)]
-
-
-def repeats_of(term: str, n: int) -> list[str]:
-    """Terms that stand for a beginning's being there so often."""
-    return [f"{term}{k}" for k in REPEATS if n >= k]
-
-
-def _words(text: bytes) -> Counter:
+def words_of(text: bytes) -> Counter:
     return Counter(WORDS.findall(text.decode("utf-8", "replace").lower()))
 
 
@@ -60,163 +57,231 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch, texts in slices(batches):
         for label, text in zip(batch.column("label").to_pylist(), texts.to_pylist()):
-            found: dict[str, int] = {}
-            for word, n in _words(text).items():
-                for term in terms_of(word):
-                    found[term] = found.get(term, 0) + n
-            found |= {r: 1 for t, n in found.items() if n > 1 and t[-1] == "-" for r in repeats_of(t, n)}
-            seen.update(found.keys())
+            found = words_of(text).keys()
+            seen.update(found)
             if label:
-                toxic.update(found.keys())
-        if len(seen) > HELD:
-            yield out()
-            seen, toxic = Counter(), Counter()
+                toxic.update(found)
+            if len(seen) > HELD:
+                yield out()
+                seen, toxic = Counter(), Counter()
     if seen:
         yield out()
 
 
-class Vectors:
-    """Term counts over the vocabulary; what white space parts is split into words, and looked up, once."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary, self.memo = vocabulary, {}
-        #: By a beginning's place: (times, place of the term for so many). Beginnings that aren't terms have places after the terms'.
-        self.repeats: dict[int, list[tuple[int, int]]] = {}
-        self.known = dict(vocabulary)
-        for term, i in vocabulary.items():
-            stem, mark, times = term.rpartition("-")
-            if mark and times:
-                at = self.known.setdefault(f"{stem}-", len(self.known))
-                self.repeats.setdefault(at, []).append((int(times), i))
-
-    def __call__(self, text: bytes) -> dict[int, int]:
-        memo, known, out = self.memo, self.known, {}
-        for piece, n in Counter(text.decode("utf-8", "replace").lower().split()).items():
-            at = memo.get(piece)
-            if at is None:
-                if len(memo) > MEMO:
-                    memo.clear()
-                at = memo[piece] = [known[t] for word in WORDS.findall(piece) for t in terms_of(word) if t in known]
-            for i in at:
-                out[i] = out.get(i, 0) + n
-        for i in [i for i in out if i in self.repeats]:
-            out |= {place: 1 for times, place in self.repeats[i] if out[i] >= times}
-        return {i: n for i, n in out.items() if i < len(self.vocabulary)} if out else out
+def vectors(texts: pa.Array, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' terms by text and place: places, how often the text has each, and where each text begins (one more than texts).
+
+    Words of plain letters are cut out and looked up in bulk, distinct ones once; words with others are split one by one.
+    """
+    pieces, first, kind = pretokens(texts)
+    coded = pc.dictionary_encode(pieces)
+    words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    place = np.fromiter((vocabulary.get(w, -1) for w in words), np.int64, len(words))
+    text = np.repeat(np.arange(len(texts)), np.diff(first))
+    plain = (kind == LETTER) & (place[which] >= 0)
+    keys = [text[plain] * len(vocabulary) + place[which[plain]]]
+    if (odd := np.flatnonzero(kind == WHOLE)).size:
+        own, at = np.unique(which[odd], return_inverse=True)
+        lists = [[vocabulary[b] for w in WORDS.findall(words[i].decode("utf-8", "replace").lower()) if (b := w.encode()) in vocabulary] for i in own]
+        sizes = np.array([len(x) for x in lists], np.int64)
+        flat = np.array([x for own_places in lists for x in own_places], np.int64)
+        keys.append(np.repeat(text[odd], sizes[at]) * len(vocabulary) + flat[spread((np.cumsum(sizes) - sizes)[at], sizes[at])])
+    found, n = np.unique(np.concatenate(keys), return_counts=True)
+    size = max(1, len(vocabulary))
+    return found % size, n, np.searchsorted(found, np.arange(len(texts) + 1) * size)
 
 
 def _vectors(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vector = Vectors(vocabulary.value)
         for batch, texts in slices(batches):
-            each = [sorted(vector(t).items()) for t in texts.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([[i for i, _ in x] for x in each], pa.list_(pa.int32())), pa.array([[n for _, n in x] for x in each], pa.list_(pa.int32()))], ["doc_id", "label", "at", "n"])
+            at, n, begins = vectors(texts, vocabulary.value)
+            offsets = pa.array(begins, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int32()))], ["doc_id", "label", "at", "n"])
 
     return run
 
 
 def _document_counts(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vector, n, counts = Vectors(vocabulary.value), 0, np.zeros(len(vocabulary.value), np.int64)
+        known = vocabulary.value
+        n, counts = 0, np.zeros(len(known), np.int64)
         for _, texts in slices(batches):
-            for text in texts.to_pylist():
-                n += 1
-                counts[list(vector(text))] += 1
+            n += len(texts)
+            counts += np.bincount(vectors(texts, known)[0], minlength=len(known))
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(counts[some], n))], ["at", "n"])
 
     return run
 
 
+def leaves(rows: np.ndarray, most: int) -> list[np.ndarray]:
+    """The rows' places in parts of ``most`` at most, halved again and again where they differ most."""
+    parts, out = [np.arange(len(rows))], []
+    while parts:
+        part = parts.pop()
+        if len(part) <= most:
+            out.append(part)
+            continue
+        centred = rows[part] - rows[part].mean(axis=0)
+        axis = np.linalg.eigh(centred.T @ centred)[1][:, -1] if centred.shape[1] else np.zeros(0)
+        part = part[np.argsort(centred @ axis, kind="stable")]
+        parts += [part[len(part) // 2 :], part[: len(part) // 2]]
+    return out
+
+
 @dataclass
 class Index:
     """An inverted index of the examples in blocks, with each term's largest weight in each block.
 
-    ``postings`` has of each block the terms that occur in it and, by term, the
-    weights of its examples. A block's bound on a cosine is the sum of the
-    document's weights times the block's maxima; blocks that can't reach the
-    worst neighbour so far are skipped, so the neighbours are exactly the nearest.
+    A term has an entry for each block that holds it: the block, the largest
+    weight in it, and its postings there. Terms that many examples have are kept
+    by example instead, and multiplied out at once. The bound on the cosines of
+    a block is the sum of the query's weights times these maxima, beside the
+    most that common terms give there; blocks that can't reach the worst of the
+    neighbours found at first are skipped.
     """
 
     labels: np.ndarray
     ids: np.ndarray
-    rate: float  # toxic share of the examples without a term of the vocabulary
-    maxima: np.ndarray  # blocks x terms
-    postings: list[tuple[np.ndarray, np.ndarray]]
-    block: int = BLOCK
+    terms: int
+    block: int
+    column: np.ndarray  # of each term among the common ones, or -1
+    dense: np.ndarray  # examples, filled up to whole blocks, x common terms
+    first_entry: np.ndarray  # by term, one more than terms
+    entry_block: np.ndarray
+    entry_max: np.ndarray
+    entry_start: np.ndarray  # one more than entries
+    examples: np.ndarray  # of the postings
+    weights: np.ndarray
 
     @classmethod
-    def of(cls, weights: np.ndarray, labels: np.ndarray, ids: np.ndarray, rate: float, block: int = BLOCK) -> tuple[Index, np.ndarray]:
-        """The index of examples x terms of unit length, and the examples in its order."""
-        if not len(weights):
-            return cls(labels, ids, rate, np.zeros((0, weights.shape[1]), np.float32), [], block), weights
-        # Examples with the same heaviest term stand together, which keeps the bounds tight.
-        order = np.lexsort((ids, weights.max(axis=1), weights.argmax(axis=1)))
-        weights = weights[order]
-        parts = [weights[i : i + block] for i in range(0, len(weights), block)]
-        there = [np.flatnonzero(p.max(axis=0)) for p in parts]
-        postings = [(terms, np.ascontiguousarray(p[:, terms].T)) for terms, p in zip(there, parts)]
-        return cls(labels[order], ids[order], rate, np.stack([p.max(axis=0) for p in parts]), postings, block), weights
-
-    def nearest(self, queries: np.ndarray, k: int = NEIGHBOURS, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines and places of the k nearest examples of each query, best first (place -1: none with a term in common).
-
-        own: a place for each query that doesn't count.
+    def of(cls, sizes: np.ndarray, term: np.ndarray, weight: np.ndarray, labels: np.ndarray, ids: np.ndarray, terms: int, block: int = BLOCK, common: int = COMMON) -> Index:
+        """Of each example, the number of its terms; then all places of terms and their weights on end."""
+        n, begins = len(sizes), np.append(0, np.cumsum(sizes))
+        places = np.flatnonzero(np.bincount(term, minlength=terms) * common > n)
+        column = np.full(terms, -1, np.int32)
+        column[places] = np.arange(len(places))
+        dense, is_common = np.zeros((n, len(places)), np.float32), column[term] >= 0  # holds the weights as they are
+        dense[np.repeat(np.arange(n), sizes)[is_common], column[term[is_common]]] = weight[is_common]
+        # Of examples alike in common terms, those with the same heaviest term stand together, which keeps the bounds tight.
+        heavy = [(int(term[a + np.argmax(weight[a:b])]), float(weight[a:b].max())) if b > a else (-1, 0.0) for a, b in zip(begins, begins[1:])]
+        order = np.array([i for leaf in leaves(dense, 16 * block) for i in sorted(leaf.tolist(), key=lambda i: (*heavy[i], ids[i]))], np.int64)
+        blocks = -(-n // block)
+        dense = np.pad(dense[order], ((0, blocks * block - n), (0, 0)))
+        flat, example = spread(begins[:-1][order], sizes[order]), np.repeat(np.arange(n, dtype=np.int32), sizes[order])
+        term, weight = term[flat], weight[flat]
+        is_common = column[term] >= 0
+        example, term, weight = example[~is_common], term[~is_common], weight[~is_common]
+        by_term = np.argsort(term, kind="stable")  # examples stay in order within a term
+        example, term, weight = example[by_term], term[by_term], weight[by_term]
+        key = term * blocks + example // block
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        top = np.maximum.reduceat(weight, start) if len(key) else np.zeros(0)
+        first = np.searchsorted(key[start], np.arange(terms + 1) * blocks)
+        return cls(labels[order], ids[order], terms, block, column, dense, first, (key[start] % max(blocks, 1)).astype(np.int32), top.astype(np.float32), np.append(start, len(key)).astype(np.int32), example, weight.astype(np.float32))
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, own: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Cosines and places of the k nearest examples of each query (places of terms, weights): larger cosines first, then smaller ids.
+
+        Examples without a term in common don't count. own: of each query, the id of an example that doesn't count.
         """
-        n = len(queries)
-        best, where = np.zeros((n, k), np.float32), np.full((n, k), -1, np.int64)
-        bounds = queries @ self.maxima.T
-        for b in np.argsort(-bounds.max(axis=0, initial=0)) if self.postings else []:
-            look = np.flatnonzero(bounds[:, b] * 1.00001 > best[:, -1])
-            if not look.size:
-                continue
-            terms, weights = self.postings[b]
-            cosines = queries[np.ix_(look, terms)] @ weights
-            here = np.broadcast_to(np.arange(b * self.block, b * self.block + weights.shape[1]), cosines.shape)
-            if own is not None:
-                cosines[own[look][:, None] == here] = 0
-            nearer = cosines.max(axis=1) > best[look, -1]
-            look, cosines, here = look[nearer], cosines[nearer], here[nearer]
-            every, places = np.concatenate([best[look], cosines], axis=1), np.concatenate([where[look], here], axis=1)
-            top = np.argsort(-every, axis=1, kind="stable")[:, :k]
-            best[look], where[look] = np.take_along_axis(every, top, 1), np.take_along_axis(places, top, 1)
-        where[best <= 0] = -1
-        return best, where
-
-    def votes(self, cosines: np.ndarray, places: np.ndarray, prior_weight: float = PRIOR_WEIGHT) -> np.ndarray:
-        """Toxic share of the neighbours by cosine, with the rate among texts without a term as a prior."""
-        toxic = np.where(places >= 0, self.labels[places] if len(self.labels) else 0, 0)
-        return ((cosines * toxic).sum(axis=1) + prior_weight * self.rate) / (cosines.sum(axis=1) + prior_weight)
+        n, blocks = len(self.dense), len(self.dense) // self.block
+        if not n:
+            return [(np.zeros(0), np.zeros(0, np.int64)) for _ in queries]
+        common = np.zeros((len(queries), self.dense.shape[1]), np.float32)
+        for row, (at, weights) in zip(common, queries):
+            own_column = self.column[at]
+            row[own_column[own_column >= 0]] = weights[own_column >= 0]
+        given = (common @ self.dense.T).astype(float)
+        bounds = given.reshape(len(queries), blocks, self.block).max(axis=2)
+        out = []
+        for i, (at, weights) in enumerate(queries):
+            counts = self.first_entry[at + 1] - self.first_entry[at]
+            entries, q = spread(self.first_entry[at], counts), np.repeat(weights, counts)
+            where = self.entry_block[entries]
+            bound = bounds[i] + np.bincount(where, q * self.entry_max[entries], blocks)
+            cosines = given[i]
+
+            def look(these: np.ndarray) -> np.ndarray:
+                """Add up the cosines in these blocks; places of their examples with a term in common."""
+                pick = these[where]
+                some = entries[pick]
+                starts = self.entry_start[some]
+                sizes = self.entry_start[some + 1] - starts
+                posts = spread(starts, sizes)
+                cosines[:] += np.bincount(self.examples[posts], np.repeat(q[pick], sizes) * self.weights[posts], n)
+                there = np.flatnonzero(np.repeat(these, self.block) & (cosines > 0))
+                return there if own is None else there[self.ids[there] != own[i]]
+
+            these = np.zeros(blocks, bool)
+            these[np.argsort(-bound, kind="stable")[:FIRST]] = True
+            found = look(these)
+            worst = np.partition(cosines[found], -k)[-k] if len(found) > k else 0.0
+            if (rest := (bound >= worst) & (bound > 0) & ~these).any():
+                found = np.append(found, look(rest))
+            found = found[cosines[found] >= worst]
+            found = found[np.lexsort((self.ids[found], -cosines[found]))][:k]
+            out.append((cosines[found], found))
+        return out
+
+
+def units(at: np.ndarray, n: np.ndarray, begins: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights (1 + log n) times the terms' own, as unit vectors; in multiples of 1 / GRAIN, cut so that none is longer than 1."""
+    own = (1 + np.log(n)) * weight[at]
+    row = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    size = np.sqrt(np.bincount(row, own * own, len(begins) - 1))
+    return np.floor(own / size[row] * GRAIN) / GRAIN
 
 
 @dataclass
 class Model:
-    vocabulary: dict[str, int]
-    idf: np.ndarray
-    index: Index
+    """The examples as vectors. Pickled, it is packed; the index is made where it is used, once for each Python worker."""
+
+    vocabulary: dict[bytes, int]
+    weight: np.ndarray  # of each term
+    rate: float  # toxic share of the examples
+    labels: np.ndarray
+    ids: np.ndarray
+    sizes: np.ndarray  # terms of each example
+    term: np.ndarray
+    value: np.ndarray  # weights of unit vectors
+
+    @cached_property
+    def index(self) -> Index:
+        return Index.of(self.sizes, self.term, self.value, self.labels, self.ids, len(self.weight))
+
+    def __getstate__(self) -> dict:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        words = pack(b"\n".join(sorted(self.vocabulary, key=self.vocabulary.get)))
+        steps = np.diff(self.term, prepend=0).astype(np.int32)  # small, as each example's terms are in order
+        return {"rate": self.rate, "weight": self.weight.tobytes(), "words": words, "steps": pack(steps.tobytes()), "grains": pack((self.value * GRAIN).astype(np.uint16).tobytes()), "rows": [self.labels, self.ids, self.sizes]}
+
+    def __setstate__(self, state: dict) -> None:
+        unpack = zstandard.ZstdDecompressor().decompress
+        words = unpack(state["words"])
+        self.vocabulary = {w: i for i, w in enumerate(words.split(b"\n"))} if words else {}
+        self.rate, self.weight = state["rate"], np.frombuffer(state["weight"])
+        self.term = np.cumsum(np.frombuffer(unpack(state["steps"]), np.int32))
+        self.value = np.frombuffer(unpack(state["grains"]), np.uint16) / GRAIN
+        self.labels, self.ids, self.sizes = state["rows"]
+
+    def votes(self, at: np.ndarray, n: np.ndarray, begins: np.ndarray, own: list[int] | None = None, prior_weight: float = PRIOR_WEIGHT) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Toxic share of each text's neighbours, by cosine, with the examples' rate as a prior; and the neighbours' ids."""
+        values = units(at, n, begins, self.weight)
+        each = [(at[a:b], values[a:b]) for a, b in zip(begins, begins[1:])]
+        found = [x for lo in range(0, len(each), QUERIES) for x in self.index.nearest(each[lo : lo + QUERIES], own=own[lo : lo + QUERIES] if own else None)]
+        shares = [(float((c * self.index.labels[p]).sum()) + prior_weight * self.rate) / (float(c.sum()) + prior_weight) for c, p in found]
+        return np.array(shares), [self.index.ids[p] for _, p in found]
+
+
+@dataclass
+class Classifier:
+    """A model that all tasks can reach, and the calibration of its votes."""
+
+    model: Broadcast
     slope: float = 1.0
     shift: float = 0.0
 
-    def dense(self, each: list[dict[int, int]]) -> np.ndarray:
-        out = np.zeros((len(each), len(self.idf)), np.float32)
-        for row, counts in zip(out, each):
-            if counts:
-                at = list(counts)
-                row[at] = (1 + np.log(list(counts.values()))) * self.idf[at]
-        size = np.sqrt((out * out).sum(axis=1, keepdims=True))
-        return np.divide(out, size, out=out, where=size > 0)
-
-    def score(self, each: list[dict[int, int]], evidence: int = 0) -> tuple[np.ndarray, list[list[int]]]:
-        scores, seen = np.zeros(len(each)), [[] for _ in each]
-        some = [i for i, x in enumerate(each) if x]
-        scores[:] = self.calibrated(np.array([self.index.rate]))[0]
-        if some:
-            cosines, places = self.index.nearest(self.dense([each[i] for i in some]))
-            scores[some] = self.calibrated(self.index.votes(cosines, places))
-            if evidence:
-                for i, row in zip(some, places):
-                    seen[i] = [int(self.index.ids[p]) for p in row[:evidence] if p >= 0]
-        return scores, seen
-
     def calibrated(self, votes: np.ndarray) -> np.ndarray:
         p = np.clip(votes, 1e-6, 1 - 1e-6)
         return 1 / (1 + np.exp(-(self.slope * np.log(p / (1 - p)) + self.shift)))
@@ -249,74 +314,98 @@ def training_labels(labels: DataFrame, doc_id: str = "doc_id", label: str = "tox
     return near.orderBy("place", "doc_id").limit(most).select("doc_id", "label")
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_EXAMPLES) -> Model:
+def association(n: np.ndarray, toxic: np.ndarray, all_n: int, all_toxic: int) -> np.ndarray:
+    """Chi-square of each term with the label among the examples, for terms that toxic ones have more often; else 0."""
+    n, toxic = n.astype(float), toxic.astype(float)
+    apart = np.maximum(toxic * all_n - n * all_toxic, 0.0)
+    room = n * (all_n - n) * (all_toxic * float(all_n - all_toxic))
+    return np.divide(apart * apart * all_n, room, out=np.zeros_like(apart), where=room > 0)
+
+
+def _own_votes(model: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, n = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("at", "n"))
+            begins = np.append(0, np.cumsum(pc.list_value_length(batch.column("at")).to_numpy()))
+            votes, _ = model.value.votes(at, n, begins, own=batch.column("doc_id").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(votes, pa.float64())], ["doc_id", "label", "vote"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_EXAMPLES) -> Classifier:
     """Learn from at most ``most`` labelled documents; document frequencies are counted over all of ``docs``.
 
-    Of rows that repeat a labelled text, one is learned from. No labels at all
-    give a model that scores everything 0.
+    Rows that repeat a labelled text are one example, with the smallest id and
+    the largest label. The driver gets the examples' words and vectors, whose
+    number ``most`` bounds. No labels at all give a model that scores everything 0.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     chosen = stage(training_labels(labels, doc_id, label, most), "labels")  # at most ``most`` rows
-    seen = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"])
+    seen = texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
     examples = stage(seen, "examples")
     n, n_toxic = examples.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    terms = examples.mapInArrow(_term_counts, "term string, n long, n_toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("t")).where(F.col("t") >= MIN_TOXIC)
-    n_clean = n - n_toxic
-    there, rest = F.col("n").cast("double"), n - F.col("n")
-    apart = F.col("t") * float(n) - there * float(n_toxic)
-    chi2 = F.when((rest > 0) & F.lit(n_toxic > 0 and n_clean > 0), apart * apart * float(n) / (there * rest * max(1.0, float(n_toxic) * n_clean)))
-    best = terms.select("term", "t", chi2.alias("chi2"), apart.alias("apart")).where((F.col("chi2") >= MIN_CHI2) & (F.col("apart") > 0)).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS)
-    vocabulary = {row["term"]: i for i, row in enumerate(best.collect())}
+    terms = examples.mapInArrow(_term_counts, "term string, n long, n_toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic")).toArrow().sort_by("term")
+    vocabulary = {t.encode(): i for i, t in enumerate(terms.column("term").to_pylist())}
     shared = spark.sparkContext.broadcast(vocabulary)
-    counts = dict(texts.select("text").mapInArrow(_document_counts(shared), "at int, n long").groupBy("at").agg(F.sum("n")).collect())
-    total = counts.get(-1, 0)
-    idf = np.array([math.log((1 + total) / (1 + counts.get(i, 0))) + 1 for i in range(len(vocabulary))], np.float32)
-    rows = examples.mapInArrow(_vectors(shared), "doc_id long, label int, at array<int>, n array<int>").collect()
-    some, none = [r for r in rows if r["at"]], [r for r in rows if not r["at"]]
-    rate = (sum(r["label"] for r in none) + (n_toxic / n if n else 0)) / (len(none) + 1)
-    model = Model(vocabulary, idf, Index.of(np.zeros((0, len(vocabulary)), np.float32), np.zeros(0), np.zeros(0, np.int64), rate)[0])
-    if some:
-        weights = model.dense([dict(zip(r["at"], r["n"])) for r in some])
-        index, weights = Index.of(weights, np.array([float(r["label"]) for r in some]), np.array([r["doc_id"] for r in some]), rate)
-        model.index = index
-        # Votes of the others on each example, beside the prior for those without a term.
-        votes = np.concatenate([index.votes(*index.nearest(weights[i : i + QUERIES], own=np.arange(i, min(i + QUERIES, len(some))))) for i in range(0, len(some), QUERIES)])
-        model.slope, model.shift = platt(np.concatenate([votes, np.full(len(none), rate)]), np.concatenate([index.labels, [float(r["label"]) for r in none]]))
-    return model
-
-
-def _scored(model, text: str, evidence: int):
+    counted = texts.select("text").mapInArrow(_document_counts(shared), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts, total = np.zeros(len(vocabulary) + 1), 0  # the last place is the number of documents
+    counts[counted.column("at").to_numpy()] = counted.column("n").to_numpy()
+    counts, total = counts[:-1], counts[-1]
+    chi2 = association(terms.column("n").to_numpy(), terms.column("n_toxic").to_numpy(), n, n_toxic)
+    weight = (np.log((1 + total) / (1 + counts)) + 1) * (FLOOR + chi2 / (chi2 + HALF))
+    described = stage(examples.mapInArrow(_vectors(shared), "doc_id long, label int, at array<int>, n array<int>"), "vectors")
+    shared.destroy()
+    rows = described.toArrow().sort_by("doc_id").combine_chunks()
+    sizes = pc.list_value_length(rows.column("at")).to_numpy()
+    at, times = (pc.list_flatten(rows.column(c)).to_numpy().astype(np.int64) for c in ("at", "n"))
+    value = units(at, times, np.append(0, np.cumsum(sizes)), weight)
+    fitted = Classifier(spark.sparkContext.broadcast(Model(vocabulary, weight, n_toxic / n if n else 0.0, rows.column("label").to_numpy().astype(float), rows.column("doc_id").to_numpy(), sizes, at, value)))
+    if n:
+        # Votes of the others on each example.
+        own = described.mapInArrow(_own_votes(fitted.model), "doc_id long, label int, vote double").toArrow().sort_by("doc_id")
+        fitted.slope, fitted.shift = platt(own.column("vote").to_numpy(), own.column("label").to_numpy().astype(float))
+    return fitted
+
+
+def _scored(fitted: Classifier, text: str, evidence: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = model.value
-        vector = Vectors(fitted.vocabulary)
-        for whole, all_texts in slices(batches, text):
-            for lo in range(0, whole.num_rows, QUERIES):
-                batch, texts = whole.slice(lo, QUERIES), all_texts.slice(lo, QUERIES)
-                scores, seen = fitted.score([vector(t) for t in texts.to_pylist()], evidence)
-                batch = batch.append_column("__score", pa.array(scores, pa.float64()))
-                yield batch.append_column("__evidence", pa.array(seen, pa.list_(pa.int64()))) if evidence else batch
+        model = fitted.model.value
+        for batch, texts in slices(batches, text):
+            votes, near = model.votes(*vectors(texts, model.vocabulary))
+            batch = batch.append_column("score", pa.array(fitted.calibrated(votes), pa.float64()))
+            yield batch.append_column("evidence", pa.array([x[:evidence] for x in near], pa.list_(pa.int64()))) if evidence else batch
 
     return run
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text", evidence: int = 0) -> DataFrame:
-    """``docs`` with ``__score`` (0 to 1), and with ``__evidence``, ids of the nearest examples, if asked for. No shuffle.
+def scored(docs: DataFrame, fitted: Classifier, text: str = "text", evidence: int = 0, names: tuple[str, str] = ("score", "evidence")) -> DataFrame:
+    """``docs`` with a score (0 to 1), and with ids of the nearest examples, if asked for, in columns of these new names. No shuffle.
 
-    Null and empty texts, like all without a term of the vocabulary, get the rate of such examples.
+    Null and empty texts, like all without a word of the examples, get the
+    examples' rate, calibrated. Equal texts have equal scores, whatever stands
+    beside them. A very long text counts whole.
     """
-    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["__score double"] + ["__evidence array<bigint>"] * bool(evidence)
-    return docs.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model), text, evidence), ", ".join(columns))
+    rows, (own,) = numbered(docs, text)
+    fields = [*rows.schema.fields, T.StructField("score", T.DoubleType()), *([T.StructField("evidence", T.ArrayType(T.LongType()))] if evidence else [])]
+    return rows.mapInArrow(_scored(fitted, own, evidence), T.StructType(fields)).toDF(*docs.columns, names[0], *([names[1]] if evidence else []))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """doc_id, held_out, score and predicted, a row for each row of ``docs``; only the text is scored. A null id isn't held out."""
-    model = fit(docs, labels, doc_id, text, label)
+    """doc_id, held_out, score and predicted, a row for each row of ``docs``; only the text is scored.
+
+    A null id isn't held out. Repeated rows stay repeated; an empty table gives
+    an empty result. Columns of ``docs`` other than the two named ones aren't looked at.
+    """
+    fitted = fit(docs, labels, doc_id, text, label)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    return scored(rows, model).select("doc_id", held.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    return scored(rows, fitted).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """``docs`` without those that score 0.5 or more."""
-    return scored(docs, fit(docs, labels, doc_id, text, label), text).where(F.col("__score") < 0.5).drop("__score")
+    """``docs`` without those that score 0.5 or more; all columns stay, whatever their names."""
+    rows, (own_id, own_text) = numbered(docs, doc_id, text)
+    fitted = fit(rows, labels.select(F.col(doc_id).alias(own_id), label), own_id, own_text, label)
+    return scored(rows, fitted, own_text).where(F.col("score") < 0.5).drop("score").toDF(*docs.columns)

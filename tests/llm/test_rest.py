@@ -1,9 +1,13 @@
 """op1, op6, op10 and the pipeline."""
 
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from estimara.llm import licenses, toxicity, urls
 from estimara.llm.queries import RULES
@@ -44,23 +48,118 @@ def test_trust_and_distrust_flow(spark):
     assert np.allclose([ranks[n] for n in names], want, atol=1e-9)
 
 
-def test_nearest_is_exact():
-    draw = np.random.default_rng(3)
-    weights = np.where(draw.random((500, 40)) < 0.08, draw.random((500, 40)), 0).astype(np.float32) + np.eye(500, 40, dtype=np.float32) * 0.1
-    weights /= np.maximum(np.sqrt((weights**2).sum(axis=1, keepdims=True)), 1e-9)
-    index, ordered = toxicity.Index.of(weights, draw.integers(0, 2, 500).astype(float), np.arange(500), 0.1, block=16)
-    queries = weights[draw.permutation(500)[:80]]
-    cosines, places = index.nearest(queries, 10)
-    exact = -np.sort(-(queries @ ordered.T), axis=1)[:, :10]
-    assert np.allclose(cosines, exact, atol=1e-5)
-    assert np.allclose(np.take_along_axis(queries @ ordered.T, np.maximum(places, 0), 1)[places >= 0], cosines[places >= 0], atol=1e-5)
+def sparse(draw, n, terms, some):
+    out = []
+    for _ in range(n):
+        at = np.flatnonzero(draw.random(terms) < some)
+        out.append((at, draw.integers(1, 4, len(at))))
+    return out
 
 
-def test_vectors_count_terms():
-    vector = toxicity.Vectors({"idiot": 0, "idio-": 1, "clow-3": 2, "clowns": 3, "été": 4})
-    assert vector("Idiot! idiots, (idiot)idiot ÉTÉ été\u3000Été".encode()) == {0: 3, 1: 4, 4: 3}
-    assert vector(b"clowns clown clowning") == {2: 1, 3: 1}
-    assert vector(b"") == vector(b"nothing of it") == {}
+@pytest.mark.parametrize("common", [2, 16, 1000])
+def test_nearest_is_exact_and_ties_go_by_id(common):
+    draw = np.random.default_rng(3)
+    rows = sparse(draw, 500, 40, 0.08)
+    rows += [rows[i] for i in draw.integers(0, 500, 200)]  # ties
+    sizes, term = np.array([len(a) for a, _ in rows]), np.concatenate([a for a, _ in rows])
+    begins = np.append(0, np.cumsum(sizes))
+    value = toxicity.units(term, np.concatenate([n for _, n in rows]), begins, draw.random(40) + 0.1)
+    vectors = [(term[a:b], value[a:b]) for a, b in zip(begins, begins[1:])]
+    ids = draw.permutation(700) * 3
+    index = toxicity.Index.of(sizes, term, value, draw.integers(0, 2, 700).astype(float), ids, 40, block=16, common=common)
+    dense = np.zeros((700, 40))
+    for row, (at, w) in zip(dense, vectors):
+        row[at] = w
+    queries = [*draw.permutation(700)[:80], 5]
+    for own in (False, True):
+        alone = [index.nearest([vectors[q]], 10, [ids[q]] if own else None)[0] for q in queries]
+        together = index.nearest([vectors[q] for q in queries], 10, [ids[q] for q in queries] if own else None)
+        for q, (cosines, places), one in zip(queries, together, alone):
+            all_of = dense @ dense[q]
+            want = [i for i in np.lexsort((ids, -all_of)) if all_of[i] > 0 and not (own and i == q)][:10]
+            assert index.ids[places].tolist() == ids[want].tolist() and cosines.tolist() == all_of[want].tolist()
+            assert (one[0] == cosines).all() and (one[1] == places).all()
+
+
+def test_vectors_count_words():
+    parts = ["The", "ÉTÉ", "İx", "naïve_word2x", "漢字かな", "a1b", "don't", "ªb", "Σ", "ΑΣ", "x", "\u3000y", "œuvre", "ß", ""]
+    draw = np.random.default_rng(1)
+    texts = [" ".join(draw.choice(parts, draw.integers(0, 12))) + str(draw.choice(["", "\n", ".x"])) for _ in range(200)]
+    words = sorted({w for t in texts for w in toxicity.WORDS.findall(t.lower())})
+    known = {w.encode(): i for i, w in enumerate(words[::2])}
+    for most in (1, 37, 200):
+        for lo in range(0, 200, most):
+            part = texts[lo : lo + most]
+            at, n, begins = toxicity.vectors(pa.array([t.encode() for t in part], pa.large_binary()), known)
+            for t, a, b in zip(part, begins, begins[1:]):
+                want = Counter(known[w.encode()] for w in toxicity.WORDS.findall(t.lower()) if w.encode() in known)
+                assert dict(zip(at[a:b].tolist(), n[a:b].tolist())) == want and sorted(want) == at[a:b].tolist()
+    assert toxicity.vectors(pa.array([b"\xff\xc3", b"", b"x \xc3"], pa.large_binary()), {b"x": 0})[0].tolist() == [0]
+
+
+def brute_scores(rows, labels):
+    """The whole method in plain Python, for as many labelled rows as there are."""
+    label = {}
+    for i, v in labels:
+        if i is not None and v is not None and zlib.crc32(str(i).encode()) % 5:
+            label[i] = max(v, label.get(i, 0))
+    words = lambda t: Counter(toxicity.WORDS.findall((t or "").lower()))
+    by_text = {}
+    for i, t in rows:
+        if i in label:
+            a, b = by_text.get(t or "", (i, 0))
+            by_text[t or ""] = (min(a, i), max(b, label[i]))
+    examples = [(i, words(t), v) for t, (i, v) in by_text.items()]
+    n, m = len(examples), sum(v for *_, v in examples)
+    held = Counter(w for _, x, _ in examples for w in x)
+    toxic = Counter(w for _, x, v in examples if v for w in x)
+    everywhere = Counter(w for _, t in rows for w in words(t) if w in held)
+    weight = {}
+    for w, c in held.items():
+        apart, room = max(0.0, float(toxic[w] * n - c * m)), float(c * (n - c)) * (m * float(n - m))
+        chi2 = apart * apart * n / room if room else 0.0
+        weight[w] = (math.log((1 + len(rows)) / (1 + everywhere[w])) + 1) * (toxicity.FLOOR + chi2 / (chi2 + toxicity.HALF))
+
+    def unit(x):
+        own = {w: (1 + math.log(c)) * weight[w] for w, c in x.items() if w in weight}
+        size = math.sqrt(math.fsum(v * v for v in own.values())) or 1.0
+        return {w: math.floor(v / size * toxicity.GRAIN) / toxicity.GRAIN for w, v in own.items()}
+
+    vectors = [(i, unit(x), v) for i, x, v in examples]
+
+    def vote(x, own=None):
+        near = sorted((-sum(a * y.get(w, 0.0) for w, a in x.items()), i, v) for i, y, v in vectors if i != own)[: toxicity.NEIGHBOURS]
+        near = [(-c, v) for c, _, v in near if c < 0]
+        return (sum(c * v for c, v in near) + m / n) / (sum(c for c, _ in near) + 1.0)
+
+    votes = np.array([vote(x, i) for i, x, _ in sorted(vectors, key=lambda r: r[0])])
+    slope, shift = toxicity.platt(votes, np.array([float(v) for *_, v in sorted(vectors, key=lambda r: r[0])]))
+    out = []
+    for i, t in rows:
+        p = min(max(vote(unit(words(t))), 1e-6), 1 - 1e-6)
+        out.append((i, 1 / (1 + math.exp(-(slope * math.log(p / (1 - p)) + shift)))))
+    return out
+
+
+@pytest.mark.parametrize("parts, batch", [(1, 10000), (4, 7), (9, 64)])
+def test_toxicity_against_brute_force(spark, parts, batch):
+    draw = np.random.default_rng(8)
+    words = [f"{a}{b}" for a in "bdfgklm" for b in ("alo", "eri", "umo", "é")] + ["Scum", "moron!", "3rd"]
+    rows = [(i, " ".join(draw.choice(words[:28], 12)) + (" " + str(draw.choice(words[28:])) if i % 6 == 0 else "")) for i in range(160)]
+    rows += [(200 + i, rows[i][1]) for i in range(40)]  # equal cosines
+    rows += [(300, None), (301, ""), (302, "zzz"), (None, rows[6][1]), (303, "moron " * 5000)]
+    labels = [(i, int(i % 6 == 0)) for i in range(230)] + [(3, None), (None, 1), (300, 0), (206, 1)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    order = lambda r: (r[0] is None, r[0])
+    want = sorted(brute_scores(rows, labels), key=order)
+    assert [r.doc_id for r in sorted(got, key=order)] == [i for i, _ in want]
+    assert np.allclose([r.score for r in sorted(got, key=order)], [x for _, x in want], rtol=0, atol=1e-9)
 
 
 def test_toxicity(spark, odd, empty):
@@ -76,7 +175,10 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
     assert {r.predicted for r in toxicity.toxicity(odd, labels.limit(0)).collect()} == {0}
     with_evidence = toxicity.scored(docs, toxicity.fit(docs, labels), evidence=3).where("doc_id = 720").first()
-    assert len(with_evidence["__evidence"]) == 3 and all(i % 8 == 0 for i in with_evidence["__evidence"])
+    assert len(with_evidence["evidence"]) == 3 and all(i % 8 == 0 for i in with_evidence["evidence"])
+    named = docs.withColumnsRenamed({"text": "score"}).withColumn("a `b`", F.lit(1)).withColumn("__score", F.lit(2))
+    left = toxicity.drop_toxic(named, labels, text="score")
+    assert left.columns == named.columns and {r.doc_id % 8 == 0 for r in left.collect()} == {False}
 
 
 @pytest.mark.parametrize("null_ids", [False, True])
