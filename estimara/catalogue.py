@@ -208,10 +208,10 @@ def ttest_two_vars(spark, d):
     return _ttest(hypothesis.ttest_two(table(spark, d, "lineitem"), "l_discount", "l_tax"))
 
 
-def _anova_sql(t: str, y: str, g: str) -> str:
+def _anova_sql(t: str, y: str, g: str, p: str = "") -> str:
     return f"""with q as (select {g} as g, count(*) as n, avg({y}) as m, coalesce(var_samp({y}), 0) as v from {t} group by 1), a as (select sum(n) as n, count(*) as k, sum((n - 1) * v) as w, sum(n * m) / sum(n) as gm from q),
         b as (select any_value(a.n) as n, any_value(k) as k, any_value(w) as w, sum(q.n * pow(m - gm, 2)) as b from q, a)
-        select n::bigint as n, k::bigint as groups, {s("b")} as ss_between, {s("w")} as ss_within, (k - 1)::bigint as df_between, (n - k)::bigint as df_within, {s("(b / (k - 1)) / (w / (n - k))")} as f, {s("b / (b + w)")} as eta2 from b"""
+        select n::bigint as n, k::bigint as groups, {s("b")} as ss_between, {s("w")} as ss_within, (k - 1)::bigint as df_between, (n - k)::bigint as df_within, {s("(b / (k - 1)) / (w / (n - k))")} as f, {s("b / (b + w)")} as eta2{p} from b"""
 
 
 @query(_anova_sql("events", "value", "event_type"))
@@ -219,9 +219,14 @@ def anova_event_value(spark, d):
     return rounded(hypothesis.anova(table(spark, d, "events"), "value", "event_type")[0].drop("p"))
 
 
-@query(_anova_sql("lineitem", "l_extendedprice", "l_returnflag"))
+#: F with two degrees of freedom above has its probability in closed form.
+_F2_P = "round(pow(1 + 2 * ({f}) / ({df}), -({df}) / 2.0), 7)"
+
+
+@query(_anova_sql("lineitem", "l_extendedprice", "l_returnflag", ", " + _F2_P.format(f="(b / (k - 1)) / (w / (n - k))", df="n - k") + " as p"))
 def anova_price_flag(spark, d):
-    return rounded(hypothesis.anova(table(spark, d, "lineitem"), "l_extendedprice", "l_returnflag")[0].drop("p"))
+    """Three groups."""
+    return rounded(hypothesis.anova(table(spark, d, "lineitem"), "l_extendedprice", "l_returnflag")[0].withColumn("p", F.round("p", 7)), "p")
 
 
 @query(f"select l_returnflag as label, count(*)::bigint as n, {s('avg(l_extendedprice)')} as mean, {s('stddev_samp(l_extendedprice)')} as sd from lineitem group by 1")
@@ -387,6 +392,19 @@ def ols_no_constant(spark, d):
     return tidy(spark, linear.regress(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"], constant=False))
 
 
+@query(f"""with q as (select count(*)::double n, sum(l_quantity * l_discount * l_extendedprice) xy, sum(l_quantity * l_discount * l_discount) xx, sum(l_quantity * l_extendedprice * l_extendedprice) yy from lineitem), v as (select n, xy / xx b, sqrt((yy - xy * xy / xx) / (n - 1) / xx) e from q)
+    select 'l_discount' as term, {s('b')} as coef, {s('e')} as se, {s('b / e')} as stat, n::bigint as n from v""")
+def wls_no_constant(spark, d):
+    return tidy(spark, linear.regress(table(spark, d, "lineitem"), "l_extendedprice", ["l_discount"], weight="l_quantity", constant=False))
+
+
+@query(f"""with q as (select count(*)::double n, sum(l_quantity * l_discount * l_extendedprice) / sum(l_quantity * l_discount * l_discount) b, sum(l_quantity * l_discount * l_discount) xx from lineitem),
+    m as (select any_value(n) n, any_value(b) b, any_value(xx) xx, sum(pow(l_quantity * l_discount * (l_extendedprice - b * l_discount), 2)) meat from lineitem, q), v as (select n, b, sqrt(n / (n - 1) * meat) / xx e from m)
+    select 'l_discount' as term, {s('b')} as coef, {s('e')} as se, {s('b / e')} as stat, n::bigint as n from v""")
+def wls_no_constant_robust(spark, d):
+    return tidy(spark, linear.regress(table(spark, d, "lineitem"), "l_extendedprice", ["l_discount"], weight="l_quantity", constant=False, vce="robust"))
+
+
 def _two(spark, d):
     return linear.fitted(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"])[1]
 
@@ -408,12 +426,13 @@ def _reset_sql() -> str:
         t as (select *, pow(a, 3) - avg(pow(a, 3)) over () - a * (avg(pow(a, 4)) over ()) as f3 from q),
         w as (select *, f3 - e2 * (sum(f3 * e2) over ()) / (sum(e2 * e2) over ()) as e3 from t),
         g as (select any_value(n) n, sum(u * u) ssr, pow(sum(u * e2), 2) / sum(e2 * e2) + pow(sum(u * e3), 2) / sum(e3 * e3) as gain from w)
-        select 'f' as name, {s('gain / 2 / ((ssr - gain) / (n - 4))')} as value from g"""
+        select 'f' as name, {s('gain / 2 / ((ssr - gain) / (n - 4))')} as value from g union all select 'p', {_F2_P.format(f='gain / 2 / ((ssr - gain) / (n - 4))', df='n - 4')} from g"""
 
 
 @query(_reset_sql())
 def reset(spark, d):
-    return figures(spark, {"f": linear.reset(linear.fitted(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"])[1])[0]})
+    f, _, _, p = linear.reset(linear.fitted(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"])[1])
+    return figures(spark, {"f": f}).unionByName(spark.createDataFrame([("p", round(p, 7))], "name string, value double"))
 
 
 @query(f"with {_line_sql(_EVENTS, 'value', 'user_id')} select 'durbin_watson' as name, {s('sum(pow(u - p, 2)) / sum(u * u)')} as value from (select u, lag(u) over (order by event_id) as p from r)")
@@ -435,9 +454,26 @@ def condition_number(spark, d):
     return figures(spark, {"condition_number": linear.condition_number(_two(spark, d))})
 
 
-@query()
+def _diagnostics_sql() -> str:
+    """Two regressors: the condition number and VIF in closed form, Breusch-Pagan's p of two degrees of freedom is exp(-lm / 2), Cook's distances by row. RESET's p is not among them."""
+    return f"""with m as (select *, s11 * s22 - s12 * s12 as det, my - b1 * m1 - b2 * m2 as b0 from {_TWO_FIT}),
+        r as (select l_quantity x1, l_discount x2, l_extendedprice - b0 - b1 * l_quantity - b2 * l_discount u, 1 / n + (s22 * pow(l_quantity - m1, 2) - 2 * s12 * (l_quantity - m1) * (l_discount - m2) + s11 * pow(l_discount - m2, 2)) / (n * det) h, n from lineitem, m),
+        w as (select *, sum(u * u) over () / (n - 3) s2 from r),
+        k as (select any_value(n) n, count(*) filter (u * u * h / (3 * s2 * pow(1 - h, 2)) > 4 / n) / any_value(n) share, any_value(s2) s2,
+            covar_pop(x1, x1) a, covar_pop(x1, x2) b, covar_pop(x2, x2) c, covar_pop(x1, u * u) d, covar_pop(x2, u * u) e, var_pop(u * u) f, sum(x1 * x1) q1, sum(x1 * x2) q2, sum(x2 * x2) q3 from w),
+        z as (select *, n * (c * d * d - 2 * b * d * e + a * e * e) / (a * c - b * b) / f as lm, 1 / (1 - b * b / (a * c)) as vif, (q1 + q3 + sqrt(pow(q1 - q3, 2) + 4 * q2 * q2)) / 2 as top from k),
+        v as (select 'condition_number' as check_name, sqrt(top / ((q1 * q3 - q2 * q2) / top)) as value, case when sqrt(top / ((q1 * q3 - q2 * q2) / top)) < 1e7 then 'ok' when sqrt(top / ((q1 * q3 - q2 * q2) / top)) < 1e10 then 'warning' else 'attention' end as verdict from z
+            union all select 'max_vif', vif, case when vif < 5 then 'ok' when vif < 10 then 'warning' else 'attention' end from z
+            union all select 'breusch_pagan_p', exp(-lm / 2), case when exp(-lm / 2) < 0.05 then 'attention' else 'ok' end from z
+            union all select 'influential_share', share, case when share > 0.05 then 'warning' else 'ok' end from z)
+        select check_name, round(value, 7) as value, verdict from v"""
+
+
+@query(_diagnostics_sql())
 def regression_diagnostics(spark, d):
-    return spark.createDataFrame(linear.diagnostics(_two(spark, d)), "check_name string, value double, verdict string")
+    """RESET's p-value, an F probability that SQL lacks, is left to the tests; its F is the query reset."""
+    rows = [r for r in linear.diagnostics(_two(spark, d)) if r[0] != "reset_p"]
+    return spark.createDataFrame(rows, "check_name string, value double, verdict string").withColumn("value", F.round("value", 7))
 
 
 # Panels, instruments, differences
@@ -496,6 +532,17 @@ def did_2x2(spark, d):
     return figures(spark, {k: fit.figures[k] for k in ("att", "mean_00", "mean_01", "mean_10", "mean_11")} | {"n": fit.n})
 
 
+_DID_ROWS = "(select o_custkey, o_totalprice y, (c_mktsegment = 'BUILDING')::double t, (o_orderdate >= timestamp '1998-01-01')::double p from orders join customer on o_custkey = c_custkey)"
+
+
+@query(f"""with c as (select *, avg(y) over (partition by t, p) m, count(*) over (partition by t, p) k, count(*) over ()::double n from {_DID_ROWS}),
+    a as (select avg(y) filter (t = 1 and p = 1) - avg(y) filter (t = 1 and p = 0) - avg(y) filter (t = 0 and p = 1) + avg(y) filter (t = 0 and p = 0) b from c),
+    z as (select o_custkey, any_value(n) n, sum((case when t = p then 1 else -1 end) * (y - m) / k) s from c group by 1), g as (select count(*)::double g, any_value(n) n, sum(s * s) q from z)
+    select 'treat#post' as term, {s('b')} as coef, {s('sqrt(q * g / (g - 1) * (n - 1) / (n - 4))')} as se, {s('b / sqrt(q * g / (g - 1) * (n - 1) / (n - 4))')} as stat, n::bigint as n from g, a""")
+def did_cluster(spark, d):
+    return tidy(spark, panel.did(_did_data(spark, d), "o_totalprice", "treated", "after", vce="cluster", cluster="o_custkey")).where("term = 'treat#post'")
+
+
 @query(f"""with m as (select count(*)::double n, avg(l_extendedprice) my, avg(l_quantity) mx, covar_pop(l_tax, l_extendedprice) zy, covar_pop(l_tax, l_quantity) zx, var_pop(l_tax) zz, var_pop(l_quantity) xx, covar_pop(l_quantity, l_extendedprice) xy, var_pop(l_extendedprice) yy from lineitem),
     f as (select *, zy / zx b, my - zy / zx * mx c from m), v as (select *, (yy - 2 * b * xy + b * b * xx) * n / (n - 2) s2, zx * zx / zz * n h from f)
     select 'l_quantity' as term, {s('b')} as coef, {s('sqrt(s2 / h)')} as se, {s('b / sqrt(s2 / h)')} as stat, n::bigint as n from v union all select '_cons', {s('c')}, {s('sqrt(s2 * (1 / n + mx * mx / h))')}, {s('c / sqrt(s2 * (1 / n + mx * mx / h))')}, n::bigint from v""")
@@ -503,6 +550,22 @@ def iv_just_identified(spark, d):
     return tidy(spark, panel.ivregress(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"], ["l_tax"]))
 
 
+def _iv_over_sql(robust: bool) -> str:
+    """Two instruments, one endogenous variable: slopes from 2 x 2 systems in centred sums."""
+    meat = "n / (n - 2) * sum(pow(f * u, 2)) / pow(any_value(hh), 2)" if robust else "any_value(rss) / (n - 3) / any_value(hh)"
+    return f"""with m as (select count(*)::double n, avg(l_extendedprice) my, avg(l_quantity) mx, avg(l_tax) m1, avg(l_discount) m2, regr_sxx(l_tax, l_tax) a, regr_sxy(l_tax, l_discount) b, regr_sxx(l_discount, l_discount) c,
+            regr_sxy(l_tax, l_quantity) d, regr_sxy(l_discount, l_quantity) e from lineitem),
+        g as (select *, (c * d - b * e) / (a * c - b * b) p1, (a * e - b * d) / (a * c - b * b) p2 from m),
+        h as (select l_extendedprice - my y, l_quantity - mx x, p1 * (l_tax - m1) + p2 * (l_discount - m2) f, n, p1 * d + p2 * e hh from lineitem, g),
+        k as (select *, sum(f * y) over () / hh as beta from h), r as (select *, y - beta * x u, sum(pow(y - beta * x, 2)) over () rss from k),
+        v as (select n, any_value(beta) beta, sqrt({meat}) se from r group by n)
+        select 'l_quantity' as term, {s('beta')} as coef, {s('se')} as se, {s('beta / se')} as stat, n::bigint as n from v"""
+
+
+for _vce in ("classical", "robust"):
+    query(_iv_over_sql(_vce == "robust"), f"iv_over_identified_{_vce}")(lambda spark, d, vce=_vce: tidy(spark, panel.ivregress(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"], ["l_tax", "l_discount"], vce=vce)).where("term = 'l_quantity'"))
+
+
 @query(f"with q as (select count(*)::double n, pow(corr(l_quantity, l_tax), 2) r2 from lineitem) select 'f' as name, {s('r2 / ((1 - r2) / (n - 2))')} as value from q union all select 'partial_r2', {s('r2')} from q")
 def iv_first_stage(spark, d):
     f = panel.ivregress(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"], ["l_tax"]).figures
@@ -574,17 +637,21 @@ def estimate_list(spark, d):
     return _session(spark, d).estimates_list().select("id", "kind", "n")
 
 
-@query("select 'l_quantity' as name, count(*)::bigint as rows, avg(l_quantity) > 0 as positive from lineitem")
+_CSV = ["l_orderkey", "l_linenumber", *LINE, "l_returnflag", "note"]
+_CSV_SQL = """select l_orderkey::double as l_orderkey, l_linenumber::double as l_linenumber, l_quantity, nullif(l_extendedprice, 1000) as l_extendedprice, l_discount, l_tax, l_returnflag, l_returnflag || ', "' || l_linestatus || '"; ' || l_partkey::varchar as note from lineitem"""
+
+
+@query(_CSV_SQL)
 def csv_round_trip(spark, d):
-    """lineitem's numbers written as CSV to the shared folder and read again by the import rules."""
-    from .plans.staging import stage
+    """lineitem's numbers and texts, with separators, quotes and missing cells, written as CSV to the shared folder and read again by the import rules: every cell."""
+    from .plans.staging import folder
     from .sources import csvio
 
-    base = stage(spark.range(0), "csv").inputFiles()
-    folder = (base[0].rsplit("/", 1)[0] if base else "") + "-out.csv"
-    csvio.write_csv(table(spark, d, "lineitem").select(*(F.col(c).cast("double").alias(c) for c in LINE)), folder)
-    back, _ = csvio.read_csv(spark, folder)
-    return back.agg(F.count("l_quantity").alias("rows"), (F.avg("l_quantity") > 0).alias("positive")).select(F.lit("l_quantity").alias("name"), "rows", "positive")
+    at = folder(spark, "csv") + ".csv"
+    text = F.concat(F.col("l_returnflag"), F.lit(', "'), F.col("l_linestatus"), F.lit('"; '), F.col("l_partkey").cast("string"))
+    rows = table(spark, d, "lineitem").withColumn("note", text).withColumn("l_extendedprice", F.nullif("l_extendedprice", F.lit(1000.0)))
+    csvio.write_csv(rows.select(*(F.col(c).cast("double").alias(c) if c not in ("l_returnflag", "note") else F.col(c) for c in _CSV)), at)
+    return csvio.read_csv(spark, at)[0]
 
 
 @query("select l_quantity, l_extendedprice from lineitem where isfinite(l_quantity) and isfinite(l_extendedprice)")
@@ -612,7 +679,7 @@ def replay_ok(spark, d):
     return session.project.replay(spark).select("step", "command", "reproduced")
 
 
-@query(f"select 'n' as name, {s('count(*)')} as value from lineitem union all select 'mean', {s('avg(l_tax)')} from lineitem")
+@query(f"select 'n' as name, {s('count(*)')} as value from lineitem" + "".join(f" union all select '{k}', {s(v)} from lineitem" for k, v in {"mean": "avg(l_tax)", "mean_2": "avg(l_quantity)", "squares": "var_pop(l_tax) * count(*)", "products": "round(covar_pop(l_tax, l_quantity) * count(*), 3)", "squares_2": "var_pop(l_quantity) * count(*)"}.items()))
 def moments_one_pass(spark, d):
-    m = moments(table(spark, d, "lineitem"), ["l_tax", "l_discount"])
-    return figures(spark, {"n": float(m.n), "mean": float(m.means[0])})
+    m = moments(table(spark, d, "lineitem"), ["l_tax", "l_quantity"])
+    return figures(spark, {"n": float(m.n), "mean": float(m.means[0]), "mean_2": float(m.means[1]), "squares": float(m.cross[0, 0]), "products": round(float(m.cross[0, 1]), 3), "squares_2": float(m.cross[1, 1])})

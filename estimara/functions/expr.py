@@ -67,6 +67,8 @@ def rounded(a) -> Column:
     return F.signum(number(a)) * F.floor(F.abs(number(a)) + 0.5).cast("double")
 
 
+#: Distinct values whose ranks may be broadcast.
+BROADCAST_VALUES = 200_000
 COMPARE = {"==": "eqNullSafe", "!=": "__ne__", ">": "__gt__", ">=": "__ge__", "<": "__lt__", "<=": "__le__"}
 
 
@@ -91,12 +93,14 @@ def with_rank(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with the average rank of ``value`` (1: smallest; ties share theirs; missing stays missing).
 
     Distinct values are counted and dealt by range; each range's running sum
-    begins at the sum of the ranges before it, so no task sees all values.
+    begins at the sum of the ranges before it, so no task sees all values. Few
+    distinct values (by count) are broadcast to the rows, others joined.
     """
     from .order import running_total
 
-    valued = df.withColumn("__value", value)
-    counts = valued.where(F.col("__value").isNotNull() & ~F.isnan("__value")).groupBy("__value").agg(F.count("*").alias("__n"))
-    ranked = running_total(counts, ["__value"], "__n", "__to").select(F.col("__value").alias("__key"), (F.col("__to") - (F.col("__n") - 1) / 2).alias("__rank"))
-    joined = valued.join(ranked, F.col("__value") == F.col("__key"), "left")
-    return joined.drop("__value", "__key").withColumn(name, F.col("__rank").cast("double")).drop("__rank") if name != "__rank" else joined.drop("__value", "__key")
+    columns = [f"c{i}" for i in range(len(df.columns))]
+    valued = df.withColumn("__value", value).toDF(*columns, "value")
+    counts = valued.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("value").agg(F.count("*").alias("n"))
+    ranked = running_total(counts, ["value"], "n", "to").select(F.col("value").alias("key"), (F.col("to") - (F.col("n") - 1) / 2).cast("double").alias("rank"))
+    ranked = F.broadcast(ranked) if ranked.count() <= BROADCAST_VALUES else ranked
+    return valued.join(ranked, F.col("value") == F.col("key"), "left").select(*columns, "rank").toDF(*df.columns, name)

@@ -2,28 +2,42 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.staging import stage
 
 
 def running_total(df: DataFrame, order: list[str], amount: str, name: str, parts: int | None = None) -> DataFrame:
-    """``df`` with the running total of ``amount`` in the order of its (distinct) keys.
+    """``df`` with the running total of ``amount`` (a whole number) in the order of its (distinct) keys.
 
-    Rows are dealt by range; a total for each range, one row each, tells where the next one starts.
+    Rows are dealt by range, sorted there, and added up as they are written: one
+    shuffle. A total for each range, one row each, tells where the next one starts.
     """
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Ranges come from a sample, so they must be drawn once only.
-    dealt = stage(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranges")
-    sums = dealt.groupBy("__part").agg(F.sum(amount).alias("__sum")).collect()  # a row for each range
-    before, total = {}, 0
-    for row in sorted(sums, key=lambda r: r["__part"]):
-        before[row["__part"]] = total
-        total += row["__sum"] or 0
-    starts = df.sparkSession.createDataFrame(list(before.items()), "__part int, __before long")
-    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return dealt.join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + F.sum(amount).over(within)).drop("__part", "__before")
+    columns = [f"c{i}" for i in range(len(df.columns))]
+    at = df.columns.index(amount)
+    rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order).toDF(*columns)
+
+    def add_up(batches):
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            upto = before + np.cumsum(batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64))
+            before = int(upto[-1]) if len(upto) else before
+            yield batch.append_column("part", pa.array(np.full(batch.num_rows, part), pa.int32())).append_column("upto", pa.array(upto, pa.int64()))
+
+    fields = [*rows.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("upto", T.LongType())]
+    dealt = stage(rows.mapInArrow(add_up, T.StructType(fields)), "ranges")
+    sums, before, total = dealt.groupBy("part").agg(F.max("upto").alias("sum")).collect(), {}, 0  # a row for each range
+    for row in sorted(sums, key=lambda r: r["part"]):
+        before[row["part"]] = total
+        total += row["sum"] or 0
+    starts = df.sparkSession.createDataFrame(list(before.items()), "part int, before long")
+    return dealt.join(F.broadcast(starts), "part").select(*columns, (F.col("before") + F.col("upto")).alias("total")).toDF(*df.columns, name)
 
 
 def dense_index(df: DataFrame, order: list[str], name: str = "__index") -> DataFrame:

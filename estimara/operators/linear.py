@@ -106,8 +106,9 @@ class Design:
 def design(rows: DataFrame, y: str, x: list[str], constant: bool = True, weight: str | None = None) -> Design:
     """Moments in one pass, a small solve, and a check that every column adds something.
 
-    Without a constant, columns aren't centred; the factor R of a distributed QR
-    stands for the moments then, which keeps the digits that products would lose.
+    Without a constant, columns aren't centred; the factor R of one distributed
+    QR (of rows times the weights' roots) stands for the moments then, which
+    keeps the digits that products would lose.
     """
     k = len(x) + constant
     if constant:
@@ -116,25 +117,23 @@ def design(rows: DataFrame, y: str, x: list[str], constant: bool = True, weight:
             raise too_few("The regression", k + 1, m.n)
         sxx, sxy = m.block(x, x), m.block(x, [y])[:, 0]
     else:
-        r = qr_factor(rows, [*x, y])
-        cross = r.T @ r
-        n = rows.count()
+        r, n = qr_factor(rows, [*x, y], weight)
         if n <= k:
             raise too_few("The regression", k + 1, n)
+        cross = r.T @ r
         m = Moments([*x, y], n, float(n), np.zeros(k + 1), cross)
         sxx, sxy = cross[:k, :k], cross[:k, k]
     if bad := collinear(sxx, x):
         raise StatError("not_identified", f"{', '.join(bad)}: the model isn't identified.", "These columns are linear combinations of those before them.", "Leave them out.")
+    if not constant:
+        back = np.linalg.inv(r[:k, :k])
+        return Design(rows, y, x, m, False, back @ back.T, np.eye(k), back @ r[:k, k], float(r[k, k] ** 2) if len(r) > k else 0.0, weight)
     size = np.sqrt(np.diag(sxx))
     scaled = np.linalg.inv(sxx / np.outer(size, size))
     inv = scaled / np.outer(size, size)
     slopes = (scaled @ (sxy / size)) / size
     syy = m.block([y], [y])[0, 0]
     rss = max(0.0, float(syy - slopes @ sxy))
-    if not constant:
-        r_full = qr_factor(rows, [*x, y])
-        slopes, rss = np.linalg.solve(r_full[:k, :k], r_full[:k, k]), float(r_full[k, k] ** 2) if len(r_full) > k else 0.0
-        return Design(rows, y, x, m, False, inv, np.eye(k), slopes, rss, weight)
     whole = np.zeros((k, k))
     whole[0, 0], whole[1:, 1:] = 1 / m.weight, inv
     back = np.eye(k)

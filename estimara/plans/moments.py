@@ -107,22 +107,26 @@ def collinear(cross: np.ndarray, names: list[str]) -> list[str]:
     return bad
 
 
-def qr_factor(df: DataFrame, names: list[str]) -> np.ndarray:
-    """R of the QR factorisation of these columns (no nulls): a factor for each batch, and of the factors again."""
-    k = len(names)
+def qr_factor(df: DataFrame, names: list[str], weight: str | None = None) -> tuple[np.ndarray, int]:
+    """R of the QR factorisation of these columns (no nulls), and the number of rows; weight: of rows times the weights' roots.
 
-    def factor(rows: np.ndarray) -> np.ndarray:
-        return np.linalg.qr(rows, mode="r")
+    Each batch gives a factor, and the factors again, all in one pass.
+    """
+    k = len(names)
 
     def run(batches):
         import pyarrow as pa
 
-        held = np.zeros((0, k))
+        held, n = np.zeros((0, k)), 0
         for batch in batches:
-            held = factor(np.vstack([held, np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(k)])]))
-        yield pa.RecordBatch.from_arrays([pa.array(held[:, i]) for i in range(k)], names)
-
-    schema, numbers = ", ".join(f"`{x}` double" for x in names), df.select(*(F.col(x).cast("double").alias(x) for x in names))
+            rows = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(k)])
+            held, n = np.linalg.qr(np.vstack([held, rows]), mode="r"), n + sum(batch.column(k).to_pylist())
+        counts = pa.array([n] + [0] * (len(held) - 1), pa.int64()) if len(held) else pa.array([], pa.int64())
+        yield pa.RecordBatch.from_arrays([*(pa.array(held[:, i]) for i in range(k)), counts], [*(f"x{i}" for i in range(k)), "n"])
+
+    root = F.sqrt(F.col(weight).cast("double")) if weight else F.lit(1.0)
+    numbers = df.select(*((F.col(x).cast("double") * root).alias(f"x{i}") for i, x in enumerate(names)), F.lit(1).cast("long").alias("n"))
+    schema = ", ".join(f"x{i} double" for i in range(k)) + ", n long"
     # At most k rows from each task, then from each of 16, then one.
-    parts = numbers.mapInArrow(run, schema).repartition(16).mapInArrow(run, schema).collect()
-    return factor(np.array([list(r) for r in parts], float).reshape(-1, k))
+    parts = np.array([list(r) for r in numbers.mapInArrow(run, schema).repartition(16).mapInArrow(run, schema).collect()], float).reshape(-1, k + 1)
+    return np.linalg.qr(parts[:, :k], mode="r"), int(parts[:, k].sum())

@@ -66,11 +66,20 @@ def test_rows_and_columns(df):
         assert e.value.what and e.value.why and e.value.action
 
 
-def test_quartiles_of_many_rows(spark, monkeypatch):
-    data = spark.createDataFrame([(float(i * 37 % 101), float(i % 3) if i % 5 else None) for i in range(230)], "v double, w double")
-    want = [tuple(r) for r in describe.summarize(data).collect()]
-    monkeypatch.setattr(describe, "FEW_ROWS", 0)
-    assert [tuple(r) for r in describe.summarize(data).collect()] == [tuple(pytest.approx(x, rel=1e-12) if isinstance(x, float) else x for x in r) for r in want]
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_quartiles_and_distinct_values_of_all_columns(spark, parts):
+    v = [float(i * 37 % 101) for i in range(230)]
+    w = [float(i % 3) if i % 5 else None for i in range(230)]
+    data = spark.createDataFrame([(a, b, None, 7) for a, b in zip(v, w)], "v double, w double, empty double, one int").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = describe.summarize(data).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for row, values in zip(got, (v, [x for x in w if x is not None], [], [7.0] * 230)):
+        assert (row.q1, row["median"], row.q3) == (tuple(np.quantile(values, [0.25, 0.5, 0.75])) if values else (None, None, None))
+        assert row.distinct == len(set(values)) and row.n == len(values)
 
 
 def test_summary(spark):

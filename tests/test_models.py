@@ -106,6 +106,16 @@ def test_weights_and_no_constant(data):
     b, u, inv = ols(x, t["y"])
     fit = linear.regress(df, "y", ["a", "b"], constant=False)
     assert fit.terms == ["a", "b"] and fit.coef == pytest.approx(b, rel=1e-9) and fit.vcov == pytest.approx(inv * (u @ u) / 238, rel=1e-8)
+    b, u, inv = ols(x * r, t["y"] * r[:, 0])
+    both = lambda **options: linear.regress(df, "y", ["a", "b"], weight="w", constant=False, **options)
+    fit = both()
+    assert fit.kind == "wls" and fit.coef == pytest.approx(b, rel=1e-9) and fit.vcov == pytest.approx(inv * (u @ u) / 238, rel=1e-8) and fit.n == 240
+    for kind in ("hc0", "hc1", "hc2", "hc3"):
+        assert both(vce=kind).vcov == pytest.approx(sandwich(x * r, u, inv, kind), rel=1e-8)
+    score = (x * r) * u[:, None]
+    sums = np.array([score[t["entity"] == g].sum(axis=0) for g in np.unique(t["entity"])])
+    g = len(sums)
+    assert both(vce="cluster", cluster="entity").vcov == pytest.approx(inv @ (sums.T @ sums) @ inv * g / (g - 1) * 239 / 238, rel=1e-8)
 
 
 def test_diagnostics(data):
