@@ -34,9 +34,9 @@ PLACES = 1 << 24
 #: A term's weight beside its frequency is FLOOR + c / (c + HALF), with c its chi-square if it goes with the label, else 0.
 FLOOR, HALF = 0.02, 50.0
 NEIGHBOURS, PRIOR_WEIGHT = 32, 1.0
-#: Examples of an index block, blocks that are looked at first, and documents scored at a time.
-BLOCK, FIRST, QUERIES = 128, 4, 256
-#: Terms that more than one in so many examples have are kept as rows of numbers, not as postings.
+#: Examples of an index block at most, and documents scored at a time.
+BLOCK, QUERIES = 4096, 256
+#: Terms that more than one in so many examples of a block have are kept as rows of numbers, not as postings.
 COMMON = 16
 GRAIN = 1 << 12
 WORDS = re.compile(r"[^\W\d_]+")
@@ -94,7 +94,7 @@ def vectors(texts: pa.Array, vocabulary: dict[bytes, int]) -> tuple[np.ndarray,
 def _vectors(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            at, n, begins = vectors(texts, vocabulary.value)
+            at, n, begins = vectors(texts, vocabulary.value.places)
             offsets = pa.array(begins, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int32()))], ["doc_id", "label", "at", "n"])
 
@@ -103,7 +103,7 @@ def _vectors(vocabulary):
 
 def _document_counts(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value
+        known = vocabulary.value.places
         n, counts = 0, np.zeros(len(known), np.int64)
         for _, texts in slices(batches):
             n += len(texts)
@@ -115,7 +115,7 @@ def _document_counts(vocabulary):
 
 
 def leaves(rows: np.ndarray, most: int) -> list[np.ndarray]:
-    """The rows' places in parts of ``most`` at most, halved again and again where they differ most."""
+    """The rows' places in parts of ``most`` at most, cut again and again where they differ most."""
     parts, out = [np.arange(len(rows))], []
     while parts:
         part = parts.pop()
@@ -124,105 +124,123 @@ def leaves(rows: np.ndarray, most: int) -> list[np.ndarray]:
             continue
         centred = rows[part] - rows[part].mean(axis=0)
         axis = np.linalg.eigh(centred.T @ centred)[1][:, -1] if centred.shape[1] else np.zeros(0)
-        part = part[np.argsort(centred @ axis, kind="stable")]
-        parts += [part[len(part) // 2 :], part[: len(part) // 2]]
+        along = centred @ axis
+        order, cut = np.argsort(along, kind="stable"), int((along < 0).sum())
+        if not len(part) // 16 < cut < len(part) - len(part) // 16:
+            cut = len(part) // 2
+        parts += [part[order[cut:]], part[order[:cut]]]
     return out
 
 
+@dataclass
+class Block:
+    """Examples that are alike: an inverted index of their terms. Terms that many of them have are kept as rows of numbers instead."""
+
+    dense: np.ndarray  # examples x common terms
+    starts: np.ndarray  # of the other terms' postings, one more than terms
+    examples: np.ndarray  # of the postings
+    weights: np.ndarray
+
+    def cosines(self, query: np.ndarray, place: np.ndarray, weight: np.ndarray, queries: int) -> np.ndarray:
+        """queries x examples. A query's weight of a term: of the common one at ``place``, or, below zero, of the other one at ``-1 - place``."""
+        n, is_common = len(self.dense), place >= 0
+        asked = np.zeros((queries, self.dense.shape[1]), np.float32)
+        asked[query[is_common], place[is_common]] = weight[is_common]
+        term = -1 - place[~is_common]
+        sizes = self.starts[term + 1] - self.starts[term]
+        posts = spread(self.starts[term], sizes)
+        rest = np.bincount(np.repeat(query[~is_common] * n, sizes) + self.examples[posts], np.repeat(weight[~is_common], sizes) * self.weights[posts], queries * n)
+        return rest.reshape(queries, n) + asked @ self.dense.T
+
+
 @dataclass
 class Index:
     """An inverted index of the examples in blocks, with each term's largest weight in each block.
 
     A term has an entry for each block that holds it: the block, the largest
-    weight in it, and its postings there. Terms that many examples have are kept
-    by example instead, and multiplied out at once. The bound on the cosines of
-    a block is the sum of the query's weights times these maxima, beside the
-    most that common terms give there; blocks that can't reach the worst of the
-    neighbours found at first are skipped.
+    weight in it, and the term's place there. The bound on the cosines of a
+    block is the sum of a query's weights times these maxima; a query's best
+    block by bound is looked at first, then those that can reach its worst
+    neighbour so far. So the neighbours are exactly the nearest.
     """
 
     labels: np.ndarray
     ids: np.ndarray
-    terms: int
-    block: int
-    column: np.ndarray  # of each term among the common ones, or -1
-    dense: np.ndarray  # examples, filled up to whole blocks, x common terms
+    blocks: list[Block]
+    begins: np.ndarray  # first example of each block
     first_entry: np.ndarray  # by term, one more than terms
     entry_block: np.ndarray
     entry_max: np.ndarray
-    entry_start: np.ndarray  # one more than entries
-    examples: np.ndarray  # of the postings
-    weights: np.ndarray
+    entry_place: np.ndarray
 
     @classmethod
     def of(cls, sizes: np.ndarray, term: np.ndarray, weight: np.ndarray, labels: np.ndarray, ids: np.ndarray, terms: int, block: int = BLOCK, common: int = COMMON) -> Index:
         """Of each example, the number of its terms; then all places of terms and their weights on end."""
-        n, begins = len(sizes), np.append(0, np.cumsum(sizes))
-        places = np.flatnonzero(np.bincount(term, minlength=terms) * common > n)
+        n, at = len(sizes), np.append(0, np.cumsum(sizes))
+        often = np.flatnonzero(np.bincount(term, minlength=terms) * common > n)
         column = np.full(terms, -1, np.int32)
-        column[places] = np.arange(len(places))
-        dense, is_common = np.zeros((n, len(places)), np.float32), column[term] >= 0  # holds the weights as they are
-        dense[np.repeat(np.arange(n), sizes)[is_common], column[term[is_common]]] = weight[is_common]
-        # Of examples alike in common terms, those with the same heaviest term stand together, which keeps the bounds tight.
-        heavy = [(int(term[a + np.argmax(weight[a:b])]), float(weight[a:b].max())) if b > a else (-1, 0.0) for a, b in zip(begins, begins[1:])]
-        order = np.array([i for leaf in leaves(dense, 16 * block) for i in sorted(leaf.tolist(), key=lambda i: (*heavy[i], ids[i]))], np.int64)
-        blocks = -(-n // block)
-        dense = np.pad(dense[order], ((0, blocks * block - n), (0, 0)))
-        flat, example = spread(begins[:-1][order], sizes[order]), np.repeat(np.arange(n, dtype=np.int32), sizes[order])
-        term, weight = term[flat], weight[flat]
-        is_common = column[term] >= 0
-        example, term, weight = example[~is_common], term[~is_common], weight[~is_common]
-        by_term = np.argsort(term, kind="stable")  # examples stay in order within a term
-        example, term, weight = example[by_term], term[by_term], weight[by_term]
-        key = term * blocks + example // block
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        top = np.maximum.reduceat(weight, start) if len(key) else np.zeros(0)
-        first = np.searchsorted(key[start], np.arange(terms + 1) * blocks)
-        return cls(labels[order], ids[order], terms, block, column, dense, first, (key[start] % max(blocks, 1)).astype(np.int32), top.astype(np.float32), np.append(start, len(key)).astype(np.int32), example, weight.astype(np.float32))
-
-    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, own: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Cosines and places of the k nearest examples of each query (places of terms, weights): larger cosines first, then smaller ids.
-
-        Examples without a term in common don't count. own: of each query, the id of an example that doesn't count.
+        column[often] = np.arange(len(often))
+        dense, there = np.zeros((n, len(often)), np.float32), column[term] >= 0
+        dense[np.repeat(np.arange(n, dtype=np.int32), sizes)[there], column[term[there]]] = weight[there]
+        parts, blocks, entries = leaves(dense, block), [], []
+        del dense, column, there
+        for number, part in enumerate(parts):
+            flat = spread(at[:-1][part], sizes[part])
+            own, value, example = term[flat], weight[flat], np.repeat(np.arange(len(part), dtype=np.int32), sizes[part])
+            order = np.argsort(own, kind="stable")
+            own, value, example = own[order], value[order].astype(np.float32), example[order]
+            start = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+            counts = np.diff(np.append(start, len(own)))
+            is_common = counts * common > len(part)
+            place = np.where(is_common, np.cumsum(is_common) - 1, -np.cumsum(~is_common))
+            numbers, all_common = np.zeros((len(part), int(is_common.sum())), np.float32), np.repeat(is_common, counts)
+            numbers[example[all_common], np.repeat(place, counts)[all_common]] = value[all_common]
+            blocks.append(Block(numbers, np.append(0, np.cumsum(counts[~is_common])), example[~all_common], value[~all_common]))
+            entries.append((own[start].astype(np.int32), np.full(len(start), number, np.int16), np.maximum.reduceat(value, start) if len(start) else value, place.astype(np.int32)))
+        own, number, top, place = (np.concatenate(x) for x in zip(*entries)) if entries else (np.zeros(0, np.int32),) * 4
+        order = np.argsort(own, kind="stable")
+        members = np.concatenate([*parts, np.zeros(0, np.int64)])
+        return cls(labels[members], ids[members], blocks, np.append(0, np.cumsum([len(x) for x in parts])), np.searchsorted(own[order], np.arange(terms + 1)), number[order], top[order], place[order])
+
+    def nearest(self, at: np.ndarray, weights: np.ndarray, begins: np.ndarray, k: int = NEIGHBOURS, own: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Cosines and places of the k nearest examples of each query: larger cosines first, then smaller ids.
+
+        Queries are places of terms and weights on end; each begins at ``begins`` (one more than queries). Examples
+        without a term in common don't count. own: of each query, the id of an example that doesn't count.
         """
-        n, blocks = len(self.dense), len(self.dense) // self.block
-        if not n:
-            return [(np.zeros(0), np.zeros(0, np.int64)) for _ in queries]
-        common = np.zeros((len(queries), self.dense.shape[1]), np.float32)
-        for row, (at, weights) in zip(common, queries):
-            own_column = self.column[at]
-            row[own_column[own_column >= 0]] = weights[own_column >= 0]
-        given = (common @ self.dense.T).astype(float)
-        bounds = given.reshape(len(queries), blocks, self.block).max(axis=2)
-        out = []
-        for i, (at, weights) in enumerate(queries):
-            counts = self.first_entry[at + 1] - self.first_entry[at]
-            entries, q = spread(self.first_entry[at], counts), np.repeat(weights, counts)
-            where = self.entry_block[entries]
-            bound = bounds[i] + np.bincount(where, q * self.entry_max[entries], blocks)
-            cosines = given[i]
-
-            def look(these: np.ndarray) -> np.ndarray:
-                """Add up the cosines in these blocks; places of their examples with a term in common."""
-                pick = these[where]
-                some = entries[pick]
-                starts = self.entry_start[some]
-                sizes = self.entry_start[some + 1] - starts
-                posts = spread(starts, sizes)
-                cosines[:] += np.bincount(self.examples[posts], np.repeat(q[pick], sizes) * self.weights[posts], n)
-                there = np.flatnonzero(np.repeat(these, self.block) & (cosines > 0))
-                return there if own is None else there[self.ids[there] != own[i]]
-
-            these = np.zeros(blocks, bool)
-            these[np.argsort(-bound, kind="stable")[:FIRST]] = True
-            found = look(these)
-            worst = np.partition(cosines[found], -k)[-k] if len(found) > k else 0.0
-            if (rest := (bound >= worst) & (bound > 0) & ~these).any():
-                found = np.append(found, look(rest))
-            found = found[cosines[found] >= worst]
-            found = found[np.lexsort((self.ids[found], -cosines[found]))][:k]
-            out.append((cosines[found], found))
-        return out
+        n, blocks = len(begins) - 1, len(self.blocks)
+        if not blocks:
+            return [(np.zeros(0), np.zeros(0, np.int64)) for _ in range(n)]
+        counts = self.first_entry[at + 1] - self.first_entry[at]
+        entry = spread(self.first_entry[at], counts)
+        query, weight = np.repeat(np.repeat(np.arange(n), np.diff(begins)), counts), np.repeat(weights, counts)
+        number = self.entry_block[entry].astype(np.int64)
+        bounds = np.bincount(query * blocks + number, weight * self.entry_max[entry], n * blocks).reshape(n, blocks)
+        by_block = np.argsort(number, kind="stable")
+        query, weight, place = query[by_block], weight[by_block], self.entry_place[entry[by_block]]
+        cut = np.searchsorted(number[by_block], np.arange(blocks + 1))
+        best, first, found = np.zeros((n, k)), bounds.argmax(axis=1), []
+        for later in (False, True):
+            for b in range(blocks):
+                asks = np.flatnonzero((bounds[:, b] > 0) & ((first != b) & (bounds[:, b] >= best.min(axis=1)) if later else first == b))
+                if not len(asks):
+                    continue
+                local = np.full(n, -1)
+                local[asks] = np.arange(len(asks))
+                mine = slice(cut[b], cut[b + 1])
+                row = local[query[mine]]
+                cosines = self.blocks[b].cosines(row[row >= 0], place[mine][row >= 0], weight[mine][row >= 0], len(asks))
+                if own is not None:
+                    cosines[self.ids[None, self.begins[b] : self.begins[b + 1]] == np.array(own)[asks, None]] = 0
+                top = np.partition(cosines, -k, axis=1)[:, -k:] if cosines.shape[1] > k else cosines
+                best[asks] = np.partition(np.append(best[asks], top, axis=1), -k, axis=1)[:, -k:]
+                least = best[asks].min(axis=1)
+                i, j = np.nonzero((cosines >= least[:, None]) & (cosines > 0))
+                found.append((asks[i], cosines[i, j], self.begins[b] + j))
+        row, cosines, places = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        order = np.lexsort((self.ids[places], -cosines, row))
+        cuts = np.searchsorted(row[order], np.arange(n + 1))
+        return [(cosines[order[a:b][:k]], places[order[a:b][:k]]) for a, b in zip(cuts, cuts[1:])]
 
 
 def units(at: np.ndarray, n: np.ndarray, begins: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -233,43 +251,55 @@ def units(at: np.ndarray, n: np.ndarray, begins: np.ndarray, weight: np.ndarray)
     return np.floor(own / size[row] * GRAIN) / GRAIN
 
 
-@dataclass
+class Words:
+    """The vocabulary: words in order, on end. Where it is used, their places are looked up in a table."""
+
+    def __init__(self, words: bytes):
+        self.words = words
+
+    @cached_property
+    def places(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.words.split(b"\n"))} if self.words else {}
+
+    def __getstate__(self) -> bytes:
+        return zstandard.ZstdCompressor(level=3).compress(self.words)
+
+    def __setstate__(self, state: bytes) -> None:
+        self.words = zstandard.ZstdDecompressor().decompress(state)
+
+
 class Model:
-    """The examples as vectors. Pickled, it is packed; the index is made where it is used, once for each Python worker."""
+    """The examples as vectors. Pickled, they are packed; the index is made where it is used, once for each Python worker."""
 
-    vocabulary: dict[bytes, int]
-    weight: np.ndarray  # of each term
-    rate: float  # toxic share of the examples
-    labels: np.ndarray
-    ids: np.ndarray
-    sizes: np.ndarray  # terms of each example
-    term: np.ndarray
-    value: np.ndarray  # weights of unit vectors
+    def __init__(self, words: Words, weight: np.ndarray, rate: float, examples: pa.Table):
+        """weight: of each term. rate: toxic share of the examples, which are doc_id, label, at and grains."""
+        self.words, self.weight, self.rate = words, weight, rate
+        flat = [pc.list_flatten(examples.column(c)).to_numpy() for c in ("at", "grains")]
+        self.parts = [np.asarray(x) for x in (examples.column("label").to_numpy().astype(float), examples.column("doc_id").to_numpy(), pc.list_value_length(examples.column("at")).to_numpy())] + [self.packed(np.diff(flat[0], prepend=np.int32(0))), self.packed(flat[1])]
+
+    @staticmethod
+    def packed(values: np.ndarray) -> bytes:
+        return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values).tobytes())
 
     @cached_property
     def index(self) -> Index:
-        return Index.of(self.sizes, self.term, self.value, self.labels, self.ids, len(self.weight))
+        unpack = zstandard.ZstdDecompressor().decompress
+        labels, ids, sizes, steps, grains = self.parts
+        term = np.cumsum(np.frombuffer(unpack(steps), np.int32), dtype=np.int32)
+        return Index.of(sizes, term, np.frombuffer(unpack(grains), np.int16) / np.float32(GRAIN), labels, ids, len(self.weight))
 
-    def __getstate__(self) -> dict:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        words = pack(b"\n".join(sorted(self.vocabulary, key=self.vocabulary.get)))
-        steps = np.diff(self.term, prepend=0).astype(np.int32)  # small, as each example's terms are in order
-        return {"rate": self.rate, "weight": self.weight.tobytes(), "words": words, "steps": pack(steps.tobytes()), "grains": pack((self.value * GRAIN).astype(np.uint16).tobytes()), "rows": [self.labels, self.ids, self.sizes]}
+    def __getstate__(self) -> tuple:
+        return self.words, self.weight, self.rate, self.parts
 
-    def __setstate__(self, state: dict) -> None:
-        unpack = zstandard.ZstdDecompressor().decompress
-        words = unpack(state["words"])
-        self.vocabulary = {w: i for i, w in enumerate(words.split(b"\n"))} if words else {}
-        self.rate, self.weight = state["rate"], np.frombuffer(state["weight"])
-        self.term = np.cumsum(np.frombuffer(unpack(state["steps"]), np.int32))
-        self.value = np.frombuffer(unpack(state["grains"]), np.uint16) / GRAIN
-        self.labels, self.ids, self.sizes = state["rows"]
+    def __setstate__(self, state: tuple) -> None:
+        self.words, self.weight, self.rate, self.parts = state
 
     def votes(self, at: np.ndarray, n: np.ndarray, begins: np.ndarray, own: list[int] | None = None, prior_weight: float = PRIOR_WEIGHT) -> tuple[np.ndarray, list[np.ndarray]]:
         """Toxic share of each text's neighbours, by cosine, with the examples' rate as a prior; and the neighbours' ids."""
-        values = units(at, n, begins, self.weight)
-        each = [(at[a:b], values[a:b]) for a, b in zip(begins, begins[1:])]
-        found = [x for lo in range(0, len(each), QUERIES) for x in self.index.nearest(each[lo : lo + QUERIES], own=own[lo : lo + QUERIES] if own else None)]
+        values, found = units(at, n, begins, self.weight), []
+        for lo in range(0, len(begins) - 1, QUERIES):
+            some = begins[lo : lo + QUERIES + 1]
+            found += self.index.nearest(at[some[0] : some[-1]], values[some[0] : some[-1]], some - some[0], own=own[lo : lo + QUERIES] if own else None)
         shares = [(float((c * self.index.labels[p]).sum()) + prior_weight * self.rate) / (float(c.sum()) + prior_weight) for c, p in found]
         return np.array(shares), [self.index.ids[p] for _, p in found]
 
@@ -322,6 +352,18 @@ def association(n: np.ndarray, toxic: np.ndarray, all_n: int, all_toxic: int) ->
     return np.divide(apart * apart * all_n, room, out=np.zeros_like(apart), where=room > 0)
 
 
+def _unit_vectors(weight: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.list_value_length(batch.column("at")).to_numpy()
+            begins = np.append(0, np.cumsum(lengths))
+            values = units(*(batch.column(c).flatten().to_numpy() for c in ("at", "n")), begins, weight.value)
+            grains = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array((values * GRAIN).astype(np.int16)))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "label", "at")] + [grains], ["doc_id", "label", "at", "grains"])
+
+    return run
+
+
 def _own_votes(model: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,21 +389,21 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     examples = stage(seen, "examples")
     n, n_toxic = examples.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     terms = examples.mapInArrow(_term_counts, "term string, n long, n_toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic")).toArrow().sort_by("term")
-    vocabulary = {t.encode(): i for i, t in enumerate(terms.column("term").to_pylist())}
-    shared = spark.sparkContext.broadcast(vocabulary)
+    words = Words("\n".join(terms.column("term").to_pylist()).encode())
+    shared = spark.sparkContext.broadcast(words)
     counted = texts.select("text").mapInArrow(_document_counts(shared), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    counts, total = np.zeros(len(vocabulary) + 1), 0  # the last place is the number of documents
+    counts = np.zeros(len(terms) + 1)  # the last place is the number of documents
     counts[counted.column("at").to_numpy()] = counted.column("n").to_numpy()
     counts, total = counts[:-1], counts[-1]
     chi2 = association(terms.column("n").to_numpy(), terms.column("n_toxic").to_numpy(), n, n_toxic)
     weight = (np.log((1 + total) / (1 + counts)) + 1) * (FLOOR + chi2 / (chi2 + HALF))
     described = stage(examples.mapInArrow(_vectors(shared), "doc_id long, label int, at array<int>, n array<int>"), "vectors")
     shared.destroy()
-    rows = described.toArrow().sort_by("doc_id").combine_chunks()
-    sizes = pc.list_value_length(rows.column("at")).to_numpy()
-    at, times = (pc.list_flatten(rows.column(c)).to_numpy().astype(np.int64) for c in ("at", "n"))
-    value = units(at, times, np.append(0, np.cumsum(sizes)), weight)
-    fitted = Classifier(spark.sparkContext.broadcast(Model(vocabulary, weight, n_toxic / n if n else 0.0, rows.column("label").to_numpy().astype(float), rows.column("doc_id").to_numpy(), sizes, at, value)))
+    given = spark.sparkContext.broadcast(weight)
+    rows = described.mapInArrow(_unit_vectors(given), "doc_id long, label int, at array<int>, grains array<short>").toArrow().sort_by("doc_id").combine_chunks()
+    given.destroy()
+    fitted = Classifier(spark.sparkContext.broadcast(Model(words, weight, n_toxic / n if n else 0.0, rows)))
+    del rows, terms, counted
     if n:
         # Votes of the others on each example.
         own = described.mapInArrow(_own_votes(fitted.model), "doc_id long, label int, vote double").toArrow().sort_by("doc_id")
@@ -373,7 +415,7 @@ def _scored(fitted: Classifier, text: str, evidence: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = fitted.model.value
         for batch, texts in slices(batches, text):
-            votes, near = model.votes(*vectors(texts, model.vocabulary))
+            votes, near = model.votes(*vectors(texts, model.words.places))
             batch = batch.append_column("score", pa.array(fitted.calibrated(votes), pa.float64()))
             yield batch.append_column("evidence", pa.array([x[:evidence] for x in near], pa.list_(pa.int64()))) if evidence else batch
 

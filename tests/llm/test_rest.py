@@ -71,9 +71,10 @@ def test_nearest_is_exact_and_ties_go_by_id(common):
     for row, (at, w) in zip(dense, vectors):
         row[at] = w
     queries = [*draw.permutation(700)[:80], 5]
+    flat = lambda qs: (np.concatenate([vectors[q][0] for q in qs]), np.concatenate([vectors[q][1] for q in qs]), np.append(0, np.cumsum([len(vectors[q][0]) for q in qs])))
     for own in (False, True):
-        alone = [index.nearest([vectors[q]], 10, [ids[q]] if own else None)[0] for q in queries]
-        together = index.nearest([vectors[q] for q in queries], 10, [ids[q] for q in queries] if own else None)
+        alone = [index.nearest(*flat([q]), 10, [ids[q]] if own else None)[0] for q in queries]
+        together = index.nearest(*flat(queries), 10, [ids[q] for q in queries] if own else None)
         for q, (cosines, places), one in zip(queries, together, alone):
             all_of = dense @ dense[q]
             want = [i for i in np.lexsort((ids, -all_of)) if all_of[i] > 0 and not (own and i == q)][:10]
