@@ -10,14 +10,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, byte_class, bytes_of, gram_hashes, slices, small, stage, word_hashes, words_in
+from .shared import LOWER, byte_class, bytes_of, gram_hashes, numbered, slices, small, stage, word_hashes, words_in
 
 WORD = byte_class(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]")
 WINDOW, GRAM = 10, 5
 #: Benchmark fingerprints that one pass over the documents compares; more are compared in several passes.
 BLOCK = 1_000_000
 WINDOWS = "item_id string, span int, print long, digest binary"
-FOUND = "row_id long, doc_id long, n_words long, hits array<struct<digest:binary,span:int,at:array<int>>>"
+FOUND = "row_id long, doc_id long, text_hash long, n_words long, hits array<struct<digest:binary,span:int,at:array<int>>>"
 
 
 def window_prints(words: np.ndarray, span: int, gram: int) -> np.ndarray:
@@ -81,31 +81,22 @@ def _candidates(prints, gram: int):
                     per.setdefault((d, _digest(data, starts, ends, i, span)), []).append(i - int(first[d]))
                 for (d, digest), where in per.items():
                     hits[d].append({"digest": digest, "span": span, "at": where})
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("doc_id"), pa.array(np.diff(first), pa.int64()), pa.array(hits, kind)], ["row_id", "doc_id", "n_words", "hits"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row_id", "doc_id", "text_hash")), pa.array(np.diff(first), pa.int64()), pa.array(hits, kind)], ["row_id", "doc_id", "text_hash", "n_words", "hits"])
 
     return run
 
 
-def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (ordered ids as text) and contaminated, a row for each row of ``docs``.
-
-    A shared window has the same least k-gram hash on both sides, so looking
-    only at winnowed fingerprints loses no window of ``window`` words; fingerprints
-    that agree are extended to the whole window, which 128-bit digests compare
-    in a join. Items of fewer words are one window of their own length.
-
-    Benchmark fingerprints go to all tasks in ordered blocks of a million (8 MB)
-    at most, with a pass over the documents for each. Null and empty texts have no words.
-    Items with a null id are left out. Repeated rows of ``docs`` stay repeated;
-    repeated items count once. Other columns aren't looked at.
-    """
+def _contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """As ``contamination``, with the XXH64 of each text beside its id."""
     spark = docs.sparkSession
     tests = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text")).where(F.col("item_id").isNotNull())
     windows = stage(tests.mapInArrow(_item_windows(window, gram), WINDOWS), "benchmark")
     prints = stage(windows.select("span", "print").distinct(), "benchmark-prints")
     total = prints.count()
     n_blocks = max(1, -(-total // BLOCK))
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"), F.col(text).cast("string").alias("text"))
+    if n_blocks > 1:  # all passes must give a row the same number
+        rows = stage(rows, "numbered")
     passes = []
     for block in range(n_blocks):
         part: dict[int, list[int]] = {}
@@ -116,19 +107,42 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     found = passes[0]
     for more in passes[1:]:
         found = found.unionByName(more)
-    holders = windows.groupBy("digest", "span").agg(F.sort_array(F.collect_set("item_id")).alias("holders"))
+    holders = stage(windows.select("digest", "span", F.col("item_id").alias("holder")).distinct(), "benchmark-windows")
     hits = found.select("row_id", F.explode("hits").alias("hit")).select("row_id", "hit.digest", "hit.span", "hit.at")
-    matched = hits.join(small(holders, total), ["digest", "span"])
+    matched = stage(hits.join(small(holders, holders.count()), ["digest", "span"]), "matched")
     words = F.flatten(F.transform("at", lambda i: F.sequence(i, i + F.col("span") - 1)))
-    whole = matched.select("row_id", words.alias("words"), "holders").groupBy("row_id").agg(F.collect_list("words").alias("words"), F.collect_list("holders").alias("holders"))
-    per_row = whole.select("row_id", F.size(F.array_distinct(F.flatten("words"))).cast("long").alias("hit_words"), F.array_sort(F.array_distinct(F.flatten("holders"))).alias("held"))
-    base = passes[0].select("row_id", "doc_id", "n_words")
+    # A document's hits are its own words at most; a window that many items hold counts once for its words.
+    at_words = matched.select("row_id", "digest", "span", words.alias("words")).dropDuplicates(["row_id", "digest", "span"]).groupBy("row_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("words")))).cast("long").alias("hit_words"))
+    held_by = matched.select("row_id", "holder").distinct().groupBy("row_id").agg(F.array_sort(F.collect_list("holder")).alias("held"))
+    per_row = at_words.join(held_by, "row_id")
+    base = passes[0].select("row_id", "doc_id", "text_hash", "n_words")
     n_hit, held = F.coalesce("hit_words", F.lit(0)).cast("long"), F.coalesce("held", F.array().cast("array<string>"))
-    return base.join(per_row, "row_id", "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(held).cast("long").alias("n_items"), held.alias("items"), (n_hit > 0).alias("contaminated"))
+    return base.join(per_row, "row_id", "left").select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size(held).cast("long").alias("n_items"), held.alias("items"), (n_hit > 0).alias("contaminated"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items (ordered ids as text) and contaminated, a row for each row of ``docs``.
+
+    A shared window has the same least k-gram hash on both sides, so looking
+    only at winnowed fingerprints loses no window of ``window`` words; fingerprints
+    that agree are extended to the whole window, which 128-bit digests compare
+    in a join. Items of fewer words are one window of their own length.
+
+    Benchmark fingerprints go to all tasks in ordered blocks of a million (8 MB)
+    at most, with a pass over the documents for each. Null and empty texts have no words.
+    Items with a null id are left out. Repeated rows of ``docs`` stay repeated;
+    repeated items count once. Other columns aren't looked at.
+
+    Very long texts count whole. An empty table of either kind gives an empty
+    result, or one without hits.
+    """
+    return _contamination(docs, items, doc_id, text, item_id, item_text, window, gram).drop("text_hash")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a window of an item. Rows with a null id stay, as nothing names them."""
-    found = contamination(docs, items, doc_id, text, item_id, item_text)
-    lost = stage(found.where("contaminated").select(F.col("doc_id").alias("__lost")).distinct(), "contaminated")
-    return docs.join(lost, F.col(doc_id).cast("long") == F.col("__lost"), "left_anti")
+    """``docs`` without the rows that hold a window of an item. Rows are told by id and text, so others that repeat an id stay, and rows with a null id are judged, too."""
+    rows, (own_id, own_text) = numbered(docs, doc_id, text)
+    found = _contamination(rows, items, own_id, own_text, item_id, item_text)
+    lost = stage(found.where("contaminated").select(F.col("doc_id").alias("lost"), "text_hash").distinct(), "contaminated")
+    on = F.col(own_id).cast("long").eqNullSafe(F.col("lost")) & (F.xxhash64(F.col(own_text).cast("string")) == F.col("text_hash"))
+    return rows.join(small(lost, lost.count()), on, "left_anti").toDF(*docs.columns)

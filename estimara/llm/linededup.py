@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions, slices, stage
+from .shared import numbered, partitions, slices, stage
 
 #: Code points that a key must have.
 MIN_CHARS = 10
@@ -123,20 +123,21 @@ def kept_text(text: bytes, bitmap: bytes | None) -> tuple[bytes, int, int]:
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one more column, ``__keep`` (null: all lines stay). Names of other columns don't matter."""
-    keys = bitmaps.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("keep_bitmap").alias("__keep"))
-    on = (F.col(doc_id).cast("long") == F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))) == F.col("__hash"))
-    return docs.join(keys, on, "left").drop("__id", "__hash")
+    """``docs``, with columns c0, c1, ..., and one more, ``keep`` (null: all lines stay)."""
+    rows, (own_id, own_text) = numbered(docs, doc_id, text)
+    keys = bitmaps.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("keep_bitmap").alias("keep"))
+    on = (F.col(own_id).cast("long") == F.col("id")) & (F.xxhash64(F.coalesce(F.col(own_text).cast("string"), F.lit(""))) == F.col("hash"))
+    return rows.join(keys, on, "left").drop("id", "hash")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in slices(batches):
-        out = [kept_text(t, m) for t, m in zip(texts.to_pylist(), batch.column("__keep").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for _, n, _ in out], pa.int64()), pa.array([d for *_, d in out], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t, *_ in out])], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+    for batch, texts in slices(batches, "c1"):
+        out = [kept_text(t, m) for t, m in zip(texts.to_pylist(), batch.column("keep").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("c0"), pa.array([n for _, n, _ in out], pa.int64()), pa.array([d for *_, d in out], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t, *_ in out])], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
 
 def line_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """Lines, dropped lines and SHA-256 of the kept text, a row for each row of ``docs``."""
+    """Lines, dropped lines and SHA-256 of the kept text, a row for each row of ``docs``; very long texts count whole, an empty table gives an empty result."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return with_bitmaps(rows, keep_bitmaps(rows, min_chars=min_chars)).mapInArrow(_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
@@ -144,14 +145,15 @@ def line_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
 def _texts(column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, column):
-            kept = [None if null else kept_text(t, m)[0] for t, m, null in zip(texts.to_pylist(), batch.column("__keep").to_pylist(), batch.column(column).is_null().to_pylist())]
+            kept = [None if null else kept_text(t, m)[0] for t, m, null in zip(texts.to_pylist(), batch.column("keep").to_pylist(), batch.column(column).is_null().to_pylist())]
             i = batch.schema.get_field_index(column)
-            yield batch.set_column(i, column, pa.array(kept, pa.binary()).cast(pa.string())).drop_columns(["__keep"])
+            yield batch.set_column(i, column, pa.array(kept, pa.binary()).cast(pa.string())).drop_columns(["keep"])
 
     return run
 
 
 def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the shared lines taken out of its texts; all rows and columns stay, null texts too."""
-    schema = docs.withColumn(text, F.col(text).cast("string")).schema
-    return with_bitmaps(docs.withColumn(text, F.col(text).cast("string")), keep_bitmaps(docs, doc_id, text, min_chars), doc_id, text).mapInArrow(_texts(text), schema)
+    rows, (own_id, own_text) = numbered(docs, doc_id, text)
+    rows = rows.withColumn(own_text, F.col(own_text).cast("string"))
+    return with_bitmaps(rows, keep_bitmaps(rows, own_id, own_text, min_chars), own_id, own_text).mapInArrow(_texts(own_text), rows.schema).toDF(*docs.columns)

@@ -17,8 +17,7 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: A host is rejected if its shrunk failure rate is above this.
 MAX_HOST_RATE = 0.5
-#: Hosts up to this count have their verdicts broadcast.
-METRICS = "row_id long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+METRICS = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
 def _dup_lines(text: bytes) -> int:
@@ -63,16 +62,16 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         points = WORD[data] & ((data & 0xC0) != 0x80)
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("row_id"), batch.column("doc_id"), batch.column("host"), pa.array(np.diff(first), pa.int64()), pa.array(totals(points, begins)), pa.array(totals(SYMBOL[data], begins)),
+                batch.column("doc_id"), batch.column("host"), pa.array(np.diff(first), pa.int64()), pa.array(totals(points, begins)), pa.array(totals(SYMBOL[data], begins)),
                 pa.array([_dup_lines(t) for t in texts.to_pylist()], pa.int64()), pa.array(_repeat_words(word_hashes(data, starts, ends), first)),
             ],
-            ["row_id", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"],
+            ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"],
         )
 
 
 def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """One row of text measures for each row of ``docs``, written once (texts are read once)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(text).cast("string").alias("text"))
     return stage(rows.mapInArrow(_measure, METRICS), "quality").withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
@@ -101,7 +100,7 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: s
     A null text counts as an empty one. A row without a host (null) gets no host
     verdict and counts for no host. Repeated rows stay repeated. Columns of
     ``docs`` other than the three named ones aren't looked at. An empty table
-    gives an empty result. Hot hosts are summed before the shuffle; the verdict
+    gives an empty result; very long texts count whole. Hot hosts are summed before the shuffle; the verdict
     join is a broadcast up to 200,000 counted hosts and a plain join, which
     adaptive execution splits, beyond.
     """

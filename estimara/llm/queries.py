@@ -49,7 +49,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = f"{shared.shared_folder(spark)}/tokens-{shared.uuid.uuid4().hex}"
+    at = shared.folder(spark, "tokens")
     tokenfile.write_tokens(_table(spark, sf_dir, "documents"), at, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return tokenfile.token_digests(spark, at)
 

@@ -8,48 +8,23 @@ executor costs no more than the tasks that it ran.
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import clear_staged, folder, shared_folder, stage
+
+__all__ = ["clear_staged", "folder", "shared_folder", "stage"]
 #: Bytes of text that one NumPy step handles; a longer text is a step of its own.
 SLICE_BYTES = 1 << 21
 #: Rows that a frame may have, by count, for a broadcast to be asked for.
 BROADCAST_ROWS = 200_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of this application below the session's checkpoint folder.
-
-    Only where the session names none (as in tests), a local one is set.
-    """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="estimara-")
-        context.setCheckpointDir(base)
-        base = context.getCheckpointDir()
-    return f"{base.rstrip('/')}/{context.applicationId}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a scan of what was written."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def clear_staged(spark: SparkSession) -> None:
-    """Delete everything that this application has staged so far."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -136,10 +111,12 @@ def _powers(base: int, n: int) -> np.ndarray:
         return np.multiply.accumulate(out) if n else out
 
 
-#: Odd multipliers of the rolling hashes (any odd numbers do), and their inverses modulo 2**64.
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-BYTE_BACK, WORD_BACK = pow(BYTE_BASE, -1, 1 << 64), pow(WORD_BASE, -1, 1 << 64)
-BYTE_VALUES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Odd multiplier of the words' rolling hash (any odd number does), and its inverse modulo 2**64.
+WORD_BASE = 0xD1342543DE82EF95
+WORD_BACK = pow(WORD_BASE, -1, 1 << 64)
+#: The bytes' rolling hash is a polynomial in two prime fields; any bases do.
+FIELDS = [((1 << 31) - 1, 1_103_515_245), ((1 << 31) - 19, 1_664_525_013)]
+BYTE_VALUES = np.random.default_rng(20).integers(1, 1 << 30, 256)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -158,8 +135,24 @@ def _rolled(values: np.ndarray, base: int, back: int, starts: np.ndarray, ends:
         return mixed((sums[ends] - sums[starts]) * _powers(back, len(values) + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
+@lru_cache(maxsize=8)
+def field_powers(base: int, prime: int, size: int) -> np.ndarray:
+    """base ** i modulo prime, for i below ``size``."""
+    out = np.ones(1, np.int64)
+    while len(out) < size:
+        out = np.append(out, out * pow(base, len(out), prime) % prime)
+    return out[:size]
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return _rolled(BYTE_VALUES[data], BYTE_BASE, BYTE_BACK, starts, ends)
+    """A hash of each word's bytes: 62 bits of polynomials over fields, so no words are made to collide by their repetition."""
+    out, size = (ends - starts).astype(np.uint64), 1 << max(0, len(data)).bit_length()
+    for prime, base in FIELDS:
+        sums = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(BYTE_VALUES[data] * field_powers(base, prime, size)[: len(data)] % prime, out=sums[1:])  # below 2 ** 63 for texts up to 4 GB
+        own = (sums[ends] - sums[starts]) % prime * field_powers(pow(base, -1, prime), prime, size)[starts] % prime
+        out = mixed(out ^ (own.astype(np.uint64) << np.uint64(16)))
+    return out
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

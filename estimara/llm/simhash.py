@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import partitions, slices, small, stage
+from .shared import numbered, partitions, slices, small, stage
 
 SEED = 42
 #: Fingerprints of one anchor that a comparison handles as one piece; larger anchors are cut into tiles.
@@ -231,7 +231,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     Equal fingerprints are one class before anything is compared, so exact
     copies cost a sum each. Null and empty texts have fingerprint zero. A null
     id gets its class's component; where a component has no other ids, null.
-    Repeated rows stay repeated.
+    Repeated rows stay repeated. Very long texts count whole, shingle by shingle.
+    An empty table gives an empty result. Other columns aren't looked at.
     """
     rows = stage(fingerprints(docs, doc_id, text, n), "fingerprints")
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
@@ -250,6 +251,7 @@ def grouped(rows: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, bits: int = 4) -> DataFrame:
     """``docs`` without the documents that a smaller id stands for. Rows with a null id stay; rows that repeat an id count as one document."""
-    found = near_copies(docs, doc_id, text, n, bits)
-    lost = stage(found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__lost")), "copies")
-    return docs.join(lost, F.col(doc_id).cast("long") == F.col("__lost"), "left_anti")
+    rows, (own_id, own_text) = numbered(docs, doc_id, text)
+    found = near_copies(rows, own_id, own_text, n, bits)
+    lost = stage(found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("lost")).distinct(), "copies")
+    return rows.join(lost, F.col(own_id).cast("long") == F.col("lost"), "left_anti").toDF(*docs.columns)

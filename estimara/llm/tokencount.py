@@ -14,8 +14,8 @@ from .shared import slices
 
 #: What stands for the white space before a pre-token.
 MARK = "▁"
-#: Terminal counts that a task remembers at a time.
-MEMO = 500_000
+#: Terminal counts, and states of prefixes up to DEPTH characters, that a task remembers at a time.
+MEMO, DEPTH = 500_000, 6
 
 
 @lru_cache(maxsize=2)
@@ -30,11 +30,12 @@ def pieces(path: str) -> tuple[dict[str, float], float, int]:
     return scores, min(scores.values(), default=0.0) - 1.0, max(map(len, scores), default=1)
 
 
-def terminal_counts(words: list[str], scores: dict[str, float], byte_score: float, longest: int) -> dict[str, int]:
+def terminal_counts(words: list[str], scores: dict[str, float], byte_score: float, longest: int, known: dict[str, tuple[float, int]] | None = None) -> dict[str, int]:
     """Tokens in the best segmentation of each word: the highest sum of scores, then the fewest tokens.
 
     Words in order walk the trie of all of them depth first: ``path`` holds the
     states of the current branch, and words that share a prefix share its states.
+    known: states of short prefixes, the top of a trie that lasts from call to call.
     """
     out: dict[str, int] = {}
     path: list[tuple[float, int]] = [(0.0, 0)]
@@ -47,6 +48,9 @@ def terminal_counts(words: list[str], scores: dict[str, float], byte_score: floa
             shared += 1
         del path[shared + 1 :]
         for end in range(shared + 1, len(word) + 1):
+            if known is not None and end <= DEPTH and (state := known.get(word[:end])):
+                path.append(state)
+                continue
             size = len(word[end - 1].encode("utf-8", "surrogatepass"))
             score, n = path[end - 1]
             best = (score + size * byte_score, -(n + size))
@@ -55,6 +59,8 @@ def terminal_counts(words: list[str], scores: dict[str, float], byte_score: floa
                     score, n = path[start]
                     best = max(best, (score + own, -(n + 1)))
             path.append((best[0], -best[1]))
+            if known is not None and end <= DEPTH:
+                known[word[:end]] = path[end]
         out[word] = path[len(word)][1]
         before = word
     return out
@@ -64,14 +70,18 @@ def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores, byte_score, longest = pieces(path)
         memo: dict[bytes, int] = {}
+        states: dict[str, tuple[float, int]] = {}
         for batch, texts in slices(batches):
             each = [Counter(t.split()) for t in texts.to_pylist()]
             new = {w for c in each for w in c if w not in memo}
             if len(memo) + len(new) > MEMO:
                 memo.clear()
                 new = {w for c in each for w in c}
-            text_of = {MARK + w.decode("utf-8", "replace"): w for w in new}
-            memo.update((text_of[w], n) for w, n in terminal_counts(list(text_of), scores, byte_score, longest).items())
+            if len(states) > MEMO:
+                states.clear()
+            text_of = {w: MARK + w.decode("utf-8", "replace") for w in new}
+            counts = terminal_counts(list(set(text_of.values())), scores, byte_score, longest, states)
+            memo.update((w, counts[t]) for w, t in text_of.items())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([sum(c.values()) for c in each], pa.int64()), pa.array([sum(memo[w] * n for w, n in c.items()) for c in each], pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
 
     return run
@@ -81,9 +91,18 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     """doc_id, n_pretokens and n_tokens, a row for each row of ``docs``.
 
     Pre-tokens are what ASCII white space parts, each with a mark for the white
-    space before it. Each task keeps its own trie of distinct pre-tokens and a
-    bounded table of terminal counts: the table of all pre-tokens of a corpus
-    has no size bound, and joining it to every document would shuffle the corpus.
-    Null and empty texts have no tokens.
+    space before it. The distinct new pre-tokens of about 2 MB of text at a time
+    are one trie, each of whose prefixes is scored once; the states of prefixes
+    of up to DEPTH characters, and terminal counts, last for the task, within
+    bounds. The table of all pre-tokens of a corpus has no size bound, and
+    joining it to every document would shuffle the corpus.
+
+    A model's scores are taken as log-probabilities of pieces. A file of merges
+    has ranks in their place: the counts are of the best segmentation by the sum
+    of these, not those of the tokenizer that the file was made for.
+
+    Null and empty texts have no tokens. Bytes that aren't UTF-8 count as
+    replacement characters. A very long text is a step of its own. Repeated rows
+    stay repeated, an empty table gives an empty result, other columns aren't looked at.
     """
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_count(path), "doc_id long, n_pretokens long, n_tokens long")

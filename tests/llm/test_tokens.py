@@ -108,6 +108,19 @@ def test_forward_scores_share_prefixes():
     assert tokencount.terminal_counts(words, scores, -9.0, 4) == {w: best(w, scores, -9.0)[1] for w in words}
 
 
+def test_states_of_prefixes_last():
+    scores = {"▁": -3.0, "▁t": -2.0, "th": -2.5, "▁th": -2.0, "e": -1.0, "r": -1.5, "the": -4.0, "▁the": -2.9, "re": -1.6}
+    states = {}
+    for words in (["▁there", "▁the"], ["▁therexe", "▁t", "▁thex"], ["▁", "▁rrrrrrrrr", "▁rrrrrrrre"]):
+        assert tokencount.terminal_counts(words, scores, -9.0, 4, states) == {w: best(w, scores, -9.0)[1] for w in words}
+    assert max(map(len, states)) == tokencount.DEPTH
+
+
+def test_bytes_that_are_no_utf8(spark):
+    table = spark.createDataFrame([(1, b"\xff \xfe a"), (2, b"\xc3")], "doc_id long, raw binary").selectExpr("doc_id", "cast(raw as string) as text")
+    assert [(r.n_pretokens, r.n_tokens > 0) for r in tokencount.token_counts(table, P.path("piece_bpe_32k.model")).orderBy("doc_id").collect()] == [(3, True), (1, True)]
+
+
 def test_token_counts(odd, empty):
     path = P.path("piece_bpe_32k.model")
     scores, byte_score, longest = tokencount.pieces(path)

@@ -4,9 +4,10 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from estimara.llm import decontam, linededup, quality
+from estimara.llm import decontam, linededup, quality, shared
 
 
 def measures(text):
@@ -30,6 +31,17 @@ def test_quality(odd, empty):
     assert quality.quality(empty).count() == 0
 
 
+def test_word_hashes_tell_repetitive_words_apart():
+    """Two words that polynomials modulo a power of two don't tell apart."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    words = [bytes(97 + b for b in bits), bytes(98 - b for b in bits), b"a" * 1024, b"a" * 1023]
+    ends = np.cumsum([len(w) for w in words])
+    data = np.frombuffer(b"".join(words) * 2, np.uint8)
+    starts, stops = np.append(0, ends[:-1]), ends
+    h = shared.word_hashes(data, np.append(starts, starts + ends[-1]), np.append(stops, stops + ends[-1])).tolist()
+    assert len(set(h[:4])) == 4 and h[:4] == h[4:]
+
+
 def test_bad_host_rejects_its_documents(spark):
     good = " ".join(f"w{i}" for i in range(40))
     rows = [(i, good if i % 10 or i < 900 else "short", "good" if i < 900 else "bad") for i in range(900)] + [(i, "short" if i % 10 else good, "bad") for i in range(900, 1000)]
@@ -67,9 +79,12 @@ def test_decontamination(spark, odd, empty, monkeypatch, block):
     assert sorted(map(key, got)) == want
     assert decontam.contamination(empty, tests).count() == 0
     assert not any(r.contaminated for r in decontam.contamination(odd, tests.limit(0)).collect())
-    left = decontam.drop_contaminated(odd, tests)
-    assert left.columns == odd.columns
-    assert sorted(r.doc_id or -1 for r in left.collect()) == sorted(i for i, *_, bad in want if not bad or i == -1)
+    named = odd.withColumnsRenamed({"n_words": "__lost", "ids": "c0", "lang": "a `b`"})
+    left = decontam.drop_contaminated(named, tests)
+    assert left.columns == named.columns
+    again = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog and then it runs"), (1, "a clean row with the same id"), (None, "some words")], "doc_id long, text string")
+    assert [r.text for r in decontam.drop_contaminated(again, tests).collect()] == ["a clean row with the same id"]
+    assert sorted(r.doc_id or -1 for r in left.collect()) == sorted(i for i, *_, bad in want if not bad)
 
 
 def line_dedup(rows):
@@ -101,6 +116,8 @@ def test_line_dedup(spark, odd, empty, parts):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert linededup.line_digests(empty).count() == 0
+    named = odd.withColumnsRenamed({"n_words": "__keep", "ids": "__hash", "lang": "keep", "source": "c 1`"})
+    assert linededup.drop_lines(named).columns == named.columns
     left = linededup.drop_lines(odd)
     assert left.columns == odd.columns and left.count() == odd.count()
     texts = sorted((r.doc_id or -1, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in left.collect())
