@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -135,7 +134,6 @@ def _rolled(values: np.ndarray, base: int, back: int, starts: np.ndarray, ends:
         return mixed((sums[ends] - sums[starts]) * _powers(back, len(values) + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
-@lru_cache(maxsize=8)
 def field_powers(base: int, prime: int, size: int) -> np.ndarray:
     """base ** i modulo prime, for i below ``size``."""
     out = np.ones(1, np.int64)
@@ -146,11 +144,16 @@ def field_powers(base: int, prime: int, size: int) -> np.ndarray:
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each word's bytes: 62 bits of polynomials over fields, so no words are made to collide by their repetition."""
-    out, size = (ends - starts).astype(np.uint64), 1 << max(0, len(data)).bit_length()
+    sizes = ends - starts
+    out = sizes.astype(np.uint64)
+    if not len(sizes):
+        return out
+    begins = np.cumsum(sizes) - sizes
+    at = spread(starts, sizes)
+    values = BYTE_VALUES[data[at]]
+    at -= np.repeat(starts, sizes)  # places in the words
     for prime, base in FIELDS:
-        sums = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(BYTE_VALUES[data] * field_powers(base, prime, size)[: len(data)] % prime, out=sums[1:])  # below 2 ** 63 for texts up to 4 GB
-        own = (sums[ends] - sums[starts]) % prime * field_powers(pow(base, -1, prime), prime, size)[starts] % prime
+        own = np.add.reduceat(values * field_powers(base, prime, int(sizes.max()))[at] % prime, begins) % prime
         out = mixed(out ^ (own.astype(np.uint64) << np.uint64(16)))
     return out
 

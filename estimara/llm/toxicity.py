@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,6 +21,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
@@ -68,24 +70,59 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def vectors(texts: pa.Array, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Words:
+    """The vocabulary: words in order. They are found by hash and then compared, which takes less memory than a table of objects."""
+
+    def __init__(self, words: pa.Array):
+        self.words = words.cast(pa.large_binary())
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    @cached_property
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        own = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words.to_pylist()), np.uint64, len(self))
+        order = np.argsort(own, kind="stable")
+        return own[order], order
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Of each of these words the place, or -1."""
+        if not len(self):
+            return np.full(len(words), -1, np.int64)
+        known, order = self.hashes
+        asked = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))
+        place = order[np.minimum(np.searchsorted(known, asked), len(known) - 1)]
+        return np.where(pc.equal(self.words.take(pa.array(place)), words).to_numpy(zero_copy_only=False), place, -1)
+
+    def __getstate__(self) -> bytes:
+        sizes = pc.binary_length(self.words).to_numpy().astype(np.uint32)
+        return zstandard.ZstdCompressor(level=3).compress(struct.pack("<Q", len(sizes)) + sizes.tobytes() + b"".join(self.words.to_pylist()))
+
+    def __setstate__(self, state: bytes) -> None:
+        raw = zstandard.ZstdDecompressor().decompress(state)
+        n = struct.unpack_from("<Q", raw)[0]
+        ends = np.append(0, np.cumsum(np.frombuffer(raw, np.uint32, n, 8), dtype=np.int64))
+        self.words = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(raw[8 + 4 * n :])])
+
+
+def vectors(texts: pa.Array, vocabulary: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The texts' terms by text and place: places, how often the text has each, and where each text begins (one more than texts).
 
     Words of plain letters are cut out and looked up in bulk, distinct ones once; words with others are split one by one.
     """
     pieces, first, kind = pretokens(texts)
     coded = pc.dictionary_encode(pieces)
-    words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    place = np.fromiter((vocabulary.get(w, -1) for w in words), np.int64, len(words))
+    which, place = coded.indices.to_numpy(), vocabulary.places(coded.dictionary)
     text = np.repeat(np.arange(len(texts)), np.diff(first))
     plain = (kind == LETTER) & (place[which] >= 0)
     keys = [text[plain] * len(vocabulary) + place[which[plain]]]
     if (odd := np.flatnonzero(kind == WHOLE)).size:
         own, at = np.unique(which[odd], return_inverse=True)
-        lists = [[vocabulary[b] for w in WORDS.findall(words[i].decode("utf-8", "replace").lower()) if (b := w.encode()) in vocabulary] for i in own]
+        lists = [[w.encode() for w in WORDS.findall(x.decode("utf-8", "replace").lower())] for x in coded.dictionary.take(pa.array(own)).to_pylist()]
         sizes = np.array([len(x) for x in lists], np.int64)
-        flat = np.array([x for own_places in lists for x in own_places], np.int64)
-        keys.append(np.repeat(text[odd], sizes[at]) * len(vocabulary) + flat[spread((np.cumsum(sizes) - sizes)[at], sizes[at])])
+        flat = vocabulary.places(pa.array([w for words in lists for w in words], pa.large_binary()))
+        odd_places = flat[spread((np.cumsum(sizes) - sizes)[at], sizes[at])]
+        keys.append((np.repeat(text[odd], sizes[at]) * len(vocabulary) + odd_places)[odd_places >= 0])
     found, n = np.unique(np.concatenate(keys), return_counts=True)
     size = max(1, len(vocabulary))
     return found % size, n, np.searchsorted(found, np.arange(len(texts) + 1) * size)
@@ -94,7 +131,7 @@ def vectors(texts: pa.Array, vocabulary: dict[bytes, int]) -> tuple[np.ndarray,
 def _vectors(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            at, n, begins = vectors(texts, vocabulary.value.places)
+            at, n, begins = vectors(texts, vocabulary.value)
             offsets = pa.array(begins, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int32()))], ["doc_id", "label", "at", "n"])
 
@@ -103,7 +140,7 @@ def _vectors(vocabulary):
 
 def _document_counts(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value.places
+        known = vocabulary.value
         n, counts = 0, np.zeros(len(known), np.int64)
         for _, texts in slices(batches):
             n += len(texts)
@@ -251,23 +288,6 @@ def units(at: np.ndarray, n: np.ndarray, begins: np.ndarray, weight: np.ndarray)
     return np.floor(own / size[row] * GRAIN) / GRAIN
 
 
-class Words:
-    """The vocabulary: words in order, on end. Where it is used, their places are looked up in a table."""
-
-    def __init__(self, words: bytes):
-        self.words = words
-
-    @cached_property
-    def places(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words.split(b"\n"))} if self.words else {}
-
-    def __getstate__(self) -> bytes:
-        return zstandard.ZstdCompressor(level=3).compress(self.words)
-
-    def __setstate__(self, state: bytes) -> None:
-        self.words = zstandard.ZstdDecompressor().decompress(state)
-
-
 class Model:
     """The examples as vectors. Pickled, they are packed; the index is made where it is used, once for each Python worker."""
 
@@ -389,7 +409,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     examples = stage(seen, "examples")
     n, n_toxic = examples.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     terms = examples.mapInArrow(_term_counts, "term string, n long, n_toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic")).toArrow().sort_by("term")
-    words = Words("\n".join(terms.column("term").to_pylist()).encode())
+    words = Words(terms.column("term").combine_chunks())
     shared = spark.sparkContext.broadcast(words)
     counted = texts.select("text").mapInArrow(_document_counts(shared), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(terms) + 1)  # the last place is the number of documents
@@ -415,7 +435,7 @@ def _scored(fitted: Classifier, text: str, evidence: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = fitted.model.value
         for batch, texts in slices(batches, text):
-            votes, near = model.votes(*vectors(texts, model.words.places))
+            votes, near = model.votes(*vectors(texts, model.words))
             batch = batch.append_column("score", pa.array(fitted.calibrated(votes), pa.float64()))
             yield batch.append_column("evidence", pa.array([x[:evidence] for x in near], pa.list_(pa.int64()))) if evidence else batch
 

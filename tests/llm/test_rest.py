@@ -1,6 +1,7 @@
 """op1, op6, op10 and the pipeline."""
 
 import math
+import pickle
 import zlib
 from collections import Counter
 
@@ -33,6 +34,37 @@ def test_url_rules(spark):
     assert [tuple(r)[1:] for r in got] == [row[1:] for row in table]
 
 
+def brute_rule(host, path, rules):
+    fits = [(len(r), r, v) for v, r in rules if (host == (h := r.partition("/")[0]) or host.endswith("." + h)) and path.startswith(r[len(h) :])]
+    return max(fits)[1:] if fits else (None, None)
+
+
+@pytest.mark.parametrize("most", [urls.MAX_RULES, 0])
+def test_rules_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(urls, "MAX_RULES", most)
+    draw = np.random.default_rng(4)
+    labels = ["a", "b", "com", "net", "x", ""]
+    host = lambda n: ".".join(draw.choice(labels, draw.integers(1, n)))
+    path = lambda: "".join("/" + x for x in draw.choice(["en", "e", "fr"], draw.integers(0, 3)))
+    rules = [(str(draw.choice(["allow", "block"])), f"{host(4)}/{path()[1:]}") for _ in range(300)]
+    pages = [(i, f"http://{host(6)}{path()}") for i in range(300)] + [(400, "http://com/en"), (401, "http:///en"), (402, "http://" + "a." * 20000 + "com/en/"), (403, None)]
+    table = spark.createDataFrame([(i, u, None) for i, u in pages], "page_id long, url string, html string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.url_verdicts(table, rules).collect()}
+    for i, u in pages:
+        rest = (u or "").partition("://")[2]
+        own, _, tail = rest.partition("/")
+        tail = "/" + tail if "/" in rest else ""
+        rule, verdict = brute_rule(own, tail, rules)
+        assert got[i][:3] == (own, tail, rule) and (rule is None or got[i][3] == verdict)
+
+
+def test_many_rules_are_joined(spark):
+    rules = [("block" if i % 2 else "allow", f"h{i}.org/") for i in range(100_000)]
+    pages = spark.createDataFrame([(i, f"https://www.h{i * 37}.org/x", None) for i in range(2000)], "page_id long, url string, html string")
+    got = urls.url_verdicts(pages, rules).collect()
+    assert all(r.rule == f"h{r.page_id * 37}.org/" and r.verdict == ("block" if r.page_id % 2 else "allow") for r in got) and len(got) == 2000
+
+
 def test_trust_and_distrust_flow(spark):
     link = lambda *hosts: "".join(f'<a class="x" href="https://{h}/p">l</a>' for h in hosts)
     pages = [(1, "http://good.com/a", link("ok.org")), (2, "http://bad.net/es/a", ""), (3, "http://fan.org/", link("bad.net", "BAD.net")), (4, "http://ok.org/", ""), (5, "http://alone.org/", None), (6, "http://half.net/en/", ""), (7, "http://half.net/fr/", "")]
@@ -87,15 +119,17 @@ def test_vectors_count_words():
     draw = np.random.default_rng(1)
     texts = [" ".join(draw.choice(parts, draw.integers(0, 12))) + str(draw.choice(["", "\n", ".x"])) for _ in range(200)]
     words = sorted({w for t in texts for w in toxicity.WORDS.findall(t.lower())})
-    known = {w.encode(): i for i, w in enumerate(words[::2])}
+    known = {w: i for i, w in enumerate(words[::2])}
+    table = pickle.loads(pickle.dumps(toxicity.Words(pa.array(words[::2]))))
     for most in (1, 37, 200):
         for lo in range(0, 200, most):
             part = texts[lo : lo + most]
-            at, n, begins = toxicity.vectors(pa.array([t.encode() for t in part], pa.large_binary()), known)
+            at, n, begins = toxicity.vectors(pa.array([t.encode() for t in part], pa.large_binary()), table)
             for t, a, b in zip(part, begins, begins[1:]):
-                want = Counter(known[w.encode()] for w in toxicity.WORDS.findall(t.lower()) if w.encode() in known)
+                want = Counter(known[w] for w in toxicity.WORDS.findall(t.lower()) if w in known)
                 assert dict(zip(at[a:b].tolist(), n[a:b].tolist())) == want and sorted(want) == at[a:b].tolist()
-    assert toxicity.vectors(pa.array([b"\xff\xc3", b"", b"x \xc3"], pa.large_binary()), {b"x": 0})[0].tolist() == [0]
+    assert toxicity.vectors(pa.array([b"\xff\xc3", b"", b"x \xc3"], pa.large_binary()), toxicity.Words(pa.array(["x"])))[0].tolist() == [0]
+    assert not len(toxicity.vectors(pa.array([b"", b"x"], pa.large_binary()), pickle.loads(pickle.dumps(toxicity.Words(pa.array([], pa.string())))))[0])
 
 
 def brute_scores(rows, labels):
