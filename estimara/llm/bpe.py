@@ -63,6 +63,23 @@ def _whole(ranks: str, pattern: str):
     return run
 
 
+def _cut(size: int, overlap: int):
+    """Chunks of ``size`` own characters and, but for the last, ``overlap`` of the next one's; a text is walked through once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row_id, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("row_id", "doc_id", "text"))):
+                begins = list(range(0, len(text), size))
+                for lo in range(0, len(begins), 256):
+                    some = begins[lo : lo + 256]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([row_id] * len(some), pa.int64()), pa.array([doc_id] * len(some), pa.int64()), pa.array(range(lo, lo + len(some)), pa.int32()), pa.array(some, pa.int32()), pa.array([min(size, len(text) - x) for x in some], pa.int32()), pa.array([x + size + overlap >= len(text) for x in some]), pa.array([text[x : x + size + overlap] for x in some], pa.string())],
+                        ["row_id", "doc_id", "chunk", "begin", "own", "last", "text"],
+                    )
+
+    return run
+
+
 def _boundaries(pattern: str, overlap: int):
     """Where matches of each chunk begin, in its first and its last characters that a neighbour has too (places in the text)."""
 
@@ -91,29 +108,37 @@ def _boundaries(pattern: str, overlap: int):
     return run
 
 
-def _chunked(rows: DataFrame, size: int, overlap: int) -> DataFrame:
-    """Chunks of ``size`` own characters and, but for the last, ``overlap`` of the next one's."""
-    n = F.char_length("text")
-    begins = F.sequence(F.lit(0), n - 1, F.lit(size))
-    cut = rows.select("row_id", "doc_id", "text", F.posexplode(begins).alias("chunk", "begin"))
-    return cut.select("row_id", "doc_id", "chunk", "begin", F.least(F.lit(size), n - F.col("begin")).alias("own"), (F.col("begin") + size + overlap >= n).alias("last"), F.substring("text", F.col("begin") + 1, F.lit(size + overlap)).alias("text"))
-
-
-def stitches(rows: DataFrame, pattern: str, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(row_id, start, stop): pieces of the texts that begin and end at matches of the whole text (null: its end).
+def stitches(chunks: DataFrame, pattern: str, overlap: int = OVERLAP) -> DataFrame:
+    """(row_id, chunk, start, stop): of each chunk the piece that begins in it, which starts and ends at matches of the whole text (null: at the chunk's end).
 
     A chunk's matches are those of the text from the first place where both it
-    and the chunk before begin one. If two neighbours share no such place (one
-    match longer than the overlap), nothing is known of the later chunks, and
-    the rest of the text stays one piece.
+    and the chunk before begin one. Where two neighbours share no such place (a
+    match longer than the overlap), nothing is known of the later chunks: start
+    is null from there on, and the rest of the text is one piece with the last
+    chunk before. The pattern must decide a match by what it matches and at most
+    one character more, as the one given does; a pattern that looks further back
+    over white space, such as for line ends after blanks, isn't for this.
     """
-    marks = _chunked(rows, size, overlap).mapInArrow(_boundaries(pattern, overlap), "row_id long, chunk int, begin int, heads array<int>, tails array<int>")
+    marks = chunks.mapInArrow(_boundaries(pattern, overlap), "row_id long, chunk int, begin int, heads array<int>, tails array<int>")
     by_row = Window.partitionBy("row_id").orderBy("chunk")
     meet = F.array_min(F.array_intersect("heads", F.lag("tails").over(by_row)))
     # The first chunk begins where its text does.
     starts = marks.withColumn("start", F.when(F.col("chunk") == 0, F.lit(0)).otherwise(meet))
-    tied = starts.withColumn("tied", F.min(F.col("start").isNotNull()).over(by_row.rowsBetween(Window.unboundedPreceding, 0))).where("tied")
-    return tied.select("row_id", "start", F.lead("start").over(by_row).alias("stop"))
+    tied = starts.withColumn("tied", F.min(F.col("start").isNotNull()).over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
+    known = tied.withColumn("start", F.when(F.col("tied"), F.col("start")))
+    return known.select("row_id", "chunk", "start", F.lead("start").over(by_row).alias("stop"))
+
+
+def pieces_of(chunks: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(row_id, doc_id, start, piece): what lies between two cuts, taken out of the chunk in which it begins."""
+    at = chunks.join(cuts, ["row_id", "chunk"])
+    own_end = F.col("begin") + F.col("own")
+    inside = at.where(F.col("stop").isNotNull()).select("row_id", "doc_id", "start", F.substring("text", F.col("start") - F.col("begin") + 1, F.col("stop") - F.col("start")).alias("piece"))
+    # The last piece of each text: of one chunk, or of several that aren't tied.
+    begin = F.coalesce(F.col("start"), F.col("begin"))
+    rest = at.where(F.col("stop").isNull()).select("row_id", "doc_id", "chunk", begin.alias("start"), F.substring("text", begin - F.col("begin") + 1, own_end - begin).alias("part"))
+    whole = rest.groupBy("row_id", "doc_id").agg(F.min("start").alias("start"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "part"))), lambda x: x["part"]), "").alias("piece"))
+    return inside.unionByName(whole)
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,19 +161,17 @@ def encoded(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", t
     """row_id, doc_id and ids (unsigned 32-bit, little endian) of every row.
 
     Texts within one chunk are encoded as they are read, without a shuffle.
-    Longer ones are cut into chunks that may run on any executor; their
-    boundaries, not their texts, are shuffled to find the stitches, and the ids
-    of their pieces to bring each document together. Null is the empty text.
-    Repeated rows stay repeated, told apart by row_id.
+    Longer ones are cut, once, into chunks that may run on any executor; their
+    boundaries are shuffled to find the stitches, and the ids of their pieces to
+    bring each document together. Null is the empty text. Repeated rows stay
+    repeated, told apart by row_id. An empty table gives an empty result. Other
+    columns aren't looked at.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     long = F.char_length("text") > size
     short = rows.where(~long).mapInArrow(_whole(ranks, pattern), "row_id long, doc_id long, ids binary")
-    lengthy = stage(rows.where(long), "long-texts")
-    cuts = stitches(lengthy, pattern, size, overlap).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
-    pieces = lengthy.join(cuts, "row_id").select("row_id", "doc_id", "text", F.explode("cuts").alias("cut"))
-    end = F.coalesce("cut.stop", F.char_length("text"))
-    cut_out = pieces.select("row_id", "doc_id", F.col("cut.start").alias("start"), F.substring("text", F.col("cut.start") + 1, end - F.col("cut.start")).alias("piece"))
+    chunks = stage(rows.where(long).mapInArrow(_cut(size, overlap), "row_id long, doc_id long, chunk int, begin int, own int, last boolean, text string"), "chunks")
+    cut_out = pieces_of(chunks, stitches(chunks, pattern, overlap))
     done = cut_out.mapInArrow(_pieces(ranks, pattern), "row_id long, doc_id long, start int, ids binary")
     together = done.groupBy("row_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "ids"))).alias("parts")).mapInArrow(_joined, "row_id long, doc_id long, ids binary")
     return short.unionByName(together)

@@ -7,6 +7,12 @@ block's other bits as they are. Every block value lies within the covering
 radius, 1, of one anchor, its home; values one bit apart therefore both lie
 within radius plus 1 of either one's home. A fingerprint goes to every anchor
 that near, and is compared there with those at home.
+
+What meets at an anchor grows with the corpus, so very many fingerprints take
+longer keys: of six blocks, some three together differ in at most one bit, and
+their 32 bits take the Hamming code of length 31. That is 20 keys and about
+330 anchors for a fingerprint, where the short keys give 45, but 2**27 anchors
+a key instead of 2**17 or 2**18.
 """
 
 from __future__ import annotations
@@ -26,7 +32,8 @@ from .shared import numbered, partitions, slices, small, stage
 SEED = 42
 #: Fingerprints of one anchor that a comparison handles as one piece; larger anchors are cut into tiles.
 TILE = 4096
-CODE = 15
+#: From so many distinct fingerprints on, keys are of three blocks (for 3 bits or more).
+LONG_KEYS = 200_000_000
 
 
 def shingle_hashes(text: bytes, n: int) -> list[int]:
@@ -81,57 +88,73 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_fingerprints(n), "doc_id long, fp long")
 
 
-def blocks(bits: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of the fewest blocks of which one differs in at most a bit; 22 bits of a block are enough."""
-    n = bits // 2 + 1
+def keys(bits: int, together: int = 1) -> list[list[tuple[int, int]]]:
+    """The keys as lists of (first bit, bits): of the fewest blocks, all choices of 1 or 3 of them, one of which differs in at most a bit.
+
+    Of one block, 22 bits are enough.
+    """
+    n = bits // 2 + 1 if together == 1 else bits + 2
     if not 0 <= bits <= 7:
         raise ValueError("the distance may be 0 to 7 bits: blocks need 15 bits each")
     cuts = [round(64 * i / n) for i in range(n + 1)]
-    return [(a, min(b - a, 22)) for a, b in zip(cuts, cuts[1:])]
+    each = [(a, min(b - a, 22)) for a, b in zip(cuts, cuts[1:])]
+    return [list(x) for x in combinations(each, together)]
+
 
+def values_of(fp: np.ndarray, key: list[tuple[int, int]]) -> tuple[np.ndarray, int]:
+    """The key's bits of each fingerprint on end, and how many bits these are."""
+    out, at = np.zeros(len(fp), np.int64), 0
+    for first, size in key:
+        out |= ((fp.view(np.uint64) >> np.uint64(first)) & np.uint64((1 << size) - 1)).astype(np.int64) << at
+        at += size
+    return out, at
 
-def _syndromes() -> np.ndarray:
-    """For every 15-bit value, the XOR of the places (from 1) of its set bits; zero for words of the code."""
-    x = np.arange(1 << CODE)
-    out = np.zeros(1 << CODE, np.int64)
-    for i in range(CODE):
-        out ^= np.where(x >> i & 1, i + 1, 0)
+
+def _syndromes(code: int) -> list[np.ndarray]:
+    """For every 16 bits of a value, the XOR of the places (from 1) of its set bits; together zero for words of the code."""
+    out = []
+    for first in range(0, code, 16):
+        x = np.arange(1 << min(16, code - first))
+        out.append(np.bitwise_xor.reduce([np.where(x >> i & 1, first + i + 1, 0) for i in range(min(16, code - first))]))
     return out
 
 
-def _flips(rest: int) -> list[list[int]]:
-    """By syndrome, what to flip in a block (code bits lowest) to reach each anchor within distance 2; the first is home."""
-    ones = [1 << (CODE + i) for i in range(rest)]
+def _flips(code: int, rest: int) -> list[np.ndarray]:
+    """By syndrome, what to flip in a key (code bits lowest) to reach each anchor within distance 2; the first is home."""
+    ones = [1 << (code + i) for i in range(rest)]
     out = []
-    for s in range(CODE + 1):
+    for s in range(code + 1):
         if not s:
             out.append([0, *ones, *(a | b for a, b in combinations(ones, 2))])
         else:
             home = 1 << (s - 1)
-            pairs = [1 << (a - 1) | 1 << ((a ^ s) - 1) for a in range(1, CODE + 1) if a < a ^ s]
+            pairs = [1 << (a - 1) | 1 << ((a ^ s) - 1) for a in range(1, code + 1) if a < a ^ s]
             out.append([home, *(home | o for o in ones), *pairs])
-    return out
+    return [np.array(x, np.int64) for x in out]
 
 
-def _anchors(bits: int):
-    cuts = blocks(bits)
+def _anchors(bits: int, together: int):
+    every = keys(bits, together)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        syndromes, flips = _syndromes(), [[np.array(f, np.int64) for f in _flips(size - CODE)] for _, size in cuts]
+        tables = {}
         for batch in batches:
             fp = batch.column("fp").to_numpy()
             for lo in range(0, len(fp), 4096):
                 part = fp[lo : lo + 4096]
-                for k, (first, size) in enumerate(cuts):
-                    value = ((part.view(np.uint64) >> np.uint64(first)) & np.uint64((1 << size) - 1)).astype(np.int64)
-                    s = syndromes[value & ((1 << CODE) - 1)]
+                for k, key in enumerate(every):
+                    value, size = values_of(part, key)
+                    code = 31 if size >= 31 else 15
+                    if size not in tables:
+                        tables[size] = _syndromes(code), _flips(code, size - code)
+                    syndromes, flips = tables[size]
+                    s = np.bitwise_xor.reduce([t[(value >> 16 * i) & (len(t) - 1)] for i, t in enumerate(syndromes)])
                     for x in np.unique(s):
                         pick = np.flatnonzero(s == x)
-                        to = flips[k][x]
-                        keys = (value[pick][:, None] ^ to[None, :]) | (k << 26)
-                        home = np.zeros(keys.shape, bool)
+                        anchors = (value[pick][:, None] ^ flips[x][None, :]) | (k << (26 if together == 1 else 40))
+                        home = np.zeros(anchors.shape, bool)
                         home[:, 0] = True
-                        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int32)), pa.array(np.repeat(part[pick], len(to))), pa.array(home.ravel())], ["anchor", "fp", "home"])
+                        yield pa.RecordBatch.from_arrays([pa.array(anchors.ravel().astype(np.int32 if together == 1 else np.int64)), pa.array(np.repeat(part[pick], len(flips[x]))), pa.array(home.ravel())], ["anchor", "fp", "home"])
 
     return run
 
@@ -182,7 +205,7 @@ def _compare(bits: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.stack([batch.column(c).to_numpy() for c in ("anchor", "i", "j")], axis=1)
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("anchor", "i", "j")], axis=1)
             fp, home = batch.column("fp").to_numpy(), batch.column("home").to_numpy(zero_copy_only=False)
             # The last tile of a batch may go on in the next one.
             change = np.flatnonzero((key[1:] != key[:-1]).any(axis=1))
@@ -212,7 +235,8 @@ def fingerprint_links(distinct: DataFrame, bits: int = 4) -> DataFrame:
     fingerprints. An anchor with over TILE fingerprints is cut into groups of
     about that size; each pair of groups is compared by itself.
     """
-    rows = distinct.mapInArrow(_anchors(bits), "anchor int, fp long, home boolean")
+    together = 3 if bits >= 3 and distinct.count() >= LONG_KEYS else 1
+    rows = distinct.mapInArrow(_anchors(bits, together), f"anchor {'int' if together == 1 else 'long'}, fp long, home boolean")
     large = stage(rows.groupBy("anchor").count().where(F.col("count") > TILE).select("anchor", F.ceil(F.col("count") / TILE).cast("int").alias("k")), "large-anchors")
     cut = rows.join(small(large, large.count()), "anchor", "left")
     group = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")

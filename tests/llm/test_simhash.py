@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -49,9 +50,10 @@ def test_near_copies(odd, empty):
 
 
 @pytest.mark.parametrize("bits", [0, 1, 3, 4, 6])
-@pytest.mark.parametrize("tile", [4096, 16])
-def test_links_join_what_all_pairs_join(spark, monkeypatch, bits, tile):
+@pytest.mark.parametrize("tile, long_keys", [(4096, simhash.LONG_KEYS), (16, simhash.LONG_KEYS), (4096, 0)])
+def test_links_join_what_all_pairs_join(spark, monkeypatch, bits, tile, long_keys):
     monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "LONG_KEYS", long_keys)
     draw = random.Random(bits)
     fps = set()
     for _ in range(40):
@@ -69,6 +71,23 @@ def test_links_join_what_all_pairs_join(spark, monkeypatch, bits, tile):
     assert got == want
 
 
+@pytest.mark.parametrize("together", [1, 3])
+def test_anchors_cover(together):
+    """At some key, of two fingerprints within 4 bits one is at the other's home."""
+    draw = random.Random(5)
+    run = simhash._anchors(4, together)
+    for _ in range(60):
+        a = draw.getrandbits(64)
+        b = a
+        for bit in draw.sample(range(64), draw.randint(0, 4)):
+            b ^= 1 << bit
+        at = [set(), set()]
+        for out, x in zip(at, (a, b)):
+            for batch in run(iter([pa.RecordBatch.from_arrays([pa.array(np.array([x], np.uint64).view(np.int64))], ["fp"])])):
+                out |= set(zip(batch.column("anchor").to_pylist(), batch.column("home").to_pylist()))
+        assert {k for k, home in at[0] if home} & {k for k, _ in at[1]}
+
+
 def test_long_runs_are_counted_in_wide_counters():
     h = np.array([3] * 70000 + [1] * 10, np.uint64)
     assert simhash.fingerprints_of(h, np.array([0, 70000, 10])).tolist() == [0, 3, 1]
