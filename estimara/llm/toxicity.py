@@ -38,6 +38,8 @@ FLOOR, HALF = 0.02, 50.0
 NEIGHBOURS, PRIOR_WEIGHT = 32, 1.0
 #: Examples of an index block at most, and documents scored at a time.
 BLOCK, QUERIES = 4096, 256
+#: Postings that are added up at a time, and bytes of text and vectors that are in hand.
+AT_ONCE, HAND_BYTES, HAND_ROWS = 1 << 19, 1 << 20, 1024
 #: Terms that more than one in so many examples of a block have are kept as rows of numbers, not as postings.
 COMMON = 16
 GRAIN = 1 << 12
@@ -130,7 +132,7 @@ def vectors(texts: pa.Array, vocabulary: Words) -> tuple[np.ndarray, np.ndarray,
 
 def _vectors(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, most=HAND_BYTES):
             at, n, begins = vectors(texts, vocabulary.value)
             offsets = pa.array(begins, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int32()))], ["doc_id", "label", "at", "n"])
@@ -142,7 +144,7 @@ def _document_counts(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary.value
         n, counts = 0, np.zeros(len(known), np.int64)
-        for _, texts in slices(batches):
+        for _, texts in slices(batches, most=HAND_BYTES):
             n += len(texts)
             counts += np.bincount(vectors(texts, known)[0], minlength=len(known))
         some = np.flatnonzero(counts)
@@ -183,11 +185,17 @@ class Block:
         n, is_common = len(self.dense), place >= 0
         asked = np.zeros((queries, self.dense.shape[1]), np.float32)
         asked[query[is_common], place[is_common]] = weight[is_common]
-        term = -1 - place[~is_common]
+        query, weight, term = query[~is_common], weight[~is_common], -1 - place[~is_common]
         sizes = self.starts[term + 1] - self.starts[term]
-        posts = spread(self.starts[term], sizes)
-        rest = np.bincount(np.repeat(query[~is_common] * n, sizes) + self.examples[posts], np.repeat(weight[~is_common], sizes) * self.weights[posts], queries * n)
-        return rest.reshape(queries, n) + asked @ self.dense.T
+        out, ends = (asked @ self.dense.T).astype(float), np.cumsum(sizes)
+        lo = 0
+        while lo < len(term):  # rows are in order; about AT_ONCE postings are added up at a time
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - sizes[lo] + AT_ONCE, side="right")))
+            posts, first, last = spread(self.starts[term[lo:hi]], sizes[lo:hi]), query[lo], query[hi - 1]
+            cells = np.repeat((query[lo:hi] - first) * n, sizes[lo:hi]) + self.examples[posts]
+            out[first : last + 1] += np.bincount(cells, np.repeat(weight[lo:hi], sizes[lo:hi]) * self.weights[posts], (last - first + 1) * n).reshape(-1, n)
+            lo = hi
+        return out
 
 
 @dataclass
@@ -374,7 +382,7 @@ def association(n: np.ndarray, toxic: np.ndarray, all_n: int, all_toxic: int) ->
 
 def _unit_vectors(weight: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, HAND_ROWS) for b in batches for lo in range(0, b.num_rows, HAND_ROWS)):
             lengths = pc.list_value_length(batch.column("at")).to_numpy()
             begins = np.append(0, np.cumsum(lengths))
             values = units(*(batch.column(c).flatten().to_numpy() for c in ("at", "n")), begins, weight.value)
@@ -386,7 +394,7 @@ def _unit_vectors(weight: Broadcast):
 
 def _own_votes(model: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, HAND_ROWS) for b in batches for lo in range(0, b.num_rows, HAND_ROWS)):
             at, n = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("at", "n"))
             begins = np.append(0, np.cumsum(pc.list_value_length(batch.column("at")).to_numpy()))
             votes, _ = model.value.votes(at, n, begins, own=batch.column("doc_id").to_pylist())
@@ -434,7 +442,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 def _scored(fitted: Classifier, text: str, evidence: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = fitted.model.value
-        for batch, texts in slices(batches, text):
+        for batch, texts in slices(batches, text, HAND_BYTES):
             votes, near = model.votes(*vectors(texts, model.words))
             batch = batch.append_column("score", pa.array(fitted.calibrated(votes), pa.float64()))
             yield batch.append_column("evidence", pa.array([x[:evidence] for x in near], pa.list_(pa.int64()))) if evidence else batch

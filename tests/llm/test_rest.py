@@ -89,7 +89,8 @@ def sparse(draw, n, terms, some):
 
 
 @pytest.mark.parametrize("common", [2, 16, 1000])
-def test_nearest_is_exact_and_ties_go_by_id(common):
+def test_nearest_is_exact_and_ties_go_by_id(monkeypatch, common):
+    monkeypatch.setattr(toxicity, "AT_ONCE", 50 * common)
     draw = np.random.default_rng(3)
     rows = sparse(draw, 500, 40, 0.08)
     rows += [rows[i] for i in draw.integers(0, 500, 200)]  # ties
