@@ -6,7 +6,6 @@ of ``documents``, but for the last, which returns each document's ids.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -53,7 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage; each stage's result is written as Parquet and read again."""
-    docs, folder = _read(spark, sf_dir, "documents"), f"{shared.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, folder = _read(spark, sf_dir, "documents"), shared.folder(spark, "pipeline")
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
         docs = spark.read.parquet(f"{folder}/{i}-{name}")
