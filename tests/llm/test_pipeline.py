@@ -7,6 +7,7 @@ import random
 import public_tokenizers as P
 import tiktoken
 from test_simhash import fingerprint, groups
+from test_similar import shingles
 from test_words import contaminated
 
 import corpus_pipeline
@@ -58,7 +59,10 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert texts(got[1]) == want and all(r.n_chars == (len(r.text) if r.text is not None else None) for r in got[1].collect())
     fps = {i: fingerprint(t, 5) for i, t in want}
     distinct = sorted(set(fps.values()))
-    of = groups([(a, b) for a in distinct for b in distinct if a < b and (a ^ b).bit_count() <= 4], distinct)
+    near = [(a, b) for a in distinct for b in distinct if a < b and (a ^ b).bit_count() <= 4]
+    sets = {i: shingles(t) for i, t in want}
+    alike = [(fps[a], fps[b]) for a in sets for b in sets if a < b and sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    of = groups([*near, *alike], distinct)
     first = {}
     for i, f in sorted(fps.items()):
         first.setdefault(of[f], i)
