@@ -2,37 +2,54 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import StatError
+
 from ..plans.staging import stage
 
 
-def running_total(df: DataFrame, order: list[str], amount: str, name: str, parts: int | None = None) -> DataFrame:
+def running_total(df: DataFrame, order: list[str], amount: str, name: str, parts: int | None = None, distinct: bool = False) -> DataFrame:
     """``df`` with the running total of ``amount`` (a whole number) in the order of its (distinct) keys.
 
     Rows are dealt by range, sorted there, and added up as they are written: one
     shuffle. A total for each range, one row each, tells where the next one starts.
+    distinct: rows with equal keys are refused; they show as neighbours, so this costs no further pass.
     """
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = [f"c{i}" for i in range(len(df.columns))]
     at = df.columns.index(amount)
+    keys = [df.columns.index(c) for c in order]
     rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order).toDF(*columns)
 
     def add_up(batches):
-        part, before = TaskContext.get().partitionId(), 0
+        part, before, last = TaskContext.get().partitionId(), 0, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.select(keys)
+            tied = last is not None and own.slice(0, 1).to_pylist() == last
+            if batch.num_rows > 1:
+                same = reduce(pc.and_, (pc.or_(pc.fill_null(pc.equal(c.slice(1), c.slice(0, len(c) - 1)), False), pc.and_(c.slice(1).is_null(), c.slice(0, len(c) - 1).is_null())) for c in own.columns))
+                tied = tied or bool(pc.any(same).as_py())
+            last = own.slice(batch.num_rows - 1).to_pylist()
             upto = before + np.cumsum(batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64))
-            before = int(upto[-1]) if len(upto) else before
-            yield batch.append_column("part", pa.array(np.full(batch.num_rows, part), pa.int32())).append_column("upto", pa.array(upto, pa.int64()))
+            before = int(upto[-1])
+            yield batch.append_column("part", pa.array(np.full(batch.num_rows, part), pa.int32())).append_column("upto", pa.array(upto, pa.int64())).append_column("tied", pa.array([tied] * batch.num_rows))
 
-    fields = [*rows.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("upto", T.LongType())]
+    fields = [*rows.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("upto", T.LongType()), T.StructField("tied", T.BooleanType())]
     dealt = stage(rows.mapInArrow(add_up, T.StructType(fields)), "ranges")
-    sums, before, total = dealt.groupBy("part").agg(F.max("upto").alias("sum")).collect(), {}, 0  # a row for each range
+    sums, before, total = dealt.groupBy("part").agg(F.max("upto").alias("sum"), F.max("tied").alias("tied")).collect(), {}, 0  # a row for each range
+    if distinct and any(row["tied"] for row in sums):
+        raise StatError("invalid_request", f"{', '.join(order)} don't tell all rows apart.", "Rows with equal values have no order.", "Name further variables of the order.")
     for row in sorted(sums, key=lambda r: r["part"]):
         before[row["part"]] = total
         total += row["sum"] or 0
@@ -41,8 +58,8 @@ def running_total(df: DataFrame, order: list[str], amount: str, name: str, parts
 
 
 def dense_index(df: DataFrame, order: list[str], name: str = "__index") -> DataFrame:
-    """``df`` with row numbers from 1; ``order`` must tell all rows apart."""
-    return running_total(df.withColumn("__one", F.lit(1)), order, "__one", name).drop("__one")
+    """``df`` with row numbers from 1; an order that doesn't tell all rows apart is refused."""
+    return running_total(df.withColumn("__one", F.lit(1)), order, "__one", name, distinct=True).drop("__one")
 
 
 def with_lags(df: DataFrame, index: str, columns: list[str], lags: int, bucket: int = 100_000) -> DataFrame:

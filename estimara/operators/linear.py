@@ -168,17 +168,22 @@ def cluster_meat(d: Design, cluster: str) -> tuple[np.ndarray, int]:
 
 def hac_meat(d: Design, lags: int, order: list[str]) -> np.ndarray:
     """Newey-West with Bartlett weights; ``order`` gives the rows' order in time."""
-    n = d.m.n
+    return newey_west(d.rows, [d.residual() * z for z in d.z()], d.m.n, lags, order)
+
+
+def newey_west(rows: DataFrame, scores: list[Column], n: int, lags: int, order: list[str]) -> np.ndarray:
+    """Of the scores of n rows, with n / (n - k)."""
+    k = len(scores)
     if lags < 0 or lags + 1 >= n:
         raise StatError("invalid_request", f"{lags} lags can't be used.", f"There are {n} rows.", "Use fewer lags.")
-    scores = d.rows.select(*order, *((d.residual() * z).alias(f"s{i}") for i, z in enumerate(d.z())))
-    names = [f"s{i}" for i in range(d.k)]
-    rows = with_lags(dense_index(scores, order), "__index", names, lags) if lags else scores
+    names = [f"s{i}" for i in range(k)]
+    numbered = rows.select(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), *(x.alias(c) for x, c in zip(scores, names)))
+    rows = with_lags(dense_index(numbered, [f"o{i}" for i in range(len(order))]), "__index", names, lags) if lags else numbered
     sums = [F.sum(F.col(a) * F.col(b)) for a in names for b in names]
     sums += [F.sum(F.col(a) * F.col(f"{b}__{lag}")) for lag in range(1, lags + 1) for a in names for b in names]
-    flat = np.array([v or 0.0 for v in rows.agg(*sums).first()]).reshape(lags + 1, d.k, d.k)
+    flat = np.array([v or 0.0 for v in rows.agg(*sums).first()]).reshape(lags + 1, k, k)
     meat = flat[0] + sum((1 - lag / (lags + 1)) * (flat[lag] + flat[lag].T) for lag in range(1, lags + 1))
-    return meat * n / (n - d.k)
+    return meat * n / (n - k)
 
 
 def covariance(d: Design, vce: str, cluster: str | None, lags: int, order: list[str] | None, figures: dict) -> np.ndarray:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..errors import StatError, too_few
 from ..plans.moments import collinear, cross_sums, moments, within_moments
 from .frame import check_names, check_numeric, complete_cases, has_value
-from .linear import CONSTANT, Fit, MAX_LEVERAGE, fitted, regress
+from .linear import CONSTANT, Fit, MAX_LEVERAGE, fitted, newey_west, regress
 
 
 def fixed_effects(df: DataFrame, y: str, x: list[str], entity: str, vce: str = "classical", cluster: str | None = None) -> Fit:
@@ -140,13 +140,7 @@ def ivregress(df: DataFrame, y: str, endogenous: list[str], instruments: list[st
         zc = [F.col(c).cast("double") - float(s) for c, s in zip(z, m.mean(z))]
         fits = [reduce(add, (float(first[i, j]) * zc[i] for i in range(len(z)))) for j in range(len(x))] + [F.lit(1.0)]
         if vce == "hac" and order:
-            from ..functions.order import dense_index, with_lags
-
-            names = [f"s{i}" for i in range(k)]
-            lagged = with_lags(dense_index(rows.select(*order, *((u * c).alias(s) for c, s in zip(fits, names))), order), "__index", names, lags)
-            sums = [F.sum(F.col(a) * F.col(b)) for a in names for b in names] + [F.sum(F.col(a) * F.col(f"{b}__{lag}")) for lag in range(1, lags + 1) for a in names for b in names]
-            flat = np.array([q or 0.0 for q in lagged.agg(*sums).first()]).reshape(lags + 1, k, k)
-            meat = (flat[0] + sum((1 - lag / (lags + 1)) * (flat[lag] + flat[lag].T) for lag in range(1, lags + 1))) * n / (n - k)
+            meat = newey_west(rows, [u * c for c in fits], n, lags, order)
         elif vce in ("robust", "hc0", "hc1", "hc2", "hc3"):
             h = F.least(reduce(add, (float(bread[i, j]) * fits[i] * fits[j] for i in range(k) for j in range(k))), F.lit(MAX_LEVERAGE))
             by = {"robust": u * u, "hc1": u * u, "hc0": u * u, "hc2": u * u / (1 - h), "hc3": u * u / ((1 - h) * (1 - h))}

@@ -34,6 +34,10 @@ HELP = {
 }
 
 
+#: Commands whose records may be replayed.
+RECORDED = {"summarize", "correlate", "ttest_one", "ttest_by", "ttest_two", "ttest_paired", "anova", "regress", "xtreg", "ivregress", "did", "glm"}
+
+
 @dataclass
 class Estimate:
     id: str
@@ -117,6 +121,7 @@ class Session:
     remarks: list[str] = field(default_factory=list)
     project: Project | None = None
     _changes: int = 0
+    _filled: DataFrame | None = None
 
     # Data
 
@@ -128,11 +133,20 @@ class Session:
         return report
 
     @property
-    def df(self) -> DataFrame:
+    def table(self) -> DataFrame:
         if self.data is None:
             raise StatError("invalid_request", "There are no data.", "The command needs a table.", "Load one with use.")
         return self.data
 
+    @property
+    def df(self) -> DataFrame:
+        """The table for an analysis, which needs rows; that is looked up once for each state of the table."""
+        if self._filled is not self.table:
+            if not self.table.limit(1).count():
+                raise StatError("insufficient_data", "The table is empty.", "The command needs rows.", "Load another, or check what was dropped.")
+            self._filled = self.table
+        return self.table
+
     def _set(self, df: DataFrame) -> None:
         self._changes += 1
         if self._changes >= MUTATIONS:
@@ -140,31 +154,31 @@ class Session:
         self.data = df
 
     def generate(self, name: str, value: Column) -> None:
-        self._set(frame.generate(self.df, name, value))
+        self._set(frame.generate(self.table, name, value))
 
     def replace(self, name: str, value: Column, where: Column | None = None) -> None:
-        self._set(frame.replace(self.df, name, value, where))
+        self._set(frame.replace(self.table, name, value, where))
 
     def drop_vars(self, *names: str) -> None:
-        self._set(frame.drop_vars(self.df, list(names)))
+        self._set(frame.drop_vars(self.table, list(names)))
 
     def keep_vars(self, *names: str) -> None:
-        self._set(frame.keep_vars(self.df, list(names)))
+        self._set(frame.keep_vars(self.table, list(names)))
 
     def drop_if(self, where: Column) -> None:
-        self._set(frame.drop_if(self.df, where))
+        self._set(frame.drop_if(self.table, where))
 
     def keep_if(self, where: Column) -> None:
-        self._set(frame.keep_if(self.df, where))
+        self._set(frame.keep_if(self.table, where))
 
     def rename(self, old: str, new: str) -> None:
-        self._set(frame.rename(self.df, old, new))
+        self._set(frame.rename(self.table, old, new))
 
     def label_variable(self, name: str, label: str) -> None:
-        self._set(frame.label_variable(self.df, name, label))
+        self._set(frame.label_variable(self.table, name, label))
 
     def sort(self, name: str, descending: bool = False, ties: list[str] | None = None) -> None:
-        self._set(frame.sort(self.df, name, descending, ties))
+        self._set(frame.sort(self.table, name, descending, ties))
 
     def preview(self, offset: int = 0, limit: int = 50) -> DataFrame:
         return self.df.offset(offset).limit(limit)
@@ -367,10 +381,12 @@ class Project:
         for i, record in enumerate(self.records(), 1):
             session = Session(spark, data)
             try:
+                if record["command"] not in RECORDED:
+                    raise StatError("invalid_request", f"'{record['command']}' can't be replayed.", "Only analyses are.", "Check the registry.")
                 got = getattr(session, record["command"])(**record["arguments"])
                 again = result_of(got) if isinstance(got, Fit) else rows_of(got[0] if isinstance(got, tuple) else got)
                 worst, trouble = difference(record["result"], again), ""
-            except StatError as e:
+            except (StatError, TypeError, KeyError, ValueError) as e:  # one bad record doesn't end the replay
                 worst, trouble = math.inf, str(e)
             rows.append((i, record["command"], float(worst), bool(worst <= tolerance), trouble))
         return spark.createDataFrame(rows, "step int, command string, difference double, reproduced boolean, error string")
@@ -379,6 +395,8 @@ class Project:
 def difference(old: Any, new: Any) -> float:
     """The largest relative difference of numbers; infinite where the shapes or texts differ."""
     if isinstance(old, dict):
+        if isinstance(new, dict) and new.keys() - old.keys():
+            return math.inf
         return max((difference(v, new[k]) if isinstance(new, dict) and k in new else math.inf for k, v in old.items()), default=0.0)
     if isinstance(old, list):
         return max((difference(a, b) for a, b in zip(old, new)), default=0.0) if isinstance(new, list) and len(old) == len(new) else math.inf

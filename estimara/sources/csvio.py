@@ -52,12 +52,14 @@ def clean_names(names: list[str]) -> tuple[list[str], list[str]]:
     return out, issues
 
 
-def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, ImportReport]:
+def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> tuple[DataFrame, ImportReport]:
     """The table and what was noticed. Columns are double or string; metadata has the semantic role.
 
     The first line gives names. Extra fields of a row are dropped, lacking ones
     are missing. A column is text if one of its cells is neither a number nor
-    missing; its cells stay as they are then.
+    missing; its cells stay as they are then. Files with line breaks inside
+    quotes are read by a task each, all others in splits; multi_line: None finds
+    out by lines whose quotes don't pair up.
     """
     if not path.lower().endswith(".csv"):
         raise StatError("io", f"'{path}' isn't a CSV file.", "Tables are read from .csv (or by read_parquet).", "Convert the file first.")
@@ -66,7 +68,9 @@ def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, ImportReport]:
         raise StatError("invalid_request", "The file is empty.", "A header line is needed.", "Check the file.")
     head = first[0].lstrip("\ufeff").rstrip("\r")
     sep = guess_delimiter(head)
-    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
+    if multi_line is None:
+        multi_line = spark.read.text(path).where((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1).limit(1).count() > 0
+    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": str(multi_line).lower(), "mode": "PERMISSIVE"}
     header = spark.read.options(**options).csv(path).first()
     names, issues = clean_names([(x or "").lstrip("\ufeff") for x in header])
     raw = spark.read.options(**options, header="true", enforceSchema="true", columnNameOfCorruptRecord="__bad").schema(", ".join(f"`{n}` string" for n in names) + ", __bad string").csv(path)

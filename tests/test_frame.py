@@ -50,6 +50,18 @@ def test_order(spark):
     assert all(r["__index"] == r.k + 1 and r.k__1 == (r.k - 1 if r.k else None) and r.k__2 == (r.k - 2 if r.k > 1 else None) for r in rows)
 
 
+def test_an_order_with_ties_is_refused(spark):
+    for parts in (1, 6):
+        data = spark.createDataFrame([(i // 2 if i > 90 else i, None if i in (3, 4) else "x") for i in range(100)], "k long, g string").repartition(parts)
+        for order in (["k"], ["k", "g"]):
+            with pytest.raises(StatError):
+                dense_index(data, order)
+    data = spark.createDataFrame([(1, None), (1, "a"), (None, None), (None, "a")], "k long, g string")
+    assert sorted(r["__index"] for r in dense_index(data, ["k", "g"]).collect()) == [1, 2, 3, 4]
+    with pytest.raises(StatError):
+        dense_index(data.unionByName(data.limit(1)), ["g", "k"])
+
+
 def test_rows_and_columns(df):
     assert column(frame.drop_if(df, expr.condition("x", ">", 0)).orderBy("id"), "id") == [2, 3, 5]
     assert column(frame.keep_if(df, expr.condition("x", ">", 0)).orderBy("id"), "id") == [1, 4, 6]

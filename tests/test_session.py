@@ -74,3 +74,21 @@ def test_entry(spark):
 
     assert driver.entry(spark).count() == 4
     assert set(driver.oracle_sql()) <= set(driver.queries())
+
+
+def test_an_empty_table_and_a_bad_record(spark, tmp_path):
+    data = spark.createDataFrame([(float(i), float(i * i % 7)) for i in range(20)], "x double, y double")
+    session = Session(spark, data)
+    session.keep_if(F.col("x") > 100)
+    with pytest.raises(StatError) as e:
+        session.summarize()
+    assert e.value.kind == "insufficient_data"
+    data.write.parquet(f"{tmp_path}/data.parquet")
+    project = Project.create(f"{tmp_path}/p", "p")
+    project.add_dataset(data, "d")
+    session = Session(spark, data, project=project)
+    session.regress("y", ["x"])
+    project.append(json.dumps({"command": "export_data", "arguments": {"path": f"{tmp_path}/stolen.csv"}}), {})
+    project.append(json.dumps({"command": "regress", "arguments": {"nope": 1}}), {})
+    rows = project.replay(spark).collect()
+    assert [r.reproduced for r in rows] == [True, False, False] and not (tmp_path / "stolen.csv").exists()
