@@ -7,6 +7,7 @@ executor costs no more than the tasks that it ran.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 
@@ -39,6 +40,13 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def release() -> None:
+    """Give memory that isn't used any more back to the system: executors count what their Python workers hold."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def binary(column: pa.Array) -> pa.Array:
     """A text column as bytes; null becomes the empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import LETTER, WHOLE, numbered, pretokens, slices, spread, stage
+from .shared import LETTER, WHOLE, numbered, pretokens, release, slices, spread, stage
 
 #: Labelled rows that fit the classifier, at most: those with the least hashes of their ids.
 MAX_EXAMPLES = 20_000
@@ -41,7 +41,9 @@ BLOCK, QUERIES = 4096, 256
 #: Postings that are added up at a time, and bytes of text and vectors that are in hand.
 AT_ONCE, HAND_BYTES, HAND_ROWS = 1 << 19, 1 << 20, 1024
 #: Terms that more than one in so many examples of a block have are kept as rows of numbers, not as postings.
-COMMON = 16
+COMMON = 8
+#: Terms by which examples are sorted into blocks.
+SORTING = 64
 GRAIN = 1 << 12
 WORDS = re.compile(r"[^\W\d_]+")
 #: Distinct terms that a task counts before it hands the counts on.
@@ -83,9 +85,9 @@ class Words:
 
     @cached_property
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        own = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words.to_pylist()), np.uint64, len(self))
+        own = np.concatenate([np.fromiter(map(xxhash.xxh3_64_intdigest, part.to_pylist()), np.uint64, len(part)) for part in (self.words.slice(lo, 1 << 15) for lo in range(0, len(self), 1 << 15))])
         order = np.argsort(own, kind="stable")
-        return own[order], order
+        return own[order], order.astype(np.int32)
 
     def places(self, words: pa.Array) -> np.ndarray:
         """Of each of these words the place, or -1."""
@@ -147,6 +149,7 @@ def _document_counts(vocabulary):
         for _, texts in slices(batches, most=HAND_BYTES):
             n += len(texts)
             counts += np.bincount(vectors(texts, known)[0], minlength=len(known))
+        release()
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(counts[some], n))], ["at", "n"])
 
@@ -222,11 +225,11 @@ class Index:
     def of(cls, sizes: np.ndarray, term: np.ndarray, weight: np.ndarray, labels: np.ndarray, ids: np.ndarray, terms: int, block: int = BLOCK, common: int = COMMON) -> Index:
         """Of each example, the number of its terms; then all places of terms and their weights on end."""
         n, at = len(sizes), np.append(0, np.cumsum(sizes))
-        often = np.flatnonzero(np.bincount(term, minlength=terms) * common > n)
-        column = np.full(terms, -1, np.int32)
+        often = np.argsort(-np.bincount(term, minlength=terms), kind="stable")[:SORTING]
+        column = np.full(terms, -1, np.int16)
         column[often] = np.arange(len(often))
-        dense, there = np.zeros((n, len(often)), np.float32), column[term] >= 0
-        dense[np.repeat(np.arange(n, dtype=np.int32), sizes)[there], column[term[there]]] = weight[there]
+        dense, there = np.zeros((n, len(often)), np.float32), np.flatnonzero(column[term] >= 0)
+        dense[np.searchsorted(at, there, side="right") - 1, column[term[there]]] = weight[there]
         parts, blocks, entries = leaves(dense, block), [], []
         del dense, column, there
         for number, part in enumerate(parts):
@@ -240,12 +243,12 @@ class Index:
             place = np.where(is_common, np.cumsum(is_common) - 1, -np.cumsum(~is_common))
             numbers, all_common = np.zeros((len(part), int(is_common.sum())), np.float32), np.repeat(is_common, counts)
             numbers[example[all_common], np.repeat(place, counts)[all_common]] = value[all_common]
-            blocks.append(Block(numbers, np.append(0, np.cumsum(counts[~is_common])), example[~all_common], value[~all_common]))
+            blocks.append(Block(numbers, np.append(0, np.cumsum(counts[~is_common])).astype(np.int32), example[~all_common].astype(np.int16 if len(part) < 1 << 15 else np.int32), value[~all_common]))
             entries.append((own[start].astype(np.int32), np.full(len(start), number, np.int16), np.maximum.reduceat(value, start) if len(start) else value, place.astype(np.int32)))
         own, number, top, place = (np.concatenate(x) for x in zip(*entries)) if entries else (np.zeros(0, np.int32),) * 4
         order = np.argsort(own, kind="stable")
         members = np.concatenate([*parts, np.zeros(0, np.int64)])
-        return cls(labels[members], ids[members], blocks, np.append(0, np.cumsum([len(x) for x in parts])), np.searchsorted(own[order], np.arange(terms + 1)), number[order], top[order], place[order])
+        return cls(labels[members], ids[members], blocks, np.append(0, np.cumsum([len(x) for x in parts])), np.searchsorted(own[order], np.arange(terms + 1)).astype(np.int32), number[order], top[order], place[order])
 
     def nearest(self, at: np.ndarray, weights: np.ndarray, begins: np.ndarray, k: int = NEIGHBOURS, own: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Cosines and places of the k nearest examples of each query: larger cosines first, then smaller ids.
@@ -314,7 +317,10 @@ class Model:
         unpack = zstandard.ZstdDecompressor().decompress
         labels, ids, sizes, steps, grains = self.parts
         term = np.cumsum(np.frombuffer(unpack(steps), np.int32), dtype=np.int32)
-        return Index.of(sizes, term, np.frombuffer(unpack(grains), np.int16) / np.float32(GRAIN), labels, ids, len(self.weight))
+        index = Index.of(sizes, term, np.frombuffer(unpack(grains), np.int16) / np.float32(GRAIN), labels, ids, len(self.weight))
+        del term
+        release()
+        return index
 
     def __getstate__(self) -> tuple:
         return self.words, self.weight, self.rate, self.parts
@@ -446,6 +452,7 @@ def _scored(fitted: Classifier, text: str, evidence: int):
             votes, near = model.votes(*vectors(texts, model.words))
             batch = batch.append_column("score", pa.array(fitted.calibrated(votes), pa.float64()))
             yield batch.append_column("evidence", pa.array([x[:evidence] for x in near], pa.list_(pa.int64()))) if evidence else batch
+        release()
 
     return run
 
