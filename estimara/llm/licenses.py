@@ -58,7 +58,7 @@ NOTICES = {
 EQUAL = {"licence": "license", "sub license": "sublicense", "non infringement": "noninfringement", "non commercial": "noncommercial", "organisation": "organization", "authorisation": "authorization", "favour": "favor", "honour": "honor", "https": "http"}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PUNCTUATION = "\t\r\v\f!\"#$%'()*+,-./:;<=>?@[\\]^_`{|}~ ‘’“”–—•"
-COPYRIGHT = "^(c )?copyright (c$|c |[0-9]{4})|^c [0-9]{4}|^all rights reserved"
+COPYRIGHT = "^(c )?copyright (c$|c |[0-9]{4})|^c [0-9]{4}|^(c )?copyright the .*(authors|contributors|developers|team|project|foundation)$|^all rights reserved$"
 
 
 def canonical_line(line: Column) -> Column:
@@ -97,7 +97,9 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kn
 
     Two texts have one digest if they differ in case, punctuation, line breaks,
     copyright lines or listed spellings only. A null text counts as empty; an
-    empty canonical text has a digest but no licence. notices: ordered names,
+    empty canonical text has a digest but no licence. Very long texts count
+    whole, repeated rows stay repeated, an empty table gives an empty result, and
+    other columns aren't looked at. notices: ordered names,
     comma-joined, of the licences that a line of the text declares. The only
     join is with the known digests. known: a table (digest, license) of them; of
     a digest with several licences the first by name counts. Without it, the

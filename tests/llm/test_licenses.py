@@ -21,6 +21,14 @@ def test_titles_and_other_forms(spark):
     assert names(spark, texts) == ["MIT", "MIT", "BSD-3-Clause", "BSD-3-Clause", "Unlicense", None]
 
 
+def test_copyright_lines(spark):
+    mit = licenses.LICENSES["MIT"]
+    texts = [f"Copyright The Foo Authors\n{mit}", f"MIT License\n\nCopyright the Bar contributors.\nAll rights reserved.\n\n{mit}", f"All rights reserved. Anything may stand here, nothing is granted.\n{mit}", f"Copyright law applies\n{mit}"]
+    assert names(spark, texts) == ["MIT", "MIT", None, None]
+    wrapped = mit.replace("COPYRIGHT HOLDERS BE", "\nCOPYRIGHT HOLDERS BE")
+    assert names(spark, [wrapped]) == ["MIT"]
+
+
 @pytest.mark.skipif(not SHIPPED.exists(), reason="no licence texts here")
 def test_long_texts(spark):
     files = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
