@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import small_batches, stage
 
 #: Characters of a chunk, and of what it shares with the next one.
 CHUNK, OVERLAP = 16384, 512
@@ -167,6 +167,7 @@ def encoded(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", t
     repeated, told apart by row_id. An empty table gives an empty result. Other
     columns aren't looked at.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     long = F.char_length("text") > size
     short = rows.where(~long).mapInArrow(_whole(ranks, pattern), "row_id long, doc_id long, ids binary")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, byte_class, bytes_of, gram_hashes, numbered, slices, small, stage, word_hashes, words_in
+from .shared import LOWER, byte_class, bytes_of, gram_hashes, numbered, slices, small, small_batches, stage, word_hashes, words_in
 
 WORD = byte_class(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]")
 WINDOW, GRAM = 10, 5
@@ -89,6 +89,7 @@ def _candidates(prints, gram: int):
 def _contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """As ``contamination``, with the XXH64 of each text beside its id."""
     spark = docs.sparkSession
+    small_batches(spark)
     tests = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text")).where(F.col("item_id").isNotNull())
     windows = stage(tests.mapInArrow(_item_windows(window, gram), WINDOWS), "benchmark")
     prints = stage(windows.select("span", "print").distinct(), "benchmark-prints")

@@ -21,10 +21,19 @@ from ..plans.staging import clear_staged, folder, shared_folder, stage
 __all__ = ["clear_staged", "folder", "shared_folder", "stage"]
 #: Bytes of text that one NumPy step handles; a longer text is a step of its own.
 SLICE_BYTES = 1 << 21
+#: Rows of a batch.
+BATCH_ROWS = 1000
 #: Rows that a frame may have, by count, for a broadcast to be asked for.
 BROADCAST_ROWS = 200_000
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on in this session, rows go to Python by 1,000 at most: a task holds whole batches on either side, and rows are texts here."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import LETTER, WHOLE, numbered, pretokens, release, slices, spread, stage
+from .shared import LETTER, WHOLE, numbered, pretokens, release, slices, small_batches, spread, stage
 
 #: Labelled rows that fit the classifier, at most: those with the least hashes of their ids.
 MAX_EXAMPLES = 20_000
@@ -417,6 +417,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     number ``most`` bounds. No labels at all give a model that scores everything 0.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     chosen = stage(training_labels(labels, doc_id, label, most), "labels")  # at most ``most`` rows
     seen = texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
