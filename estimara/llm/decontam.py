@@ -65,7 +65,7 @@ def _candidates(prints, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = prints.value
         kind = pa.list_(pa.struct([("digest", pa.binary()), ("span", pa.int32()), ("at", pa.list_(pa.int32()))]))
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, most=1 << 20):
             data, starts, ends, first, words = _split(texts)
             hits: list[list[dict]] = [[] for _ in range(len(texts))]
             for span, wanted in known.items():
