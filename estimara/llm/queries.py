@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, licenses, linededup, quality, shared, simhash, tokencount, tokenfile, toxicity, urls
+from . import bpe, decontam, langid, lexical, licenses, linededup, quality, shared, simhash, tokencount, tokenfile, toxicity, urls, whitening
 
 #: The rules of op6 in their order.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -62,6 +62,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_license_scan, op2_quality_rules, op3_token_counts, op4_simhash, op5_byte_bpe, op6_url_filter, op7_decontaminate, op8_token_file, op9_line_dedup, op10_toxicity, pipeline]
+    own = [op1_license_scan, op2_quality_rules, op3_token_counts, op4_simhash, op5_byte_bpe, op6_url_filter, op7_decontaminate, op8_token_file, op9_line_dedup, op10_toxicity, op11_language_id, op12_embedding_whitening, op13_lexical_search, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -139,4 +151,4 @@ def _urls_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.license_sql(), "op2_quality_rules": _quality_sql(), "op6_url_filter": _urls_sql(), "op7_decontaminate": _decontam_sql(), "op9_line_dedup": _lines_sql()}
+    return {"op1_license_scan": licenses.license_sql(), "op2_quality_rules": _quality_sql(), "op6_url_filter": _urls_sql(), "op7_decontaminate": _decontam_sql(), "op9_line_dedup": _lines_sql(), "op13_lexical_search": lexical.search_sql()}
