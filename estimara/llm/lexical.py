@@ -33,6 +33,8 @@ QUERIES, QUERY_BYTES = 4096, 1 << 23
 SHARD_ROWS, SHARD_POSTINGS, BLOCK = 8192, 1 << 20, 32
 #: Documents of a shard that a first look scores for a query, and then stops.
 GLANCE = 64
+#: Blocks of a list that are looked at before the others are judged again.
+FIRST_BLOCKS = 8
 #: Numbers that stand for a document where alike ones are sought.
 SKETCH = 32
 #: Above all impacts.
@@ -225,13 +227,17 @@ class Shard:
             left -= int(reach[i])
             blocks = self.blocks(int(terms[i]))
             bound = np.add.reduceat(np.maximum(whole[blocks.summary_terms], 0) * blocks.summary_most, blocks.summary_begins)
-            asked = np.flatnonzero((bound >= best.least) & (bound > 0))
-            self.looked_at, self.skipped = self.looked_at + len(asked), self.skipped + len(bound) - len(asked)
-            docs = blocks.docs[spread(blocks.begins[asked], np.diff(blocks.begins)[asked])]
-            docs = docs[~done[docs]]
-            if len(docs):
-                done[docs] = True
-                best.take(self.scores(docs, whole), self.ids[docs])
+            asked, lo, step = np.argsort(-bound, kind="stable")[: int((bound > 0).sum())], 0, FIRST_BLOCKS
+            while lo < len(asked) and bound[asked[lo]] >= best.least:  # the most promising first, then four times as many of what they leave
+                some = asked[lo : lo + step]
+                some = some[bound[some] >= best.least]
+                docs = blocks.docs[spread(blocks.begins[some], np.diff(blocks.begins)[some])]
+                docs = docs[~done[docs]]
+                if len(docs):
+                    done[docs] = True
+                    best.take(self.scores(docs, whole), self.ids[docs])
+                lo, step, self.looked_at = lo + step, 4 * step, self.looked_at + len(some)
+            self.skipped += max(0, len(bound) - lo)
         whole[terms] = 0
 
 
