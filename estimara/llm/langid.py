@@ -209,7 +209,10 @@ def fit(docs: DataFrame) -> Coder:
     if k < 2:
         return coder
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) < math.ceil((1 << 24) * min(1.0, WEIGHING_ROWS / n))
-    seen = rows.where(share).select("lang", "text").limit(2 * WEIGHING_ROWS).mapInArrow(_bits(coder), "lang string, sums array<double>, size double").toArrow()
+    sample = rows.where(share)
+    if sample.count() > 2 * WEIGHING_ROWS:  # equal ids
+        sample = sample.limit(2 * WEIGHING_ROWS)
+    seen = sample.select("lang", "text").mapInArrow(_bits(coder), "lang string, sums array<double>, size double").toArrow()
     if not len(seen):
         return coder
     number = {x: i for i, x in enumerate(languages)}

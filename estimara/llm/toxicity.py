@@ -251,7 +251,7 @@ class Index:
         return cls(labels[members], ids[members], blocks, np.append(0, np.cumsum([len(x) for x in parts])), np.searchsorted(own[order], np.arange(terms + 1)).astype(np.int32), number[order], top[order], place[order])
 
     def nearest(self, at: np.ndarray, weights: np.ndarray, begins: np.ndarray, k: int = NEIGHBOURS, own: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Cosines and places of the k nearest examples of each query: larger cosines first, then smaller ids.
+        """Cosines and places of the k nearest examples of each query, and of all that tie with the last of them: larger cosines first.
 
         Queries are places of terms and weights on end; each begins at ``begins`` (one more than queries). Examples
         without a term in common don't count. own: of each query, the id of an example that doesn't count.
@@ -288,7 +288,17 @@ class Index:
         row, cosines, places = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
         order = np.lexsort((self.ids[places], -cosines, row))
         cuts = np.searchsorted(row[order], np.arange(n + 1))
-        return [(cosines[order[a:b][:k]], places[order[a:b][:k]]) for a, b in zip(cuts, cuts[1:])]
+        near = [order[a:b] for a, b in zip(cuts, cuts[1:])]
+        near = [x[: np.searchsorted(-cosines[x], -cosines[x[k - 1]], side="right")] if len(x) > k else x for x in near]
+        return [(cosines[x], places[x]) for x in near]
+
+
+def shared_places(cosines: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
+    """Falling cosines as votes of k neighbours: those equal to the k-th have the places between them that are left."""
+    if len(cosines) <= k:
+        return cosines
+    tied = cosines == cosines[k - 1]
+    return np.where(tied, cosines * ((k - (~tied).sum()) / tied.sum()), cosines)
 
 
 def units(at: np.ndarray, n: np.ndarray, begins: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -329,12 +339,16 @@ class Model:
         self.words, self.weight, self.rate, self.parts = state
 
     def votes(self, at: np.ndarray, n: np.ndarray, begins: np.ndarray, own: list[int] | None = None, prior_weight: float = PRIOR_WEIGHT) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Toxic share of each text's neighbours, by cosine, with the examples' rate as a prior; and the neighbours' ids."""
+        """Toxic share of each text's neighbours, by cosine, with the examples' rate as a prior; and the neighbours' ids.
+
+        Examples that tie for the last places share them, so nothing hangs on their order or ids.
+        """
         values, found = units(at, n, begins, self.weight), []
         for lo in range(0, len(begins) - 1, QUERIES):
             some = begins[lo : lo + QUERIES + 1]
             found += self.index.nearest(at[some[0] : some[-1]], values[some[0] : some[-1]], some - some[0], own=own[lo : lo + QUERIES] if own else None)
-        shares = [(float((c * self.index.labels[p]).sum()) + prior_weight * self.rate) / (float(c.sum()) + prior_weight) for c, p in found]
+        weighed = [(shared_places(c), p) for c, p in found]
+        shares = [(math.fsum(c * self.index.labels[p]) + prior_weight * self.rate) / (math.fsum(c) + prior_weight) for c, p in weighed]
         return np.array(shares), [self.index.ids[p] for _, p in found]
 
 
