@@ -1,6 +1,7 @@
 """Near copies by exact Jaccard similarity of shingle sets, beside those whose fingerprints are near.
 
-Shingles are ordered by hash. A set of s shingles shares at least 4/5 s of them
+Shingles are ordered by how often a sample of texts has them, rare ones first, then by hash: one order for
+all sets, whatever the sample, and boilerplate comes last in it. A set of s shingles shares at least 4/5 s of them
 with any set at a similarity of 0.8 or more, so two such sets share one of
 their first s - ceil(4/5 s) + 1 shingles: no pair is lost by looking at these
 only. Of the pairs found so, those are out whose parity sketches (a bit for each
@@ -21,11 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import mixed, numbered, partitions, release, slices, small, small_batches, stage
+from .shared import BROADCAST_ROWS, mixed, numbered, partitions, release, slices, small, small_batches, stage
 from .simhash import fingerprint_links, fingerprints_of, grouped, shingle_hashes
 
 #: Sets of one shingle that are compared with all others of it at a time, and that make a group of a tile.
@@ -34,6 +36,8 @@ ROWS, TILE = 256, 2048
 SKETCH, SAMPLE = 512, 256
 #: Partners of a set at a shingle in the first round; the second compares all pairs that aren't joined by then.
 FIRST = 2
+#: Texts of the sample, about, and how many of them have a shingle that counts as frequent. It orders, and decides nothing else.
+ORDERING_TEXTS, FREQUENT = 8192, 4
 INFO = "doc_id long, fp long, text_hash long, key long, size int, sketch binary, large binary, prefix array<long>"
 
 
@@ -75,14 +79,43 @@ def folded(sketch: bytes, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, size))
 
 
-def _described(n: int):
+def _shingles(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in slices(batches):
+            each = [np.unique(np.array(shingle_hashes(t, n), np.uint64)) for t in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*each, np.zeros(0, np.uint64)]).view(np.int64))], ["token"])
+
+    return run
+
+
+def frequent_shingles(texts: DataFrame, n: int, most: int = BROADCAST_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample have, in order, and how many do; the ``most`` most frequent ones."""
+    share = min(1.0, ORDERING_TEXTS / max(1, texts.count()))
+    sample = texts.where(F.pmod("text_hash", F.lit(1 << 24)) < int(share * (1 << 24))).dropDuplicates(["text_hash"])
+    counts = sample.select("text").mapInArrow(_shingles(n), "token long").groupBy("token").count().where(F.col("count") >= FREQUENT)
+    got = counts.orderBy(F.desc("count"), "token").limit(most).toArrow()
+    tokens, count = got.column("token").to_numpy().view(np.uint64), got.column("count").to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], count[order]
+
+
+def rare_first(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The set, which is in order of hashes, in that of its prefix."""
+    tokens, count = frequent
+    if not len(tokens):
+        return shingles
+    at = np.minimum(np.searchsorted(tokens, shingles), len(tokens) - 1)
+    return shingles[np.argsort(np.where(tokens[at] == shingles, count[at], 0), kind="stable")]
+
+
+def _described(n: int, frequent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
             each = [np.array(shingle_hashes(t, n), np.uint64) for t in texts.to_pylist()]
             fp = fingerprints_of(np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))).view(np.int64)
             sets = [np.unique(x) for x in each]
             keys = np.array([_key(x) for x in sets], np.uint64).view(np.int64)
-            columns = [batch.column("doc_id"), pa.array(fp), batch.column("text_hash"), pa.array(keys), pa.array([len(x) for x in sets], pa.int32()), pa.array([sampled(x) for x in sets], pa.binary()), pa.array([_sketch(x) for x in sets], pa.binary()), _lists([x[: prefix_size(len(x))] for x in sets])]
+            columns = [batch.column("doc_id"), pa.array(fp), batch.column("text_hash"), pa.array(keys), pa.array([len(x) for x in sets], pa.int32()), pa.array([sampled(x) for x in sets], pa.binary()), pa.array([_sketch(x) for x in sets], pa.binary()), _lists([rare_first(x, frequent.value)[: prefix_size(len(x))] for x in sets])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "text_hash", "key", "size", "sketch", "large", "prefix"])
         release()
 
@@ -221,7 +254,9 @@ def similar_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    rows = stage(texts.mapInArrow(_described(n), INFO), "described")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(texts, n))
+    rows = stage(texts.mapInArrow(_described(n, frequent), INFO), "described")
+    frequent.destroy()
     classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     info = stage(rows.where("size > 0").dropDuplicates(["key"]).select("key", "fp", "text_hash", "size", "sketch", "large", "prefix"), "sets")
     # One set has several fingerprints where its shingles repeat differently.
