@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import StatError
 from .functions import expr
 from .operators import describe, frame, glm, hypothesis, linear, panel
 from .plans.moments import moments
@@ -455,25 +456,32 @@ def condition_number(spark, d):
 
 
 def _diagnostics_sql() -> str:
-    """Two regressors: the condition number and VIF in closed form, Breusch-Pagan's p of two degrees of freedom is exp(-lm / 2), Cook's distances by row. RESET's p is not among them."""
+    """Two regressors: the condition number and VIF in closed form, Breusch-Pagan's p of two degrees of freedom is exp(-lm / 2), Cook's distances by row. RESET's two terms by Gram-Schmidt, its p of two degrees of freedom in closed form."""
     return f"""with m as (select *, s11 * s22 - s12 * s12 as det, my - b1 * m1 - b2 * m2 as b0 from {_TWO_FIT}),
         r as (select l_quantity x1, l_discount x2, l_extendedprice - b0 - b1 * l_quantity - b2 * l_discount u, 1 / n + (s22 * pow(l_quantity - m1, 2) - 2 * s12 * (l_quantity - m1) * (l_discount - m2) + s11 * pow(l_discount - m2, 2)) / (n * det) h, n from lineitem, m),
         w as (select *, sum(u * u) over () / (n - 3) s2 from r),
         k as (select any_value(n) n, count(*) filter (u * u * h / (3 * s2 * pow(1 - h, 2)) > 4 / n) / any_value(n) share, any_value(s2) s2,
             covar_pop(x1, x1) a, covar_pop(x1, x2) b, covar_pop(x2, x2) c, covar_pop(x1, u * u) d, covar_pop(x2, u * u) e, var_pop(u * u) f, sum(x1 * x1) q1, sum(x1 * x2) q2, sum(x2 * x2) q3 from w),
+        t as (select r.u, r.x1 - m1 as x1, r.x2 - m2 as x2, b1 * (r.x1 - m1) + b2 * (r.x2 - m2) as y, s11, s12, s22, det, m.n from r, m),
+        p as (select *, y * y - avg(y * y) over () as f2, pow(y, 3) - avg(pow(y, 3)) over () as f3 from t),
+        g as (select *, sum(x1 * f2) over () / n as a2, sum(x2 * f2) over () / n as b2, sum(x1 * f3) over () / n as a3, sum(x2 * f3) over () / n as b3 from p),
+        h as (select u, n, f2 - ((s22 * a2 - s12 * b2) * x1 + (s11 * b2 - s12 * a2) * x2) / det as e2, f3 - ((s22 * a3 - s12 * b3) * x1 + (s11 * b3 - s12 * a3) * x2) / det as g3 from g),
+        i as (select *, g3 - e2 * (sum(g3 * e2) over ()) / (sum(e2 * e2) over ()) as e3 from h),
+        j as (select any_value(n) n, sum(u * u) ssr, pow(sum(u * e2), 2) / sum(e2 * e2) + pow(sum(u * e3), 2) / sum(e3 * e3) as gain from i),
+        l as (select {_F2_P.format(f='gain / 2 / ((ssr - gain) / (n - 5))', df='n - 5')} as reset_p from j),
         z as (select *, n * (c * d * d - 2 * b * d * e + a * e * e) / (a * c - b * b) / f as lm, 1 / (1 - b * b / (a * c)) as vif, (q1 + q3 + sqrt(pow(q1 - q3, 2) + 4 * q2 * q2)) / 2 as top from k),
         v as (select 'condition_number' as check_name, sqrt(top / ((q1 * q3 - q2 * q2) / top)) as value, case when sqrt(top / ((q1 * q3 - q2 * q2) / top)) < 1e7 then 'ok' when sqrt(top / ((q1 * q3 - q2 * q2) / top)) < 1e10 then 'warning' else 'attention' end as verdict from z
             union all select 'max_vif', vif, case when vif < 5 then 'ok' when vif < 10 then 'warning' else 'attention' end from z
             union all select 'breusch_pagan_p', exp(-lm / 2), case when exp(-lm / 2) < 0.05 then 'attention' else 'ok' end from z
+            union all select 'reset_p', reset_p, case when reset_p < 0.05 then 'warning' else 'ok' end from l
+            union all select 'sample_size', n, 'ok' from z union all select 'parameters', 3, 'ok' from z union all select 'residual_df', n - 3, 'ok' from z
             union all select 'influential_share', share, case when share > 0.05 then 'warning' else 'ok' end from z)
         select check_name, round(value, 7) as value, verdict from v"""
 
 
 @query(_diagnostics_sql())
 def regression_diagnostics(spark, d):
-    """RESET's p-value, an F probability that SQL lacks, is left to the tests; its F is the query reset."""
-    rows = [r for r in linear.diagnostics(_two(spark, d)) if r[0] != "reset_p"]
-    return spark.createDataFrame(rows, "check_name string, value double, verdict string").withColumn("value", F.round("value", 7))
+    return spark.createDataFrame(linear.diagnostics(_two(spark, d)), "check_name string, value double, verdict string").withColumn("value", F.round("value", 7))
 
 
 # Panels, instruments, differences
@@ -683,3 +691,78 @@ def replay_ok(spark, d):
 def moments_one_pass(spark, d):
     m = moments(table(spark, d, "lineitem"), ["l_tax", "l_quantity"])
     return figures(spark, {"n": float(m.n), "mean": float(m.means[0]), "mean_2": float(m.means[1]), "squares": float(m.cross[0, 0]), "products": round(float(m.cross[0, 1]), 3), "squares_2": float(m.cross[1, 1])})
+
+
+# Many columns, many lags, names
+
+#: Forty derived columns: remainders of whole numbers.
+WIDE_COLUMNS = [(c, m) for c in ("l_partkey", "l_suppkey", "l_orderkey", "l_quantity") for m in range(3, 13)]
+_WIDE_SOURCE = "(select " + ", ".join(f"({c}::bigint % {m})::double as r_{c}_{m}" for c, m in WIDE_COLUMNS) + " from lineitem)"
+
+
+def _wide_rows(spark, d):
+    return table(spark, d, "lineitem").select(*((F.col(c).cast("long") % m).cast("double").alias(f"r_{c}_{m}") for c, m in WIDE_COLUMNS))
+
+
+def _wide_sql() -> str:
+    names = [f"r_{c}_{m}" for c, m in WIDE_COLUMNS]
+    cells = ", ".join(f"corr({a}, {b}) as c{i}_{j}" for i, a in enumerate(names) for j, b in enumerate(names) if i < j)
+    rows = ", ".join(f"{{'var1': '{a}', 'var2': '{b}', 'r': {'1.0::double' if i == j else f'round(c{min(i, j)}_{max(i, j)}, 8)'}, 'n': n}}" for i, a in enumerate(names) for j, b in enumerate(names))
+    return f"select unnest([{rows}], recursive := true) from (select count(*)::bigint as n, {cells} from {_WIDE_SOURCE})"
+
+
+@query(_wide_sql())
+def correlate_wide(spark, d):
+    """Forty columns: their products are sums of matrix blocks."""
+    return _correlations(describe.correlate(_wide_rows(spark, d)))
+
+
+_LAGS = 60
+_MANY_LAGS = " + ".join(f"2 * {1 - lag / (_LAGS + 1)!r} * sum(w * w{lag})" for lag in range(1, _LAGS + 1))
+
+
+@query(f"""with {_line_sql(_EVENTS, 'value', 'user_id')}, s as (select *, z * u as w from r), l as (select *, {", ".join(f"lag(w, {lag}) over (order by event_id) w{lag}" for lag in range(1, _LAGS + 1))} from s),
+    m as (select any_value(n) n, any_value(sxx) sxx, any_value(b) b, sum(w * w) + {_MANY_LAGS} as m11 from l)
+    select 'user_id' as term, {s("b")} as coef, {s("sqrt(n / (n - 2) * m11 / (sxx * sxx))")} as se, {s("b / sqrt(n / (n - 2) * m11 / (sxx * sxx))")} as stat, n::bigint as n from m""")
+def ols_hac_many_lags(spark, d):
+    fit = linear.regress(table(spark, d, "events"), "value", ["user_id"], vce="hac", lags=_LAGS, order=["event_id"])
+    return tidy(spark, fit).where("term = 'user_id'")
+
+
+_THREE = ["l_quantity", "l_extendedprice", "l_discount"]
+_RANKS3 = "(select " + ", ".join(f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0 as {c}" for c in _THREE) + " from lineitem)"
+
+
+@query(_correlate_sql(_RANKS3, _THREE))
+def correlate_spearman_lineitem(spark, d):
+    """One column with hardly any ties, two with a few values."""
+    return _correlations(describe.correlate(table(spark, d, "lineitem"), _THREE, spearman=True))
+
+
+def _origin_sql() -> str:
+    """Through the origin: VIF about the mean, condition number of the raw columns, Breusch-Pagan without a constant."""
+    return f"""with m as (select sum(l_quantity * l_quantity) a, sum(l_quantity * l_discount) b, sum(l_discount * l_discount) c, sum(l_quantity * l_extendedprice) d, sum(l_discount * l_extendedprice) e, count(*)::double n, corr(l_quantity, l_discount) r from lineitem),
+        f as (select *, (c * d - b * e) / (a * c - b * b) b1, (a * e - b * d) / (a * c - b * b) b2 from m),
+        u as (select l_quantity x1, l_discount x2, l_extendedprice - b1 * l_quantity - b2 * l_discount as u, f.* from lineitem, f),
+        h as (select *, (c * x1 * x1 - 2 * b * x1 * x2 + a * x2 * x2) / (a * c - b * b) as h, sum(u * u) over () / (n - 2) as s2 from u),
+        g as (select any_value(a) a, any_value(b) b, any_value(c) c, any_value(n) n, any_value(r) r, sum(x1 * u * u) p, sum(x2 * u * u) q, sum(pow(u, 4)) t, var_pop(u * u) * count(*) as sst, count(*) filter (u * u * h / (2 * s2 * pow(1 - h, 2)) > 4 / n) as far from h),
+        v as (select *, (a + c + sqrt(pow(a - c, 2) + 4 * b * b)) / 2 as top, t - (c * p * p - 2 * b * p * q + a * q * q) / (a * c - b * b) as ssr from g)
+        select 'vif' as name, {s('1 / (1 - r * r)')} as value from v union all select 'condition_number', {s('sqrt(top / ((a * c - b * b) / top))')} from v
+        union all select 'breusch_pagan', {s('n * (1 - ssr / sst)')} from v union all select 'influential', far::double from v"""
+
+
+@query(_origin_sql())
+def diagnostics_no_constant(spark, d):
+    design = linear.fitted(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"], constant=False)[1]
+    return figures(spark, {"vif": linear.vif(design)["l_quantity"], "condition_number": linear.condition_number(design), "breusch_pagan": linear.breusch_pagan(design)[0], "influential": float(linear.influential(design))})
+
+
+@query("select o_orderkey, o_totalprice, o_totalprice / 2 as half, 'refused' as same_name from orders")
+def generate_case(spark, d):
+    """A new variable whose name differs from another's in case only is refused, and the other one stays."""
+    df = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    try:
+        verdict, df = "accepted", frame.generate(df, "O_TOTALPRICE", F.lit(0.0))
+    except StatError:
+        verdict = "refused"
+    return frame.generate(df, "half", expr.divide("o_totalprice", 2)).withColumn("same_name", F.lit(verdict))

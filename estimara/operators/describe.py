@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..errors import StatError, too_few
 from ..functions.dist import t_p
-from ..functions.expr import with_rank
-from ..functions.order import running_total
+from ..functions.order import ranked, running_total
 from ..plans.moments import moments
+from ..plans.select import distincts, quantiles
 from .frame import check_names, check_numeric, complete_cases, has_value, numeric_names
 
 #: Distinct values that one task may order.
@@ -24,23 +24,23 @@ SUMMARY = "variable string, n long, missing long, mean double, sd double, varian
 def summarize(df: DataFrame, names: list[str] | None = None, compat: bool = False) -> DataFrame:
     """A row for each variable; each variable loses its own missing rows only.
 
-    One aggregation gives all figures but exact quartiles and distinct counts;
-    those come from counts by variable and value, dealt by range, so no task
-    holds the values of a column. Quartiles are of type 7. Skewness and kurtosis are the adjusted G1 and G2;
+    One aggregation gives all figures but exact quartiles and distinct counts.
+    Quartiles (of type 7) come from brackets that sketches of ranks give and
+    counts prove; distinct values from partial sets, of whole numbers as bits.
+    Skewness and kurtosis are the adjusted G1 and G2;
     compat: skewness as n m3 / ((n-1)(n-2) m2^1.5) with sums' means, once published so.
     """
     names = names or numeric_names(df)
     check_numeric(df, names)
-    facts = []
-    for name in names:
-        x = valued(df, name)
-        facts += [F.count(x), F.avg(x), F.stddev_samp(x), F.var_samp(x), F.min(x), F.max(x), F.sum(x), F.skewness(x), F.kurtosis(x)]
+    xs, facts = [valued(df, name) for name in names], []
+    for x in xs:
+        facts += [F.count(x), F.avg(x), F.stddev_samp(x), F.var_samp(x), F.min(x), F.max(x), F.sum(x), F.skewness(x), F.kurtosis(x), F.count_if(x != F.floor(x)) == 0]
     row = df.agg(F.count("*"), *(f.alias(f"f{i}") for i, f in enumerate(facts))).first()
-    ordered = ordered_facts(df, names, [row[1 + i * 9] for i in range(len(names))])
+    figures = [row[1 + i * 10 : 11 + i * 10] for i in range(len(names))]
+    quartiles = quantiles(df, xs, [f[0] for f in figures], QUARTILES)
+    unique = distincts(df, xs, [(f[0], f[4], f[5], f[9]) for f in figures])
     out = []
-    for i, name in enumerate(names):
-        n, mean, sd, var, low, high, total, g, k = row[1 + i * 9 : 10 + i * 9]
-        q, distinct = ordered[i]
+    for name, (n, mean, sd, var, low, high, total, g, k, _), q, distinct in zip(names, figures, quartiles, unique):
         skew = None if n < 3 or g is None or not var else (g * n / ((n - 1) * (n - 2)) if compat else g * math.sqrt(n * (n - 1)) / (n - 2))
         kurt = None if n < 4 or k is None or not var else (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * k + 6)
         out.append((name, n, row[0] - n, mean, sd if n > 1 else None, var if n > 1 else None, low, high, total, *q, skew, kurt, distinct))
@@ -51,31 +51,6 @@ def valued(df: DataFrame, name: str):
     return F.when(has_value(df, name), F.col(f"`{name}`").cast("double"))
 
 
-def ordered_facts(df: DataFrame, names: list[str], sizes: list[int]) -> list[tuple[list[float | None], int]]:
-    """Exact quartiles of type 7, and the number of distinct values, of each variable: one table of counts by value, with running totals.
-
-    sizes: how many values each has.
-    """
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("v"), valued(df, name).alias("x")) for i, name in enumerate(names))))
-    counts = df.select(each.alias("e")).select("e.v", "e.x").where("x is not null").groupBy("v", "x").agg(F.count("*").alias("c"))
-    upto = running_total(counts, ["v", "x"], "c", "upto")
-    before, ranks = 0, []
-    for i, n in enumerate(sizes):
-        spots = [(n - 1) * p for p in QUARTILES] if n else []
-        ranks += [(i, before + r) for h in spots for r in (math.floor(h), math.ceil(h))]
-        before += n
-    first = [F.min(F.when((F.col("v") == i) & (F.col("upto") > r), F.col("x"))) for i, r in ranks]
-    row = upto.agg(*(F.count_if(F.col("v") == i) for i in range(len(names))), *first).first()
-    out, at = [], len(names)
-    for i, n in enumerate(sizes):
-        q = [None] * len(QUARTILES)
-        if n:
-            ends = [(row[at + 2 * j], row[at + 2 * j + 1], (n - 1) * p) for j, p in enumerate(QUARTILES)]
-            q, at = [a + (h - math.floor(h)) * (b - a) if h > math.floor(h) else a for a, b, h in ends], at + 2 * len(QUARTILES)
-        out.append((q, row[i]))
-    return out
-
-
 def frequency(df: DataFrame, name: str) -> DataFrame:
     """value, count, percent and cumulative percent; most frequent first, then by value; missing is a value."""
     check_names(df, [name])
@@ -118,12 +93,7 @@ def correlate(df: DataFrame, names: list[str] | None = None, spearman: bool = Fa
         raise StatError("invalid_request", "A correlation needs two variables.", f"{len(names)} given.", "Name at least two numeric variables.")
     check_numeric(df, names)
     rows = complete_cases(df, names)
-    if spearman:
-        ranked = rows.select(*(F.col(f"`{name}`").cast("double").alias(f"x{i}") for i, name in enumerate(names)))
-        for i in range(len(names)):
-            ranked = with_rank(ranked, f"rank{i}", F.col(f"x{i}"))
-        rows = ranked.select(*(F.col(f"rank{i}").alias(name) for i, name in enumerate(names)))
-    m = moments(rows, names)
+    m = moments(ranked(rows, names), names, shift=np.zeros(len(names))) if spearman else moments(rows, names)
     if m.n < 2:
         raise too_few("A correlation", 2, m.n)
     out = []

@@ -15,6 +15,22 @@ def check_names(df: DataFrame, names: list[str]) -> None:
             raise unknown_variable(name, df.columns)
 
 
+def taken(df: DataFrame, name: str, but: str | None = None) -> bool:
+    """Whether a column has this name, in any case: columns that differ in case only couldn't be told apart."""
+    return name.lower() in {c.lower() for c in df.columns if c != but}
+
+
+def fresh(columns: list[str], *stems: str) -> list[str]:
+    """Names made of the stems that none of the columns has."""
+    known, out = {c.lower() for c in columns}, []
+    for stem in stems:
+        while stem.lower() in known:
+            stem += "_"
+        known.add(stem.lower())
+        out.append(stem)
+    return out
+
+
 def is_text(df: DataFrame, name: str) -> bool:
     return dict(df.dtypes)[name] == "string"
 
@@ -49,8 +65,9 @@ def complete_cases(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def generate(df: DataFrame, name: str, value: Column) -> DataFrame:
-    if name in df.columns:
-        raise StatError("invalid_request", f"'{name}' exists already.", "generate makes new variables.", "Use replace, or another name.")
+    """A new variable; names that differ in case only count as equal."""
+    if taken(df, name):
+        raise StatError("invalid_request", f"'{name}' exists already.", "generate makes new variables, and names that differ in case only can't be told apart.", "Use replace, or another name.")
     return df.withColumn(name, finite(value.cast("double")))
 
 
@@ -85,10 +102,11 @@ def keep_if(df: DataFrame, where: Column) -> DataFrame:
 
 
 def rename(df: DataFrame, old: str, new: str) -> DataFrame:
-    if new in df.columns:
-        raise StatError("invalid_request", f"'{new}' exists already.", "Names must differ.", "Choose another name.")
+    """A new name; it may be the old one in another case, but no other variable's in any case."""
+    if taken(df, new, but=old) or new == old:
+        raise StatError("invalid_request", f"'{new}' exists already.", "Names must differ, not only in case.", "Choose another name.")
     check_names(df, [old])
-    return df.withColumnRenamed(old, new)
+    return df.toDF(*(new if c == old else c for c in df.columns)) if new.lower() == old.lower() else df.withColumnRenamed(old, new)
 
 
 def label_variable(df: DataFrame, name: str, label: str) -> DataFrame:

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..errors import StatError, too_few
 from ..functions.dist import chi2_upper, f_upper, normal_p, t_p, t_quantile, Z95
-from ..functions.order import dense_index, with_lags
-from ..plans.moments import Moments, collinear, cross_sums, moments, qr_factor
-from .frame import check_names, check_numeric, has_value
+from ..functions.order import autocovariances
+from ..plans.blocks import summed
+from ..plans.moments import WIDE, Moments, collinear, cross_sums, moments, qr_factor
+from .frame import check_names, check_numeric, fresh, has_value
 
 CONSTANT = "_cons"
 TIDY = "term string, coef double, se double, stat double, p double, ci_low double, ci_high double"
@@ -36,6 +37,8 @@ class Fit:
     n: int
     figures: dict[str, float] = field(default_factory=dict)
     notes: list[str] = field(default_factory=list)
+    #: (check, value, verdict) of a regression's diagnostics, where they were asked for.
+    checks: list[tuple[str, float, str]] = field(default_factory=list)
 
     @property
     def se(self) -> np.ndarray:
@@ -102,6 +105,17 @@ class Design:
         z, a = self.z(), self.inverse
         return reduce(add, (float(a[i, j]) * z[i] * z[j] for i in range(len(z)) for j in range(len(z))))
 
+    # Diagnostics look at the rows scaled by the weights' roots: that is the regression that was solved.
+
+    def root(self) -> Column:
+        return F.sqrt(F.col(self.weight).cast("double")) if self.weight else F.lit(1.0)
+
+    def scaled_residual(self) -> Column:
+        return self.residual() * self.root() if self.weight else self.residual()
+
+    def scaled_leverage(self) -> Column:
+        return self.leverage() * F.col(self.weight).cast("double") if self.weight else self.leverage()
+
 
 def design(rows: DataFrame, y: str, x: list[str], constant: bool = True, weight: str | None = None) -> Design:
     """Moments in one pass, a small solve, and a check that every column adds something.
@@ -142,17 +156,32 @@ def design(rows: DataFrame, y: str, x: list[str], constant: bool = True, weight:
 
 
 def robust_meat(d: Design, kind: str) -> np.ndarray:
-    u = d.residual()
-    h = F.least(d.leverage(), F.lit(MAX_LEVERAGE))
+    """Of rows scaled by the weights' roots. With many columns, residuals and leverages are taken in blocks of numbers, too."""
+    if d.k > WIDE:
+        return _robust_blocks(d, kind)
+    u, w = d.residual(), F.col(d.weight).cast("double") if d.weight else F.lit(1.0)
+    h = F.least(d.scaled_leverage(), F.lit(MAX_LEVERAGE))
     weight = {"hc0": u * u, "hc1": u * u, "hc2": u * u / (1 - h), "hc3": u * u / ((1 - h) * (1 - h))}[kind]
-    if d.weight:  # of rows scaled by the weights' roots
-        w = F.col(d.weight).cast("double")
-        h = F.least(w * d.leverage(), F.lit(MAX_LEVERAGE))
-        weight = {"hc0": u * u, "hc1": u * u, "hc2": u * u / (1 - h), "hc3": u * u / ((1 - h) * (1 - h))}[kind] * w * w
-    n, meat = cross_sums(d.rows, d.z(), weight)
+    n, meat = cross_sums(d.rows, d.z(), weight * w * w if d.weight else weight)
     return meat * (n / (n - d.k) if kind == "hc1" else 1.0)
 
 
+def _robust_blocks(d: Design, kind: str) -> np.ndarray:
+    power, k, slopes = {"hc0": 0, "hc1": 0, "hc2": 1, "hc3": 2}[kind], len(d.x), d.beta[d.constant :]
+    means, mean, inverse, constant = (d.m.mean(d.x), d.m.mean([d.y])[0], d.inverse, d.constant) if d.constant else (np.zeros(k), 0.0, d.inverse, False)
+
+    def part(x: np.ndarray) -> np.ndarray:
+        centred = x[:, :k] - means
+        z, w = np.column_stack([np.ones(len(x)), centred]) if constant else centred, x[:, k + 1]
+        u = x[:, k] - mean - centred @ slopes
+        h = np.minimum(((z @ inverse) * z).sum(axis=1) * w, MAX_LEVERAGE)
+        return (z * (u * u * w * w / (1 - h) ** power)[:, None]).T @ z
+
+    w = F.col(d.weight) if d.weight else F.lit(1.0)
+    meat = summed(d.rows, [*(F.col(c) for c in d.x), F.col(d.y), w], part, (d.k, d.k))
+    return meat * (d.m.n / (d.m.n - d.k) if kind == "hc1" else 1.0)
+
+
 def cluster_meat(d: Design, cluster: str) -> tuple[np.ndarray, int]:
     """Scores are summed by cluster, partly before the shuffle; then their products over clusters."""
     if d.rows.where(~has_value(d.rows, cluster)).limit(1).count():
@@ -177,12 +206,12 @@ def newey_west(rows: DataFrame, scores: list[Column], n: int, lags: int, order:
     if lags < 0 or lags + 1 >= n:
         raise StatError("invalid_request", f"{lags} lags can't be used.", f"There are {n} rows.", "Use fewer lags.")
     names = [f"s{i}" for i in range(k)]
-    numbered = rows.select(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), *(x.alias(c) for x, c in zip(scores, names)))
-    rows = with_lags(dense_index(numbered, [f"o{i}" for i in range(len(order))]), "__index", names, lags) if lags else numbered
-    sums = [F.sum(F.col(a) * F.col(b)) for a in names for b in names]
-    sums += [F.sum(F.col(a) * F.col(f"{b}__{lag}")) for lag in range(1, lags + 1) for a in names for b in names]
-    flat = np.array([v or 0.0 for v in rows.agg(*sums).first()]).reshape(lags + 1, k, k)
-    meat = flat[0] + sum((1 - lag / (lags + 1)) * (flat[lag] + flat[lag].T) for lag in range(1, lags + 1))
+    keys = [f"o{i}" for i in range(len(order))]
+    rows = rows.select(*(F.col(c).alias(o) for o, c in zip(keys, order)), *(x.alias(c) for x, c in zip(scores, names)))
+    if not lags:
+        return cross_sums(rows, [F.col(c) for c in names])[1] * n / (n - k)
+    own, *lagged = autocovariances(rows, keys, names, lags).products
+    meat = own + sum((1 - lag / (lags + 1)) * (p + p.T) for lag, p in enumerate(lagged, 1))
     return meat * n / (n - k)
 
 
@@ -229,31 +258,40 @@ def fitted(df: DataFrame, y: str, x: list[str], vce: str = "classical", cluster:
 
 
 def vif(d: Design) -> dict[str, float]:
-    """From the inverse of the regressors' correlation matrix."""
-    s = d.m.block(d.x, d.x)
-    inv = np.linalg.inv(s / np.sqrt(np.outer(np.diag(s), np.diag(s))))
-    return dict(zip(d.x, (float(min(v, 1e12)) for v in np.diag(inv))))
+    """Of regressions of each regressor on the others and a constant (whether the model has one or not), weighted like it; constant regressors have none."""
+    m = d.m if d.constant else moments(d.rows, d.x, d.weight)
+    s = m.block(d.x, d.x)
+    some = np.flatnonzero(np.diag(s) > 1e-12 * (np.diag(s) + m.weight * m.mean(d.x) ** 2))
+    s = s[np.ix_(some, some)]
+    inv = np.linalg.pinv(s / np.sqrt(np.outer(np.diag(s), np.diag(s))), hermitian=True)
+    return dict(zip((d.x[i] for i in some), (float(min(v, 1e12)) for v in np.diag(inv))))
 
 
 def breusch_pagan(d: Design) -> tuple[float, int, float]:
-    """Koenker's LM = n R2 of the squared residuals on the regressors; df and p."""
-    rows = d.rows.withColumn("__u2", d.residual() * d.residual())
-    aux = design(rows, "__u2", d.x)
-    total = aux.m.block(["__u2"], ["__u2"])[0, 0]
-    lm = d.m.n * max(0.0, 1 - aux.rss / total) if total > 0 else 0.0
-    return lm, len(d.x), chi2_upper(lm, len(d.x))
+    """Koenker's LM = n R2 (about the mean) of the squared scaled residuals on the regressors, with a constant if the model has one; df and p."""
+    (u2,) = fresh(d.rows.columns, "u2")
+    rows = d.rows.withColumn(u2, d.scaled_residual() * d.scaled_residual())
+    aux = design(rows, u2, d.x, d.constant)
+    total = aux.m.block([u2], [u2])[0, 0] if d.constant else float(rows.agg(F.var_pop(u2)).first()[0] or 0.0) * d.m.n
+    lm = d.m.n * (1 - aux.rss / total) if total > 0 else 0.0
+    lm = max(0.0, lm) if d.constant else lm
+    return lm, len(d.x), chi2_upper(max(lm, 0.0), len(d.x))
 
 
 def reset(d: Design) -> tuple[float, int, int, float]:
-    """Ramsey's F for squares and cubes of the fitted values, which are centred and scaled first."""
-    spread = math.sqrt(max(d.m.block([d.y], [d.y])[0, 0], 1e-300) / d.m.n)
-    fit = (F.col(d.y).cast("double") - d.residual() - float(d.m.mean([d.y])[0])) / spread
-    rows = d.rows.withColumn("__fit2", fit * fit).withColumn("__fit3", fit * fit * fit)
+    """Ramsey's F for squares and cubes of the fitted values in the model as it is, with its weights and with or without a constant.
+
+    Fitted values are scaled, and centred where there is a constant: that spans the same space.
+    """
+    spread = math.sqrt(max(d.m.block([d.y], [d.y])[0, 0], 1e-300) / d.m.weight)
+    fit = (F.col(d.y).cast("double") - d.residual() - (float(d.m.mean([d.y])[0]) if d.constant else 0.0)) / spread
+    squares, cubes = fresh(d.rows.columns, "fit2", "fit3")
+    rows = d.rows.withColumn(squares, fit * fit).withColumn(cubes, fit * fit * fit)
     df2 = d.m.n - d.k - 2
     if df2 <= 0:
         raise too_few("RESET", d.k + 3, d.m.n)
     try:
-        aux = design(rows, d.y, [*d.x, "__fit2", "__fit3"])
+        aux = design(rows, d.y, [*d.x, squares, cubes], d.constant, d.weight)
     except StatError:
         return math.nan, 2, df2, math.nan
     f = max(0.0, d.rss - aux.rss) / 2 / (aux.rss / df2) if aux.rss > 0 else math.inf
@@ -261,41 +299,59 @@ def reset(d: Design) -> tuple[float, int, int, float]:
 
 
 def durbin_watson(d: Design, order: list[str]) -> float:
-    rows = d.rows.select(*order, d.residual().alias("u"))
-    lagged = with_lags(dense_index(rows, order), "__index", ["u"], 1)
-    top, low = lagged.agg(F.sum(F.pow(F.col("u") - F.col("u__1"), 2)), F.sum(F.col("u") * F.col("u"))).first()
-    return top / low if low else math.nan
+    """Squared first differences from products of residuals with themselves and their neighbours, and the two at the ends."""
+    keys = [f"o{i}" for i in range(len(order))]
+    got = autocovariances(d.rows.select(*(F.col(c).alias(o) for o, c in zip(keys, order)), d.residual().alias("u")), keys, ["u"], 1)
+    own, lagged = got.products[:, 0, 0]
+    return float(2 * own - got.first[0] ** 2 - got.last[0] ** 2 - 2 * lagged) / own if own else math.nan
 
 
 def cooks_distance(d: Design) -> Column:
-    h, u = F.least(d.leverage(), F.lit(MAX_LEVERAGE)), d.residual()
+    h, u = F.least(d.scaled_leverage(), F.lit(MAX_LEVERAGE)), d.scaled_residual()
     return u * u * h / (d.k * (d.rss / (d.m.n - d.k)) * (1 - h) * (1 - h))
 
 
 def standardized_residual(d: Design) -> Column:
-    return d.residual() / F.sqrt((d.rss / (d.m.n - d.k)) * (1 - F.least(d.leverage(), F.lit(MAX_LEVERAGE))))
+    return d.scaled_residual() / F.sqrt((d.rss / (d.m.n - d.k)) * (1 - F.least(d.scaled_leverage(), F.lit(MAX_LEVERAGE))))
 
 
 def influential(d: Design) -> int:
-    return d.rows.agg(F.sum((cooks_distance(d) > 4 / d.m.n).cast("long"))).first()[0] or 0
+    """Rows whose distance is above 4 / n."""
+    if d.k <= WIDE:
+        return d.rows.agg(F.sum((cooks_distance(d) > 4 / d.m.n).cast("long"))).first()[0] or 0
+    k, slopes, s2, means, n = len(d.x), d.beta[d.constant :], d.rss / (d.m.n - d.k), d.m.mean(d.x) if d.constant else np.zeros(len(d.x)), d.m.n
+    mean, inverse, constant, every = d.m.mean([d.y])[0] if d.constant else 0.0, d.inverse, d.constant, d.k
+
+    def part(x: np.ndarray) -> np.ndarray:
+        centred = x[:, :k] - means
+        z, w = np.column_stack([np.ones(len(x)), centred]) if constant else centred, x[:, k + 1]
+        u2 = (x[:, k] - mean - centred @ slopes) ** 2 * w
+        h = np.minimum(((z @ inverse) * z).sum(axis=1) * w, MAX_LEVERAGE)
+        return np.array([(u2 * h / (every * s2 * (1 - h) ** 2) > 4 / n).sum()], float)
+
+    w = F.col(d.weight) if d.weight else F.lit(1.0)
+    return int(summed(d.rows, [*(F.col(c) for c in d.x), F.col(d.y), w], part, (1,))[0])
 
 
 def condition_number(d: Design) -> float:
-    """Of the regressors as they are, without the constant."""
-    cross = d.m.block(d.x, d.x) + d.m.n * np.outer(d.m.mean(d.x), d.m.mean(d.x)) * d.constant
+    """Of the regressors as they are (scaled by the weights' roots), without the constant."""
+    cross = d.m.block(d.x, d.x) + d.m.weight * np.outer(d.m.mean(d.x), d.m.mean(d.x)) * d.constant
     values = np.linalg.eigvalsh(cross)
     return math.sqrt(values[-1] / values[0]) if values[0] > 0 else math.inf
 
 
 def diagnostics(d: Design) -> list[tuple[str, float, str]]:
-    """(check, value, verdict) of a regression."""
-    cond, worst = condition_number(d), max(vif(d).values())
+    """(check, value, verdict) of a regression, with or without weights and a constant."""
+    cond, worst = condition_number(d), max(vif(d).values(), default=math.nan)
     lm, _, bp = breusch_pagan(d)
     f, _, _, p = reset(d)
     share = influential(d) / d.m.n
     figures = [
+        ("sample_size", d.m.n, "ok"),
+        ("parameters", d.k, "ok"),
+        ("residual_df", d.m.n - d.k, "ok"),
         ("condition_number", cond, "ok" if cond < 1e7 else "warning" if cond < 1e10 else "attention"),
-        ("max_vif", worst, "ok" if worst < 5 else "warning" if worst < 10 else "attention"),
+        ("max_vif", worst, "ok" if not worst >= 5 else "warning" if worst < 10 else "attention"),
         ("breusch_pagan_p", bp, "attention" if bp < 0.05 else "ok"),
         ("reset_p", p, "warning" if p < 0.05 else "ok"),
         ("influential_share", share, "warning" if share > 0.05 else "ok"),

@@ -3,28 +3,42 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 from operator import add
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import StatError, too_few
+from ..functions.order import equal_neighbours
 from ..plans.moments import collinear, cross_sums, moments, within_moments
+from ..plans.staging import stage
 from .frame import check_names, check_numeric, complete_cases, has_value
 from .linear import CONSTANT, Fit, MAX_LEVERAGE, fitted, newey_west, regress
 
 
+#: Rows of a range of entities, and of the batches that it gives back.
+RANGE_ROWS, BATCH_ROWS = 2_000_000, 100_000
+#: Errors of the within estimator.
+FE_ERRORS = ("classical", "robust", "hc0", "hc1", "hc2", "hc3", "cluster")
+
+
 def fixed_effects(df: DataFrame, y: str, x: list[str], entity: str, vce: str = "classical", cluster: str | None = None) -> Fit:
     """Within estimator; entities seen once drop out. Degrees of freedom n - g - k.
 
     Moments come from sums by entity, without joining means back; only robust
-    and clustered errors need the demeaned rows. Clusters go by their values.
+    and clustered errors need the demeaned rows, which one range deal by entity
+    gives. Clusters go by their values.
     Their small-sample factors use n/(n-k) and (n-1)/(n-k).
     """
     check_numeric(df, [y, *x])
-    check_names(df, [entity])
+    check_names(df, [entity, *([cluster] if cluster else [])])
+    if vce not in FE_ERRORS:
+        raise StatError("invalid_request", f"'{vce}' isn't available here.", f"Fixed effects have {', '.join(FE_ERRORS)} errors.", "Choose one of them.")
     names = [*x, y]
     rows = complete_cases(df, [entity, *names, *([cluster] if cluster else [])])
     got = within_moments(rows, names, entity)
@@ -43,12 +57,11 @@ def fixed_effects(df: DataFrame, y: str, x: list[str], entity: str, vce: str = "
     if vce == "classical":
         v = inv * rss / df_t
     else:
-        means = rows.groupBy(entity).agg(F.count("*").alias("__n"), *(F.avg(F.col(c).cast("double")).alias(f"__m{i}") for i, c in enumerate(names)))
-        demeaned = rows.join(means.where("__n >= 2"), entity)
-        z = [F.col(c).cast("double") - F.col(f"__m{i}") for i, c in enumerate(names)]
+        centred = demeaned(rows, names, entity, cluster or entity, n)
+        z = [F.col(f"x{i}") for i in range(len(names))]
         u = z[-1] - reduce(add, (float(b) * c for b, c in zip(beta, z)))
         if vce == "cluster":
-            sums = demeaned.groupBy(cluster or entity).agg(*(F.sum(u * c).alias(f"s{i}") for i, c in enumerate(z[:-1])))
+            sums = centred.groupBy("cluster").agg(*(F.sum(u * c).alias(f"s{i}") for i, c in enumerate(z[:-1])))
             clusters, meat = cross_sums(sums, [F.col(f"s{i}") for i in range(k)])
             if clusters < 2:
                 raise too_few("Clustered errors", 2, clusters)
@@ -56,12 +69,49 @@ def fixed_effects(df: DataFrame, y: str, x: list[str], entity: str, vce: str = "
         else:
             h = F.least(reduce(add, (float(inv[i, j]) * z[i] * z[j] for i in range(k) for j in range(k))), F.lit(MAX_LEVERAGE))
             by = {"robust": u * u, "hc1": u * u, "hc0": u * u, "hc2": u * u / (1 - h), "hc3": u * u / ((1 - h) * (1 - h))}
-            meat = cross_sums(demeaned, z[:-1], by[vce])[1] * (n / (n - k) if vce in ("robust", "hc1") else 1.0)
+            meat = cross_sums(centred, z[:-1], by[vce])[1] * (n / (n - k) if vce in ("robust", "hc1") else 1.0)
         v = inv @ meat @ inv
     figures |= {"groups": g, "r2_within": 1 - rss / syy if syy > 0 else math.nan, "sigma": math.sqrt(rss / df_t), "df": df_t}
     return Fit("fe", y, list(x), beta, v, df_t, n, figures)
 
 
+def demeaned(df: DataFrame, names: list[str], entity: str, cluster: str, n: int) -> DataFrame:
+    """x0, x1, ... (the columns minus their entities' means) and cluster, of entities with two rows or more.
+
+    Rows are dealt by ranges of entities and rows, so an entity with very many
+    rows spans several ranges. A range knows the means of the entities that lie
+    in it whole; of the first and last one of each range, the sums over all
+    ranges are sent round.
+    """
+    k, spark = len(names), df.sparkSession
+    rows = df.select(F.col(entity).alias("entity"), F.col(cluster).alias("cluster"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE_ROWS))
+    dealt = rows.repartitionByRange(parts, F.col("entity"), F.xxhash64(*rows.columns)).sortWithinPartitions("entity")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        x = np.column_stack([table.column(2 + i).to_numpy() for i in range(k)])
+        begins = np.append(0, np.flatnonzero(~equal_neighbours([table.column(0).chunk(0)])) + 1)
+        size = np.diff(np.append(begins, len(x)))
+        means = np.add.reduceat(x, begins, axis=0) / size[:, None]
+        edge = np.zeros(len(begins), bool)
+        edge[[0, -1]] = True
+        group = np.repeat(np.arange(len(begins)), size)
+        x = np.where(edge[group][:, None], x, x - means[group])  # of the others, all rows are here
+        keep = edge[group] | (size[group] > 1)
+        out = [table.column(0).chunk(0), table.column(1).chunk(0), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(k)), pa.array(edge[group])]
+        yield from pa.Table.from_arrays([c.filter(pa.array(keep)) for c in out], [*table.column_names, "edge"]).to_batches(BATCH_ROWS)
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("edge", T.BooleanType())])
+    staged = stage(dealt.mapInArrow(run, schema), "entities")
+    edges = staged.where("edge").groupBy("entity").agg(F.count("*").alias("n"), *(F.avg(f"x{i}").alias(f"m{i}") for i in range(k)))  # two for each range at most
+    joined = staged.join(F.broadcast(edges), "entity", "left").where("not edge or n > 1")
+    return joined.select("cluster", *(F.when(F.col("edge"), F.col(f"x{i}") - F.col(f"m{i}")).otherwise(F.col(f"x{i}")).alias(f"x{i}") for i in range(k)))
+
+
 def between(df: DataFrame, y: str, x: list[str], entity: str, vce: str = "classical") -> Fit:
     """Least squares of the entities' means; the constant isn't reported."""
     check_numeric(df, [y, *x])
@@ -92,12 +142,14 @@ def did(df: DataFrame, y: str, treat: str, post: str, controls: list[str] | None
     if len(cells) < 4:
         raise StatError("not_identified", "The effect isn't identified.", "One of the four cells of group and period is empty.", "Check both variables.")
     t, p = F.col(treat).cast("double"), F.col(post).cast("double")
-    named = rows.select(value.alias("y"), t.alias("treat"), p.alias("post"), (t * p).alias("treat#post"), *controls, *([F.col(cluster).alias("__cluster")] if cluster else []))
-    named = named.withColumnRenamed("treat#post", "__both")
-    fit, _ = fitted(named, "y", ["treat", "post", "__both", *controls], vce, "__cluster" if cluster else None)
-    terms = ["treat#post" if t == "__both" else t for t in fit.terms]
+    own = {"treat": t, "post": p, "treat#post": t * p}
+    names = {f"x{i}": term for i, term in enumerate([*own, *controls])}  # a control may have any name
+    columns = [*own.values(), *(F.col(c).cast("double") for c in controls)]
+    named = rows.select(value.alias("outcome"), *(c.alias(x) for x, c in zip(names, columns)), *([F.col(cluster).alias("cluster")] if cluster else []))
+    fit, _ = fitted(named, "outcome", list(names), vce, "cluster" if cluster else None)
+    terms = [names.get(t, t) for t in fit.terms]
     figures = {f"mean_{int(a)}{int(b)}": m for (a, b), (m, _) in cells.items()} | {f"n_{int(a)}{int(b)}": n for (a, b), (_, n) in cells.items()}
-    return Fit("did", y, terms, fit.coef, fit.vcov, fit.df, fit.n, {"att": float(fit.coef[3]), "r2": fit.figures["r2"], "df": fit.df} | figures)
+    return Fit("did", y, terms, fit.coef, fit.vcov, fit.df, fit.n, {"att": float(fit.coef[terms.index("treat#post")]), "r2": fit.figures["r2"], "df": fit.df} | figures)
 
 
 def ivregress(df: DataFrame, y: str, endogenous: list[str], instruments: list[str], exogenous: list[str] | None = None, vce: str = "classical", lags: int = 0, order: list[str] | None = None) -> Fit:

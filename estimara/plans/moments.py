@@ -8,6 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import first_means, gram
+
+#: Columns beyond which products are sums of matrix blocks: as expressions they grow with the square.
+WIDE = 16
 #: Rows from which sums are shifted; any point near the data does, none changes the result.
 SHIFT_ROWS = 1000
 #: A column is collinear if this part of its variance is left after those before it.
@@ -36,6 +40,8 @@ class Moments:
 
 def shift_of(df: DataFrame, names: list[str]) -> np.ndarray:
     """Means of a few rows: a first guess of where the data lie."""
+    if len(names) > WIDE:
+        return first_means(df, [F.col(x) for x in names], SHIFT_ROWS)
     row = df.select(*names).limit(SHIFT_ROWS).agg(*(F.avg(F.col(x).cast("double")).alias(x) for x in names)).first()
     return np.array([v if v is not None else 0.0 for v in row])
 
@@ -51,9 +57,18 @@ def symmetric(values: list[float | None], k: int) -> np.ndarray:
     return out
 
 
-def moments(df: DataFrame, names: list[str], weight: str | None = None) -> Moments:
-    """One aggregation over ``df`` (which must have no nulls in these columns)."""
-    k, shift = len(names), shift_of(df, names)
+def moments(df: DataFrame, names: list[str], weight: str | None = None, shift: np.ndarray | None = None) -> Moments:
+    """One aggregation over ``df`` (which must have no nulls in these columns); of many columns, one pass of matrix blocks.
+
+    shift: a guess of the means; without one, those of a few rows.
+    """
+    k = len(names)
+    shift = shift_of(df, names) if shift is None else shift
+    if k > WIDE:
+        n, size, sums, cross = gram(df, [F.col(c) for c in names], shift, F.col(weight) if weight else None)
+        if not n:
+            return Moments(names, 0, 0.0, np.full(k, np.nan), np.full((k, k), np.nan))
+        return Moments(names, n, size, sums / size + shift, cross - np.outer(sums, sums) / size)
     x = [F.col(c).cast("double") - float(s) for c, s in zip(names, shift)]
     w = F.col(weight).cast("double") if weight else None
     by = (lambda c: c * w) if weight else (lambda c: c)
@@ -76,8 +91,19 @@ class GroupedMoments:
 
 
 def within_moments(df: DataFrame, names: list[str], group: str) -> GroupedMoments:
-    """Sums by group, then over groups: rows are combined before the shuffle and nothing is joined back."""
+    """Sums by group, then over groups: rows are combined before the shuffle and nothing is joined back.
+
+    Of many columns, the products within are those of all rows minus those of the groups' sums.
+    """
     k, shift = len(names), shift_of(df, names)
+    if k > WIDE:
+        x = [F.col(c).cast("double") for c in names]
+        sums = df.groupBy(group).agg(F.count("*").alias("n"), *(F.sum(c - float(v)).alias(f"s{i}") for i, (c, v) in enumerate(zip(x, shift))))
+        _, _, _, whole = gram(df, x, shift)
+        _, _, _, apart = gram(sums, [F.col(f"s{i}") / F.sqrt("n") for i in range(k)], np.zeros(k))
+        large = sums.where("n >= 2")
+        groups, n, total, _ = gram(large, [*(F.col(f"s{i}") / F.col("n") for i in range(k))], np.zeros(k), F.col("n"))
+        return GroupedMoments(int(n), groups, Moments(names, int(n), n, total / max(n, 1.0) + shift, whole - apart))
     x = [F.col(c).cast("double") - float(s) for c, s in zip(names, shift)]
     sums = df.groupBy(group).agg(F.count("*").alias("n"), *(F.sum(c).alias(f"s{i}") for i, c in enumerate(x)), *(F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i, j in pairs(k)))
     row = sums.where("n >= 2").agg(F.sum("n"), F.count("*"), *(F.sum(F.col(f"p{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n")) for i, j in pairs(k)), *(F.sum(f"s{i}") for i in range(k))).first()
@@ -89,6 +115,9 @@ def within_moments(df: DataFrame, names: list[str], group: str) -> GroupedMoment
 def cross_sums(df: DataFrame, columns: list[Column], weight: Column | None = None) -> tuple[int, np.ndarray]:
     """Count, and sums of weight times products of columns: the middle of a sandwich."""
     k = len(columns)
+    if k > WIDE:
+        n, _, _, cross = gram(df, columns, np.zeros(k), weight)
+        return n, cross
     by = (lambda c: c * weight) if weight is not None else (lambda c: c)
     row = df.agg(F.count("*"), *(F.sum(by(columns[i] * columns[j])) for i, j in pairs(k))).first()
     return row[0], symmetric(list(row[1:]), k)
