@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import StatError
+from .records import records
 
 # Cells that mean missing, in lower case and without blanks at the ends.
 MISSING = ("", "na", "n/a", "nan", ".", "null", "none")
@@ -57,9 +58,10 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) ->
 
     The first line gives names. Extra fields of a row are dropped, lacking ones
     are missing. A column is text if one of its cells is neither a number nor
-    missing; its cells stay as they are then. Files with line breaks inside
-    quotes are read by a task each, all others in splits; multi_line: None finds
-    out by lines whose quotes don't pair up.
+    missing; its cells stay as they are then. Files are read in splits, those
+    with line breaks inside quotes, too: their records are found first.
+    multi_line: True has each file read by one task, as files whose lines end in
+    carriage returns alone are.
     """
     if not path.lower().endswith(".csv"):
         raise StatError("io", f"'{path}' isn't a CSV file.", "Tables are read from .csv (or by read_parquet).", "Convert the file first.")
@@ -68,12 +70,17 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) ->
         raise StatError("invalid_request", "The file is empty.", "A header line is needed.", "Check the file.")
     head = first[0].lstrip("\ufeff").rstrip("\r")
     sep = guess_delimiter(head)
+    found = records(spark, path, sep) if multi_line is None else None
     if multi_line is None:
-        multi_line = spark.read.text(path).where((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1).limit(1).count() > 0
+        multi_line = found is None and spark.read.text(path).where((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1).limit(1).count() > 0
     options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": str(multi_line).lower(), "mode": "PERMISSIVE"}
-    header = spark.read.options(**options).csv(path).first()
+    header = spark.read.options(**options | {"multiLine": "true"} if found is not None else options).csv(path).first()
     names, issues = clean_names([(x or "").lstrip("\ufeff") for x in header])
-    raw = spark.read.options(**options, header="true", enforceSchema="true", columnNameOfCorruptRecord="__bad").schema(", ".join(f"`{n}` string" for n in names) + ", __bad string").csv(path)
+    schema = ", ".join(f"`{n}` string" for n in names) + ", __bad string"
+    if found is not None:
+        raw = found.select(F.from_csv("text", schema, options | {"columnNameOfCorruptRecord": "__bad"}).alias("r")).select("r.*")
+    else:
+        raw = spark.read.options(**options, header="true", enforceSchema="true", columnNameOfCorruptRecord="__bad").schema(schema).csv(path)
     cell = {n: F.lower(F.trim(F.col(n))) for n in names}
     missing = {n: F.col(n).isNull() | cell[n].isin(*MISSING) for n in names}
     numeric = {n: cell[n].rlike(NUMBER) for n in names}
