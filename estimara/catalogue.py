@@ -669,17 +669,15 @@ def scatter_data(spark, d):
 
 @query("select * from (values (1, 'regress', true), (2, 'xtreg', true), (3, 'summarize', true), (4, 'ttest_by', true), (5, 'glm', true)) t(step, command, reproduced)")
 def replay_ok(spark, d):
-    """Analyses of lineitem are recorded and run again on the project's own copy."""
-    import tempfile
-
-    from .plans.staging import stage
+    """Analyses of lineitem are recorded and run again on the project's own copy; the project is in the shared folder."""
+    from .plans.staging import folder, stage
     from .session import Project
 
     data = stage(table(spark, d, "lineitem").withColumn("large", (F.col("l_quantity") > 25).cast("double")), "replay")
     session = Session(spark, data)
-    session.project = Project.create(f"{tempfile.mkdtemp()}/project", "lines", data.inputFiles()[0].rsplit("/", 1)[0] + "-project")
+    session.project = Project.create(folder(spark, "project"), "lines")
     session.project.add_dataset(data, "lineitem")
-    session.regress("l_extendedprice", ["l_quantity"], vce="cluster", cluster="l_suppkey")
+    session.regress("l_extendedprice", ["l_quantity"], vce="cluster", cluster="l_suppkey", diagnostics=False)
     session.xtreg("l_extendedprice", ["l_quantity"], "l_suppkey", model="fe")
     session.summarize(["l_quantity", "l_tax"])
     session.ttest_by("l_tax", "l_linestatus")
@@ -687,6 +685,35 @@ def replay_ok(spark, d):
     return session.project.replay(spark).select("step", "command", "reproduced")
 
 
+@query(f"""with d as (select l_extendedprice, ln(l_quantity) as lq from lineitem where l_discount >= 0.03), m as (select count(*)::double n, avg(l_extendedprice) my, avg(lq) mx, regr_slope(l_extendedprice, lq) b from d)
+    select '_cons' as term, {s('my - b * mx')} as coef, n::bigint as n from m union all select 'lq', {s('b')}, n::bigint from m""")
+def replay_changes(spark, d):
+    """generate, keep if, rename and regress are replayed from the raw dataset; the coefficients are those of the replayed session's record."""
+    from .plans.staging import folder
+    from .session import Project
+
+    data = table(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount")
+    session = Session(spark, data)
+    session.project = Project.create(folder(spark, "project"), "changes")
+    session.project.add_dataset(data, "raw")
+    session.generate("log_quantity", expr.ln("l_quantity"))
+    session.keep_if(expr.condition("l_discount", ">=", 0.03))
+    session.rename("log_quantity", "lq")
+    session.regress("l_extendedprice", ["lq"], diagnostics=False)
+    ran = session.project.replay(spark).where("reproduced").count() == 4
+    fit = [r["result"] for r in session.project.records() if r.get("command") == "regress"][0]
+    rows = [(t, float(c), int(fit["n"])) for t, c in zip(fit["terms"], fit["coef"])] if ran else []
+    return rounded(spark.createDataFrame(rows, "term string, coef double, n long"))
+
+
+@query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 40 offset 700")
+def preview_page(spark, d):
+    """A page in the middle of a sorted table, by its index."""
+    session = Session(spark, table(spark, d, "orders").select("o_orderkey", "o_totalprice"))
+    session.sort("o_totalprice", descending=True, ties=["o_orderkey"])
+    return session.preview(700, 40)
+
+
 @query(f"select 'n' as name, {s('count(*)')} as value from lineitem" + "".join(f" union all select '{k}', {s(v)} from lineitem" for k, v in {"mean": "avg(l_tax)", "mean_2": "avg(l_quantity)", "squares": "var_pop(l_tax) * count(*)", "products": "round(covar_pop(l_tax, l_quantity) * count(*), 3)", "squares_2": "var_pop(l_quantity) * count(*)"}.items()))
 def moments_one_pass(spark, d):
     m = moments(table(spark, d, "lineitem"), ["l_tax", "l_quantity"])

@@ -114,11 +114,16 @@ def label_variable(df: DataFrame, name: str, label: str) -> DataFrame:
     return df.withMetadata(name, dict(df.schema[name].metadata) | {"label": label})
 
 
+def sort_keys(df: DataFrame, keys: list[tuple[str, bool]]) -> list[Column]:
+    """(name, descending) as orders in which missing values come last either way."""
+    check_names(df, [n for n, _ in keys])
+    values = [(F.col(f"`{n}`") if is_text(df, n) else F.when(has_value(df, n), F.col(f"`{n}`")), down) for n, down in keys]
+    return [c.desc_nulls_last() if down else c.asc_nulls_last() for c, down in values]
+
+
 def sort(df: DataFrame, name: str, descending: bool = False, ties: list[str] | None = None) -> DataFrame:
     """Missing values come last either way; ``ties`` orders rows with equal values."""
-    check_names(df, [name])
-    c = F.when(has_value(df, name), F.col(name)) if not is_text(df, name) else F.col(name)
-    return df.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), *(ties or []))
+    return df.orderBy(*sort_keys(df, [(name, descending)]), *(ties or []))
 
 
 def describe(df: DataFrame, names: list[str] | None = None) -> DataFrame:

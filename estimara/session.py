@@ -6,22 +6,27 @@ JSON, so there is no command language to parse.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
-import os
 import platform
 import re
+import uuid
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .errors import StatError, unknown_variable
 from .operators import describe, frame, glm, hypothesis, linear, panel
 from .operators.linear import Fit
 from .plans.staging import stage
 from .sources import csvio
+from .sources.paged import PagedTable
+from .sources.store import Store
 
 #: Changes of the table after which its plan is cut.
 MUTATIONS = 30
@@ -121,14 +126,17 @@ class Session:
     remarks: list[str] = field(default_factory=list)
     project: Project | None = None
     _changes: int = 0
+    _order: list[tuple[str, bool]] = field(default_factory=list)
+    _paged: tuple[DataFrame, PagedTable] | None = None
     _filled: DataFrame | None = None
 
     # Data
 
     def use(self, path: str) -> csvio.ImportReport | None:
         if path.lower().rstrip("/").endswith(".parquet"):
-            self.data = csvio.read_parquet(self.spark, path)
+            self.data, self._order = csvio.read_parquet(self.spark, path), []
             return None
+        self._order = []
         self.data, report = csvio.read_csv(self.spark, path)
         return report
 
@@ -147,41 +155,60 @@ class Session:
             self._filled = self.table
         return self.table
 
-    def _set(self, df: DataFrame) -> None:
+    def _set(self, df: DataFrame, change: str = "", **arguments: Any) -> None:
+        if self.project and change:
+            self.project.append_change(change, arguments)
         self._changes += 1
         if self._changes >= MUTATIONS:
             df, self._changes = stage(df, "session"), 0
         self.data = df
 
-    def generate(self, name: str, value: Column) -> None:
-        self._set(frame.generate(self.table, name, value))
+    # Changes of the table. With a project, each is recorded, and replayed; expressions as SQL text that has been read back.
 
-    def replace(self, name: str, value: Column, where: Column | None = None) -> None:
-        self._set(frame.replace(self.table, name, value, where))
+    def _told(self, value: Column | str | None) -> str | None:
+        """The expression as text: only where a project keeps it."""
+        return expression_text(self.table, value) if self.project and value is not None else None
+
+    def generate(self, name: str, value: Column | str) -> None:
+        self._set(frame.generate(self.table, name, column(value)), "generate", name=name, value=self._told(value))
+
+    def replace(self, name: str, value: Column | str, where: Column | str | None = None) -> None:
+        self._set(frame.replace(self.table, name, column(value), column(where)), "replace", name=name, value=self._told(value), where=self._told(where))
 
     def drop_vars(self, *names: str) -> None:
-        self._set(frame.drop_vars(self.table, list(names)))
+        self._set(frame.drop_vars(self.table, list(names)), "drop_vars", names=list(names))
 
     def keep_vars(self, *names: str) -> None:
-        self._set(frame.keep_vars(self.table, list(names)))
+        self._set(frame.keep_vars(self.table, list(names)), "keep_vars", names=list(names))
 
-    def drop_if(self, where: Column) -> None:
-        self._set(frame.drop_if(self.table, where))
+    def drop_if(self, where: Column | str) -> None:
+        self._set(frame.drop_if(self.table, column(where)), "drop_if", where=self._told(where))
 
-    def keep_if(self, where: Column) -> None:
-        self._set(frame.keep_if(self.table, where))
+    def keep_if(self, where: Column | str) -> None:
+        self._set(frame.keep_if(self.table, column(where)), "keep_if", where=self._told(where))
 
     def rename(self, old: str, new: str) -> None:
-        self._set(frame.rename(self.table, old, new))
+        self._set(frame.rename(self.table, old, new), "rename", old=old, new=new)
+        self._order = [(new if n == old else n, d) for n, d in self._order]
 
     def label_variable(self, name: str, label: str) -> None:
-        self._set(frame.label_variable(self.table, name, label))
+        self._set(frame.label_variable(self.table, name, label), "label_variable", name=name, label=label)
 
     def sort(self, name: str, descending: bool = False, ties: list[str] | None = None) -> None:
-        self._set(frame.sort(self.table, name, descending, ties))
+        """Rows with equal values stay in the order that they have by earlier sorts."""
+        keys = [(name, descending), *((t, False) for t in ties or [])]
+        keys += [k for k in self._order if k[0] not in {n for n, _ in keys}]
+        self._set(self.table.orderBy(*frame.sort_keys(self.table, keys)), "sort", name=name, descending=descending, ties=ties)
+        self._order = keys
 
     def preview(self, offset: int = 0, limit: int = 50) -> DataFrame:
-        return self.df.offset(offset).limit(limit)
+        """Rows in the order of the sorts so far. Pages after the first come from a paged copy of the table, made once for each state of it."""
+        df, keys = self.df, [k for k in self._order if k[0] in self.table.columns]
+        if not offset:
+            return (df.orderBy(*frame.sort_keys(df, keys)) if keys else df).limit(limit)
+        if self._paged is None or self._paged[0] is not df:
+            self._paged = (df, PagedTable.of(df, frame.sort_keys(df, keys) if keys else None))
+        return self._paged[1].page(offset, limit)
 
     def profile(self, name: str) -> DataFrame:
         """A summary of a number, frequencies of a text."""
@@ -238,8 +265,15 @@ class Session:
             self.project.append(text, result_of(fit))
         return fit
 
-    def regress(self, y: str, x: list[str], label: str | None = None, **options) -> Fit:
-        return self._store("regress", {"y": y, "x": x, **options}, linear.regress(self.df, y, x, **options), label)
+    def regress(self, y: str, x: list[str], label: str | None = None, diagnostics: bool = True, **options) -> Fit:
+        """The fit; its ``checks`` are the diagnostics, which take three more passes and may be left out."""
+        fit, design = linear.fitted(self.df, y, x, **options)
+        if diagnostics:
+            fit.checks = linear.diagnostics(design)
+        return self._store("regress", {"y": y, "x": x, **options}, fit, label)
+
+    def diagnostics(self, fit: Fit) -> DataFrame:
+        return self.spark.createDataFrame(fit.checks, "check_name string, value double, verdict string")
 
     def xtreg(self, y: str, x: list[str], entity: str, model: str = "pooled", label: str | None = None, **options) -> Fit:
         models = {"fe": panel.fixed_effects, "be": panel.between, "pooled": panel.pooled}
@@ -300,6 +334,24 @@ class Session:
         return f"{command}: {HELP[command]}"
 
 
+def column(value: Column | str | None) -> Column | None:
+    return F.expr(value) if isinstance(value, str) else value
+
+
+def expression_text(df: DataFrame, value: Column | str) -> str:
+    """SQL text that gives the same plan as the expression does; what has none can't be recorded."""
+    own = df.select(column(value).alias("value"))
+    text = own._jdf.queryExecution().analyzed().expressions().head().child().sql()
+    try:
+        again = df.select(F.expr(text).alias("value"))
+        same = own._jdf.queryExecution().optimizedPlan().canonicalized().equals(again._jdf.queryExecution().optimizedPlan().canonicalized())
+    except AnalysisException:
+        same = False
+    if not same:
+        raise StatError("invalid_request", "The expression can't be recorded.", f"Its text, {text}, doesn't read back as the same expression.", "Use functions of Spark SQL, or give the expression as text.")
+    return text
+
+
 def command_text(command: str, arguments: dict[str, Any]) -> str:
     given = {k: v for k, v in arguments.items() if v is not None and v != []}
     return json.dumps({"command": command, "arguments": given}, ensure_ascii=False, sort_keys=True)
@@ -320,75 +372,113 @@ def environment() -> dict[str, str]:
     return {"python": platform.python_version(), "spark": pyspark.__version__, "system": platform.system(), "machine": platform.machine()}
 
 
+#: Changes of the table that are recorded, and replayed.
+CHANGES = {"generate", "replace", "drop_vars", "keep_vars", "drop_if", "keep_if", "rename", "label_variable", "sort"}
+
+
+def state_after(state: str, change: str, arguments: dict[str, Any]) -> str:
+    """Fingerprint of the table's recipe so far."""
+    return hashlib.sha256(json.dumps([state, change, arguments], sort_keys=True).encode()).hexdigest()
+
+
 @dataclass
 class Project:
-    """A folder: project.json, data/ (Parquet), scripts/, notes/ and registry.jsonl with a line for each analysis."""
+    """A folder on any file system that Spark reaches: project.json, datasets/ and registry/ (a file for each record, which nobody changes), data/ (Parquet), scripts/, notes/.
 
-    folder: Path
+    Several sessions may add to one project at once. A session's changes of its
+    table and its analyses are records; ``state`` is the fingerprint of the
+    changes so far, and each analysis says in which state it ran.
+    """
+
+    store: Store
     about: dict[str, Any]
+    state: str = ""
 
     @classmethod
     def create(cls, folder: str, name: str, data_uri: str | None = None) -> Project:
-        """The folder is the driver's; ``data_uri`` is where Spark keeps the datasets, which a cluster's executors must reach."""
-        at = Path(folder)
-        if (at / "project.json").exists():
+        """``folder`` without a scheme is the driver's own; ``data_uri`` is where Spark keeps the datasets then, which a cluster's executors must reach."""
+        store = Store(SparkSession.active(), folder)
+        if store.exists("project.json"):
             raise StatError("io", f"'{folder}' holds a project already.", "Projects don't share folders.", "Open it, or choose another folder.")
-        for part in ("scripts", "notes"):
-            os.makedirs(at / part, exist_ok=True)
-        out = cls(at, {"name": name, "datasets": [], "data_uri": data_uri or f"file://{(at / 'data').resolve()}", "environment": environment()})
-        out.save()
+        out = cls(store, {"name": name, "data_uri": data_uri or f"{store.folder}/data", "environment": environment()})
+        store.write("project.json", json.dumps(out.about, indent=1))
         return out
 
     @classmethod
     def open(cls, folder: str) -> Project:
-        try:
-            return cls(Path(folder), json.loads((Path(folder) / "project.json").read_text(encoding="utf-8")))
-        except OSError as e:
-            raise StatError("io", f"'{folder}' can't be opened.", str(e), "Check the folder.") from e
+        store = Store(SparkSession.active(), folder)
+        if not store.exists("project.json"):
+            raise StatError("io", f"'{folder}' can't be opened.", "It has no project.json.", "Check the folder.")
+        return cls(store, json.loads(store.read("project.json")))
 
-    def save(self) -> None:
-        (self.folder / "project.json").write_text(json.dumps(self.about, indent=1), encoding="utf-8")
+    def datasets(self) -> list[dict[str, Any]]:
+        return self.store.records("datasets")
 
     def add_dataset(self, df: DataFrame, name: str) -> str:
-        path = f"{self.about['data_uri']}/ds{len(self.about['datasets']) + 1}.parquet"
-        df.write.mode("overwrite").parquet(path)
-        self.about["datasets"].append({"name": name, "path": path})
-        self.save()
+        """The table as it is now; recipes begin from the last one added."""
+        path = f"{self.about['data_uri']}/{uuid.uuid4().hex}.parquet"
+        df.write.parquet(path)
+        self.store.append("datasets", {"name": name, "path": path})
+        self.state = ""
         return path
 
     def add_script(self, name: str, text: str) -> None:
-        (self.folder / "scripts" / re.sub(r"[^\w.-]", "_", name)).write_text(text, encoding="utf-8")
+        self.store.write("scripts/" + re.sub(r"[^\w.-]", "_", name), text)
 
     def add_note(self, text: str) -> str:
-        path = self.folder / "notes" / f"note{len(list((self.folder / 'notes').iterdir())) + 1:03d}.md"
-        path.write_text(text, encoding="utf-8")
-        return path.name
+        n = len(self.store.names("notes")) + 1
+        while self.store.exists(name := f"notes/note{n:03d}.md"):
+            n += 1
+        self.store.write(name, text)
+        return name.removeprefix("notes/")
 
     def append(self, command: str, result: dict[str, Any]) -> None:
-        with (self.folder / "registry.jsonl").open("a", encoding="utf-8") as f:
-            f.write(json.dumps(json.loads(command) | {"result": result}, ensure_ascii=False) + "\n")
+        """An analysis in the present state."""
+        self.store.append("registry", json.loads(command) | {"result": result, "state": self.state})
+
+    def append_change(self, change: str, arguments: dict[str, Any]) -> None:
+        """A change of the table, which gives a new state."""
+        given = {k: v for k, v in arguments.items() if v is not None}
+        before, self.state = self.state, state_after(self.state, change, given)
+        self.store.append("registry", {"change": change, "arguments": given, "before": before, "state": self.state})
 
     def records(self) -> list[dict[str, Any]]:
-        path = self.folder / "registry.jsonl"
-        return [json.loads(x) for x in path.read_text(encoding="utf-8").splitlines() if x.strip()] if path.exists() else []
+        return self.store.records("registry")
 
     def replay(self, spark: SparkSession, tolerance: float = 1e-9) -> DataFrame:
-        """Run every recorded command on the last dataset; a row for each, with its largest difference relative to max(1, |recorded|)."""
-        if not self.about["datasets"]:
+        """Run every record on the last dataset; a row for each, with its largest difference relative to max(1, |recorded|).
+
+        Changes give the states that they are recorded to lead from and to;
+        an analysis runs on the table of its own state. A state whose recipe is
+        broken or was changed is told, for all that rest on it.
+        """
+        if not (known := self.datasets()):
             raise StatError("io", "There is no dataset to replay on.", "The project has none.", "Add one.")
-        data = spark.read.parquet(self.about["datasets"][-1]["path"])
-        rows = []
+        tables, rows = {"": Session(spark, spark.read.parquet(known[-1]["path"]))}, []
         for i, record in enumerate(self.records(), 1):
-            session = Session(spark, data)
+            name = record.get("change") or record.get("command", "")
             try:
-                if record["command"] not in RECORDED:
-                    raise StatError("invalid_request", f"'{record['command']}' can't be replayed.", "Only analyses are.", "Check the registry.")
-                got = getattr(session, record["command"])(**record["arguments"])
-                again = result_of(got) if isinstance(got, Fit) else rows_of(got[0] if isinstance(got, tuple) else got)
-                worst, trouble = difference(record["result"], again), ""
-            except (StatError, TypeError, KeyError, ValueError) as e:  # one bad record doesn't end the replay
+                start = record.get("before" if "change" in record else "state", "")
+                if start not in tables:
+                    raise StatError("invalid_request", f"The table of '{name}' isn't known.", "Its recipe was changed, or a change of it failed.", "Check the records before.")
+                session = Session(spark, tables[start].data, _order=list(tables[start]._order))
+                if "change" in record:
+                    if name not in CHANGES or state_after(start, name, record["arguments"]) != record["state"]:
+                        raise StatError("invalid_request", f"'{name}' isn't as it was recorded.", "Its arguments don't have the fingerprint of its state.", "Check the registry.")
+                    given = dict(record["arguments"])
+                    getattr(session, name)(*given.pop("names", []), **given)
+                    tables[record["state"]], worst = session, 0.0
+                else:
+                    if name not in RECORDED:
+                        raise StatError("invalid_request", f"'{name}' can't be replayed.", "Only analyses and changes of the table are.", "Check the registry.")
+                    options = {"diagnostics": False} if name == "regress" else {}
+                    got = getattr(session, name)(**record["arguments"], **options)
+                    again = result_of(got) if isinstance(got, Fit) else rows_of(got[0] if isinstance(got, tuple) else got)
+                    worst = difference(record["result"], again)
+                trouble = ""
+            except (StatError, TypeError, KeyError, ValueError, AnalysisException) as e:  # one bad record doesn't end the replay
                 worst, trouble = math.inf, str(e)
-            rows.append((i, record["command"], float(worst), bool(worst <= tolerance), trouble))
+            rows.append((i, name, float(worst), bool(worst <= tolerance), trouble))
         return spark.createDataFrame(rows, "step int, command string, difference double, reproduced boolean, error string")
 
 
