@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,19 +55,52 @@ NOTICES = {
     "SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
     "SPDX-License-Identifier: MIT": "MIT",
 }
-# Spellings that count as equal, after case and punctuation.
+# Spellings that count as equal, after case and punctuation; the first from a word's beginning on.
 EQUAL = {"licence": "license", "sub license": "sublicense", "non infringement": "noninfringement", "non commercial": "noncommercial", "organisation": "organization", "authorisation": "authorization", "favour": "favor", "honour": "honor", "https": "http"}
+ANY_EQUAL = r"\b(" + "|".join(EQUAL) + ")"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-PUNCTUATION = "\t\r\v\f!\"#$%'()*+,-./:;<=>?@[\\]^_`{|}~ ‘’“”–—•"
+PUNCTUATION = "\t\r\v\f!\"#$%'()*+,-./:;<=>?@[\\]^_`{|}~ ‘’“”–—•"
+# How a notice begins in canonical form, and words that a notice (years, holders) doesn't have, but terms do.
 COPYRIGHT = "^(c )?copyright (c$|c |[0-9]{4})|^c [0-9]{4}|^(c )?copyright the .*(authors|contributors|developers|team|project|foundation)$|^all rights reserved$"
+TERMS = r"\b(is|are|was|were|be|been|being|has|have|had|does|did|done|might|must|shall|should|would|cannot|could|need|use|uses|used|using|copy|copies|copied|copying|no|not|nor|none|nothing|never|any|anything|anyone|all|every|this|that|these|those|you|your|we|our|they|their|who|which|what|whatever|where|when|if|unless|except|only|without|within|under|permission|permissions|permit|permits|permitted|license|licensed|licenses|forbidden|forbid|prohibited|prohibit|granted|allowed|allow|allows|reserved|rights|terms|conditions|applies|apply|redistribute|redistribution|redistributed|distribute|distributed|modify|modified|sell|sold)\b"
+#: Sentences of a line that may be notices, one after another, before what isn't.
+SENTENCES = 3
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of the value, which is worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def folded(line: Column) -> Column:
+    """Lower case, no punctuation, one blank between words, equal spellings."""
+    plain = F.translate(F.replace(line, F.lit("&"), F.lit(" and ")), UPPER + "©" + PUNCTUATION, LOWER + "c" + " " * len(PUNCTUATION))
+    spelled = lambda x: reduce(lambda text, pair: F.regexp_replace(text, r"\b" + pair[0], pair[1]), EQUAL.items(), x)
+    return let(F.trim(F.regexp_replace(plain, " +", " ")), lambda x: F.when(x.rlike(ANY_EQUAL), spelled(x)).otherwise(x))
+
+
+def is_notice(line: Column) -> Column:
+    """Of a line in canonical form: nothing but years, holders and "all rights reserved"."""
+    return line.rlike(COPYRIGHT) & ((line == "all rights reserved") | ~F.regexp_replace(line, " all rights reserved$", "").rlike(TERMS))
+
+
+def after_notices(line: Column) -> Column:
+    """The line without the sentences that it begins with, if these are notices."""
+
+    def rest(x: Column) -> Column:
+        return let(F.regexp_extract(x, r"^[^.]*[.][ \t]+", 0), lambda head: F.when(let(folded(head), is_notice), F.substr(x, F.length(head) + 1)).otherwise(x))
+
+    return reduce(lambda x, _: let(x, rest), range(SENTENCES), line)
 
 
 def canonical_line(line: Column) -> Column:
-    """Lower case, no punctuation, one blank between words, equal spellings; a copyright line becomes empty."""
-    folded = F.translate(F.replace(line, F.lit("&"), F.lit(" and ")), UPPER + "©" + PUNCTUATION, LOWER + "c" + " " * len(PUNCTUATION))
-    spaced = F.trim(F.regexp_replace(folded, " +", " "))
-    spelled = reduce(lambda text, pair: F.replace(text, F.lit(pair[0]), F.lit(pair[1])), EQUAL.items(), spaced)
-    return F.when(spelled.rlike(COPYRIGHT), F.lit("")).otherwise(spelled)
+    """The line folded, without a copyright notice: the whole line, or the sentences that it begins with. All else of the line stays."""
+
+    def judged(whole: Column) -> Column:
+        last = let(folded(after_notices(line)), lambda x: F.when(is_notice(x), F.lit("")).otherwise(x))
+        return F.when(~whole.rlike("^(c )?copyright |^c [0-9]|^all rights reserved"), whole).when(is_notice(whole), F.lit("")).otherwise(last)
+
+    return let(folded(line), judged)
 
 
 def canonical_lines(text: Column) -> Column:
@@ -127,23 +161,34 @@ def _quoted(text: str) -> str:
 def license_sql() -> str:
     """The scan in DuckDB's SQL."""
 
-    def line(x: str) -> str:
-        folded = f"translate(replace({x}, '&', ' and '), {_quoted(UPPER + chr(0xA9) + PUNCTUATION)}, {_quoted(LOWER + 'c' + ' ' * len(PUNCTUATION))})"
-        spaced = f"trim(regexp_replace({folded}, ' +', ' ', 'g'), ' ')"
-        return reduce(lambda text, pair: f"replace({text}, {_quoted(pair[0])}, {_quoted(pair[1])})", EQUAL.items(), spaced)
+    def fold(x: str) -> str:
+        plain = f"translate(replace({x}, '&', ' and '), {_quoted(UPPER + chr(0xA9) + PUNCTUATION)}, {_quoted(LOWER + 'c' + ' ' * len(PUNCTUATION))})"
+        return f"trim(regexp_replace({plain}, ' +', ' ', 'g'), ' ')"
 
-    def canonical(table: str, key: str, text: str) -> str:
-        return f"""select key, coalesce(list(line order by i) filter (line <> ''), []) as lines from (
-            select key, i, case when regexp_matches(line, {_quoted(COPYRIGHT)}) then '' else line end as line from (
-                select {key} as key, i, {line("part")} as line from (
-                    select {key}, unnest(string_split(coalesce({text}, ''), chr(10))) as part, generate_subscripts(string_split(coalesce({text}, ''), chr(10)), 1) as i from {table}))) group by key"""
+    def spell(x: str) -> str:
+        return reduce(lambda text, pair: f"regexp_replace({text}, {_quoted(chr(92) + 'b' + pair[0])}, {_quoted(pair[1])}, 'g')", EQUAL.items(), x)
+
+    def notice(x: str) -> str:
+        return f"(regexp_matches({x}, {_quoted(COPYRIGHT)}) and ({x} = 'all rights reserved' or not regexp_matches(regexp_replace({x}, ' all rights reserved$', ''), {_quoted(TERMS)})))"
 
-    known = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in LICENSES.items())
+    head = r"regexp_extract(rest, '^[^.]*[.][ \t]+', 0)"
+
+    def canonical(table: str, key: str, text: str) -> str:
+        steps = f"select {key} as key, unnest(string_split(coalesce({text}, ''), chr(10))) as rest, generate_subscripts(string_split(coalesce({text}, ''), chr(10)), 1) as i from {table}"
+        steps = f"select key, i, rest, {spell(fold('rest'))} as whole from ({steps})"
+        for _ in range(SENTENCES):
+            steps = f"select key, i, whole, case when {notice('head_fold')} then substr(rest, length(head) + 1) else rest end as rest from (select *, {spell(fold('head'))} as head_fold from (select *, {head} as head from ({steps})))"
+        lines = f"""select key, i, case when not regexp_matches(whole, '^(c )?copyright |^c [0-9]|^all rights reserved') then whole when {notice('whole')} or {notice('last')} then '' else last end as line from (select *, {spell(fold('rest'))} as last from ({steps}))"""
+        return f"select key, coalesce(list(line order by i) filter (line <> ''), []) as lines from ({lines}) group by key"
+
+    known = ", ".join(f"({i}, {_quoted(name)}, {_quoted(text)})" for i, (name, text) in enumerate(known_texts()))
+    digests = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in DIGESTS.items())
     notices = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in NOTICES.items())
-    return f"""with known(license, text) as (values {known}), notices(notice, license) as (values {notices}),
-    known_lines as ({canonical("known", "license", "text")}), notice_lines as ({canonical("notices", "notice", "notice")}),
+    return f"""with known(number, license, text) as (values {known}), notices(notice, license) as (values {notices}),
+    known_lines as ({canonical("known", "number", "text")}), notice_lines as ({canonical("notices", "notice", "notice")}),
     doc_lines as ({canonical("documents", "doc_id", "text")}),
+    digests(digest, license) as (select distinct sha256(array_to_string(lines, ' ')), license from known_lines join known on number = key union all values {digests}),
     by_line as (select lines[1] as line, license from notice_lines join notices on notice = key),
     declared as (select key, count(*) as n, string_agg(distinct license, ',' order by license) as names from (select key, unnest(lines) as line from doc_lines) join by_line using (line) group by key)
-    select d.key as doc_id, sha256(array_to_string(d.lines, ' ')) as digest, k.key as license, coalesce(n, 0)::bigint as n_notices, coalesce(names, '') as notices
-    from doc_lines d left join known_lines k on sha256(array_to_string(k.lines, ' ')) = sha256(array_to_string(d.lines, ' ')) left join declared e on e.key = d.key"""
+    select d.key as doc_id, sha256(array_to_string(d.lines, ' ')) as digest, k.license, coalesce(n, 0)::bigint as n_notices, coalesce(names, '') as notices
+    from doc_lines d left join digests k on k.digest = sha256(array_to_string(d.lines, ' ')) left join declared e on e.key = d.key"""

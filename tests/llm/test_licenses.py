@@ -29,6 +29,35 @@ def test_copyright_lines(spark):
     assert names(spark, [wrapped]) == ["MIT"]
 
 
+def test_terms_on_a_copyright_line_stay(spark):
+    """A line that begins like a notice and goes on with terms isn't one; a notice sentence before the licence is."""
+    mit = licenses.LICENSES["MIT"]
+    no = ["Copyright (c) 2024 Foo. Commercial use is forbidden and no copies may be made.", "c 2024 nothing may be done with this", "Copyright c anything at all, all use forbidden", "Copyright (c) 2020 Foo. All rights reserved. Nothing is granted.", "(c) 2020 Foo, you may not copy"]
+    yes = ["Copyright (c) 2024 Foo Bar, Inc. All rights reserved.", "© 1999-2003, 2005 J. R. Smith <j@smith.example>", "Copyright 2020 The Foo Authors", "(C) Copyright 2001 by A and B"]
+    assert names(spark, [f"{line}\n{mit}" for line in no + yes]) == [None] * len(no) + ["MIT"] * len(yes)
+    assert names(spark, [f"Copyright (c) 2020 Foo Inc. All rights reserved. {mit}", f"MIT License Copyright (c) 2020 Foo. {mit}"]) == ["MIT", None]
+
+
+def test_equal_spellings_are_whole_words(spark):
+    digest = lambda t: licenses.license_scan(spark.createDataFrame([(1, t)], "doc_id long, text string")).first().digest
+    assert digest("Licences, licenced and sub-licenses") == digest("licenses licensed and sublicenses")
+    assert digest("a canon commercial matter") != digest("a canoncommercial matter") and digest("non-commercial") == digest("noncommercial")
+
+
+def test_sql_knows_all_texts(spark):
+    """DuckDB's rows for all known texts with notices around them, and for lines that look like notices."""
+    import duckdb
+    import pandas as pd
+
+    texts = [f"Copyright (c) 2020 A. All rights reserved.\n{t}" for _, t in licenses.known_texts()] + [None, "", "Copyright 2020 X. Do as you may. Really.", "copyright c y. all rights reserved. Z. w"]
+    docs = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    con = duckdb.connect()
+    con.register("documents", docs)
+    want = con.sql(f"select doc_id, digest, license, n_notices, notices from ({licenses.license_sql()}) order by doc_id").fetchall()
+    got = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == want and [r.license for r in got][:-4] == [n for n, _ in licenses.known_texts()]
+
+
 @pytest.mark.skipif(not SHIPPED.exists(), reason="no licence texts here")
 def test_long_texts(spark):
     files = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
