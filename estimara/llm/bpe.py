@@ -113,9 +113,7 @@ def stitches(chunks: DataFrame, pattern: str, overlap: int = OVERLAP) -> DataFra
 
     A chunk's matches are those of the text from the first place where both it
     and the chunk before begin one. Where two neighbours share no such place (a
-    match longer than the overlap), nothing is known of the later chunks: start
-    is null from there on, and the rest of the text is one piece with the last
-    chunk before. The pattern must decide a match by what it matches and at most
+    match longer than the overlap), start is null. The pattern must decide a match by what it matches and at most
     one character more, as the one given does; a pattern that looks further back
     over white space, such as for line ends after blanks, isn't for this.
     """
@@ -123,22 +121,40 @@ def stitches(chunks: DataFrame, pattern: str, overlap: int = OVERLAP) -> DataFra
     by_row = Window.partitionBy("row_id").orderBy("chunk")
     meet = F.array_min(F.array_intersect("heads", F.lag("tails").over(by_row)))
     # The first chunk begins where its text does.
-    starts = marks.withColumn("start", F.when(F.col("chunk") == 0, F.lit(0)).otherwise(meet))
-    tied = starts.withColumn("tied", F.min(F.col("start").isNotNull()).over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
-    known = tied.withColumn("start", F.when(F.col("tied"), F.col("start")))
-    return known.select("row_id", "chunk", "start", F.lead("start").over(by_row).alias("stop"))
+    starts = marks.withColumn("start", F.when(F.lag("chunk").over(by_row).isNull(), F.lit(0)).otherwise(meet))
+    return starts.select("row_id", "chunk", "start", F.lead("start").over(by_row).alias("stop"))
+
+
+def stitched(chunks: DataFrame, pattern: str, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
+    """The chunks and their stitches, none of which is open.
+
+    Neighbours that share no place are one chunk from then on, pre-tokenised
+    again from its beginning, which stitches the next boundary or joins one
+    chunk more: a chunk grows as long as the match that lies across its
+    boundaries, while all other chunks stay as they are.
+    """
+    cuts = stage(stitches(chunks, pattern, overlap), "stitches")
+    while cuts.where("start is null").limit(1).count():
+        runs = cuts.withColumn("run", F.count("start").over(Window.partitionBy("row_id").orderBy("chunk")))
+        open_ = runs.join(runs.where("start is null").select("row_id", "run").distinct(), ["row_id", "run"], "left_semi")
+        parts = chunks.join(open_.select("row_id", "chunk", "run"), ["row_id", "chunk"]).groupBy("row_id", "doc_id", "run").agg(F.sort_array(F.collect_list(F.struct("chunk", "begin", "own", "last", "text"))).alias("p"))
+        first, final, rest = F.element_at("p", 1), F.element_at("p", -1), F.slice("p", F.lit(1), F.size("p") - 1)
+        own_text = F.array_join(F.transform(rest, lambda x: F.substring(x["text"], F.lit(1), x["own"])), "")
+        own_size = F.aggregate("p", F.lit(0), lambda n, x: n + x["own"])
+        joined = parts.select("row_id", "doc_id", first["chunk"].alias("chunk"), first["begin"].alias("begin"), own_size.alias("own"), final["last"].alias("last"), F.concat(own_text, final["text"]).alias("text"))
+        others = chunks.join(open_.select("row_id", "chunk"), ["row_id", "chunk"], "left_anti").select(*joined.columns)
+        texts = open_.select("row_id").distinct()
+        chunks = stage(others.unionByName(joined), "chunks")
+        again = stitches(chunks.join(texts, "row_id", "left_semi"), pattern, overlap)
+        cuts = stage(cuts.join(texts, "row_id", "left_anti").unionByName(again), "stitches")
+    return chunks, cuts
 
 
 def pieces_of(chunks: DataFrame, cuts: DataFrame) -> DataFrame:
-    """(row_id, doc_id, start, piece): what lies between two cuts, taken out of the chunk in which it begins."""
+    """(row_id, doc_id, start, piece): what lies between two cuts, taken out of the chunk in which it begins; the last one to its chunk's end."""
     at = chunks.join(cuts, ["row_id", "chunk"])
-    own_end = F.col("begin") + F.col("own")
-    inside = at.where(F.col("stop").isNotNull()).select("row_id", "doc_id", "start", F.substring("text", F.col("start") - F.col("begin") + 1, F.col("stop") - F.col("start")).alias("piece"))
-    # The last piece of each text: of one chunk, or of several that aren't tied.
-    begin = F.coalesce(F.col("start"), F.col("begin"))
-    rest = at.where(F.col("stop").isNull()).select("row_id", "doc_id", "chunk", begin.alias("start"), F.substring("text", begin - F.col("begin") + 1, own_end - begin).alias("part"))
-    whole = rest.groupBy("row_id", "doc_id").agg(F.min("start").alias("start"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "part"))), lambda x: x["part"]), "").alias("piece"))
-    return inside.unionByName(whole)
+    stop = F.coalesce(F.col("stop"), F.col("begin") + F.col("own"))
+    return at.select("row_id", "doc_id", "start", F.substring("text", F.col("start") - F.col("begin") + 1, stop - F.col("start")).alias("piece"))
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +188,7 @@ def encoded(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", t
     long = F.char_length("text") > size
     short = rows.where(~long).mapInArrow(_whole(ranks, pattern), "row_id long, doc_id long, ids binary")
     chunks = stage(rows.where(long).mapInArrow(_cut(size, overlap), "row_id long, doc_id long, chunk int, begin int, own int, last boolean, text string"), "chunks")
-    cut_out = pieces_of(chunks, stitches(chunks, pattern, overlap))
+    cut_out = pieces_of(*stitched(chunks, pattern, overlap))
     done = cut_out.mapInArrow(_pieces(ranks, pattern), "row_id long, doc_id long, start int, ids binary")
     together = done.groupBy("row_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "ids"))).alias("parts")).mapInArrow(_joined, "row_id long, doc_id long, ids binary")
     return short.unionByName(together)

@@ -10,6 +10,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from estimara.llm import bpe, tokencount, tokenfile
@@ -130,3 +131,23 @@ def test_token_counts(odd, empty):
         alone = {w: tokencount.terminal_counts(["▁" + w], scores, byte_score, longest)["▁" + w] for w in set(words)}
         assert (r.doc_id, len(words), sum(alone[w] for w in words)) in got
     assert tokencount.token_counts(empty, path).count() == 0
+
+
+@pytest.mark.parametrize("run", ["x" * 200, " " * 150, "x" * 700, "é" * 333 + " " * 90])
+def test_only_failed_stitches_are_untied(spark, run):
+    """One long match at the front (or in the middle) leaves all other pieces short, and the ids are the whole text's."""
+    pattern, ranks = P.PATTERN, P.path("byte_bpe_multi_50k.tiktoken")
+    words = " ".join(f"word{i % 97} and, it's {i}" for i in range(700))
+    texts = [run + words, words[:3000] + run + words[3000:], words + run, run, (words[:500] + run) * 4]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.select(F.col("doc_id").alias("row_id"), "doc_id", "text")
+    chunks = rows.mapInArrow(bpe._cut(64, 16), "row_id long, doc_id long, chunk int, begin int, own int, last boolean, text string")
+    pieces = bpe.pieces_of(*bpe.stitched(chunks, pattern, 16)).collect()
+    for i, t in enumerate(texts):
+        own = sorted((p["start"], p["piece"]) for p in pieces if p["doc_id"] == i)
+        assert "".join(p for _, p in own) == t and max(len(p) for _, p in own) <= len(run) + 3 * 80
+        if i < 3:
+            assert len(own) >= (len(words) / 64) * 0.8
+    enc = bpe.coder(ranks, pattern)
+    got = {r["doc_id"]: r["ids"] for r in bpe.encoded(docs, ranks, pattern, size=64, overlap=16).collect()}
+    assert all(bytes(got[i]) == bpe.encode(enc, t).tobytes() for i, t in enumerate(texts))
