@@ -22,6 +22,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score of 0.5 or more go. A null or empty text gets the rate of the labelled rows and stays with usual labels; rows
+    with a null id are scored like all others; equal texts have equal scores, so repeated rows go or stay together; an empty table stays
+    empty; columns of any further names stay as they are.
+    """
     return toxicity.drop_toxic(docs, _read(spark, sf_dir, "labels"))
 
 
@@ -37,11 +41,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten words on end of a benchmark item (or the whole of a shorter one) go. Null and empty texts hold none and
+    stay; rows are told by id and text, so rows with a null id are judged, and repeated ones go or stay together; there are no ties; very
+    long texts count whole; columns of any further names stay as they are.
+    """
     return decontam.drop_contaminated(docs, _read(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, digests and ids (unsigned 32-bit, little endian)."""
+    """doc_id, n_tokens, digests and ids (unsigned 32-bit, little endian), a row for each row. A null text is the empty one, without ids;
+    repeated rows and null ids stay; an empty table gives an empty result; other columns aren't looked at.
+    """
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
