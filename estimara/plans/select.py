@@ -38,26 +38,33 @@ class Bracket:
 
 
 def narrowed(df: DataFrame, xs: list[Column], open_: list[Bracket]) -> None:
-    """Two passes: sketches of what the brackets hold give bounds on either side of each rank; then values are counted at these."""
-    margin = 2 / ACCURACY
-    asks = []
+    """Two passes: sketches of what the brackets hold, one for each bracket however many ranks it holds, give bounds on either side of each rank; then values are counted at these."""
+    margin, asks = 2 / ACCURACY, {}
     for b in open_:
         p = (b.rank - b.at_most_low + 0.5) / b.inside
-        asks.append(F.percentile_approx(F.when(b.holds(xs[b.column]), xs[b.column]), F.array(F.lit(max(0.0, p - margin)), F.lit(min(1.0, p + margin))), F.lit(ACCURACY)))
-    narrow(df, xs, open_, [tuple(v) for v in df.agg(*(a.alias(f"a{i}") for i, a in enumerate(asks))).first()])
+        asks.setdefault((b.column, b.low, b.high), {})[b.rank] = (max(0.0, p - margin), min(1.0, p + margin))
+    holds = {(b.column, b.low, b.high): b.holds(xs[b.column]) for b in open_}
+    sketches = [F.percentile_approx(F.when(holds[key], xs[key[0]]), F.array(*(F.lit(p) for pair in each.values() for p in pair)), F.lit(ACCURACY)) for key, each in asks.items()]
+    row = df.agg(*(x.alias(f"a{i}") for i, x in enumerate(sketches))).first()
+    found = {(*key, rank): (v[2 * i], v[2 * i + 1]) for (key, each), v in zip(asks.items(), row) for i, rank in enumerate(each)}
+    narrow(df, xs, open_, [found[b.column, b.low, b.high, b.rank] for b in open_])
 
 
 def narrow(df: DataFrame, xs: list[Column], open_: list[Bracket], bounds: list[tuple[float, float]]) -> None:
-    """One pass: count at these bounds; where they are few by then, what is between them is gathered, too."""
-    facts = []
+    """One pass: count at these bounds; where they are few by then, what is between them is gathered, too. Ranks with the same bounds share it all."""
+    places: dict[tuple, int] = {}
+    facts: list[Column] = []
     for b, (low, high) in zip(open_, bounds):
-        x = xs[b.column]
-        few = b.inside * 6 / ACCURACY <= KEEP  # a sketch's bounds hold no more between them
+        x, few = xs[b.column], b.inside * 6 / ACCURACY <= KEEP  # a sketch's bounds hold no more between them
+        if (b.column, low, high) in places:
+            continue
+        places[b.column, low, high] = len(facts)
         between = F.sort_array(F.collect_list(F.when((x > float(low)) & (x < float(high)), x))) if few else F.lit(None).cast("array<double>")
         facts += [F.count_if(x < float(low)), F.count_if(x <= float(low)), F.count_if(x < float(high)), F.count_if(x <= float(high)), between]
     row = df.agg(*(f.alias(f"f{i}") for i, f in enumerate(facts))).first()
-    for i, (b, (low, high)) in enumerate(zip(open_, bounds)):
-        below_low, to_low, below_high, to_high, between = row[5 * i : 5 * i + 5]
+    for b, (low, high) in zip(open_, bounds):
+        i = places[b.column, low, high]
+        below_low, to_low, below_high, to_high, between = row[i : i + 5]
         if b.rank < below_low:
             b.high, b.inside = float(low), below_low - b.at_most_low
         elif b.rank < to_low:
@@ -77,9 +84,11 @@ def ranks(df: DataFrame, xs: list[Column], brackets: list[Bracket]) -> None:
     """Give every bracket its value, exactly."""
     while open_ := [b for b in brackets if b.value is None]:
         if all(b.inside <= KEEP for b in open_):
-            row = df.agg(*(F.sort_array(F.collect_list(F.when(b.holds(xs[b.column]), xs[b.column]))).alias(f"f{i}") for i, b in enumerate(open_))).first()
-            for b, inside in zip(open_, row):
-                b.value = inside[b.rank - b.at_most_low]
+            keys = list(dict.fromkeys((b.column, b.low, b.high) for b in open_))
+            holds = {(b.column, b.low, b.high): b.holds(xs[b.column]) for b in open_}
+            row = df.agg(*(F.sort_array(F.collect_list(F.when(holds[key], xs[key[0]]))).alias(f"f{i}") for i, key in enumerate(keys))).first()
+            for b in open_:
+                b.value = row[keys.index((b.column, b.low, b.high))][b.rank - b.at_most_low]
             return
         narrowed(df, xs, open_)
 
