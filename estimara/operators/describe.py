@@ -13,8 +13,11 @@ from ..functions.dist import t_p
 from ..functions.order import ranked, running_total
 from ..plans.moments import moments
 from ..plans.select import distincts, quantiles
-from .frame import check_names, check_numeric, complete_cases, has_value, numeric_names
+from ..plans.staging import stage
+from .frame import check_names, check_numeric, complete_cases, fresh, has_value, numeric_names
 
+#: Rows from which columns are dealt to all cores if few tasks would read them again and again.
+SPREAD_ROWS = 200_000
 #: Distinct values that one task may order.
 FEW_VALUES = 100_000
 QUARTILES = (0.25, 0.5, 0.75)
@@ -35,7 +38,13 @@ def summarize(df: DataFrame, names: list[str] | None = None, compat: bool = Fals
     xs, facts = [valued(df, name) for name in names], []
     for x in xs:
         facts += [F.count(x), F.avg(x), F.stddev_samp(x), F.var_samp(x), F.min(x), F.max(x), F.sum(x), F.skewness(x), F.kurtosis(x), F.count_if(x != F.floor(x)) == 0]
-    row = df.agg(F.count("*"), *(f.alias(f"f{i}") for i, f in enumerate(facts))).first()
+    (task,) = fresh(df.columns, "task")
+    tasks = F.bit_count(F.bit_or(F.col(task))).alias("tasks")
+    row = df.withColumn(task, F.expr("shiftleft(1L, spark_partition_id() % 63)")).agg(F.count("*"), *(f.alias(f"f{i}") for i, f in enumerate(facts)), tasks).first()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if row[0] >= SPREAD_ROWS and row["tasks"] < min(cores, 63) // 2:  # few tasks have all rows, as of a file in one piece: several passes follow
+        df = stage(df.select(*(x.alias(f"x{i}") for i, x in enumerate(xs))).repartition(cores), "columns")
+        xs = [F.col(f"x{i}") for i in range(len(xs))]
     figures = [row[1 + i * 10 : 11 + i * 10] for i in range(len(names))]
     quartiles = quantiles(df, xs, [f[0] for f in figures], QUARTILES)
     unique = distincts(df, xs, [(f[0], f[4], f[5], f[9]) for f in figures])

@@ -16,10 +16,10 @@ SUMS = "sums binary"
 
 def numbers(batch: pa.RecordBatch) -> np.ndarray:
     """Rows by columns, as doubles; a null is NaN."""
-    out = np.empty((batch.num_rows, batch.num_columns))
+    out = np.empty((batch.num_columns, batch.num_rows))  # column by column, as Arrow has them
     for i in range(batch.num_columns):
-        out[:, i] = batch.column(i).to_numpy(zero_copy_only=False)
-    return out
+        out[i] = batch.column(i).to_numpy(zero_copy_only=False)
+    return out.T
 
 
 def packed(total: np.ndarray) -> pa.RecordBatch:
@@ -58,10 +58,10 @@ def gram(df: DataFrame, columns: list[Column], shift: np.ndarray, weight: Column
     k, weighted = len(columns), weight is not None
 
     def part(x: np.ndarray) -> np.ndarray:
-        z = np.ones((len(x), k + 1))  # the last row of the product has the sums
-        z[:, :k] = x[:, :k] - shift
+        z = np.ones((k + 1, len(x)))  # the last row of the product has the sums
+        z[:k] = x.T[:k] - shift[:, None]
         out = np.zeros((k + 2, k + 1))
-        out[: k + 1] = (z * x[:, k:]).T @ z if weighted else z.T @ z
+        out[: k + 1] = (z * x.T[k:]) @ z.T if weighted else z @ z.T
         out[k + 1, 0] = len(x)
         return out
 
