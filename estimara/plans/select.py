@@ -37,17 +37,30 @@ class Bracket:
         return (x > self.low) & (x < self.high) if self.low > -math.inf or self.high < math.inf else x.isNotNull()
 
 
+def together(ranks: list[int]) -> dict[int, int]:
+    """Of each rank, the one whose bounds it shares: a quantile between two values asks for a rank and the next."""
+    first: dict[int, int] = {}
+    for rank in sorted(ranks):
+        first[rank] = rank - 1 if first.get(rank - 1) == rank - 1 else rank
+    return first
+
+
 def narrowed(df: DataFrame, xs: list[Column], open_: list[Bracket]) -> None:
     """Two passes: sketches of what the brackets hold, one for each bracket however many ranks it holds, give bounds on either side of each rank; then values are counted at these."""
-    margin, asks = 2 / ACCURACY, {}
+    margin, held, asks = 2 / ACCURACY, {}, {}
     for b in open_:
-        p = (b.rank - b.at_most_low + 0.5) / b.inside
-        asks.setdefault((b.column, b.low, b.high), {})[b.rank] = (max(0.0, p - margin), min(1.0, p + margin))
+        held.setdefault((b.column, b.low, b.high), []).append(b)
+    shared = {key: together([b.rank for b in own]) for key, own in held.items()}
+    for key, own in held.items():
+        for b in own:
+            p = (b.rank - b.at_most_low + 0.5) / b.inside
+            low, high = asks.setdefault(key, {}).get(shared[key][b.rank], (1.0, 0.0))
+            asks[key][shared[key][b.rank]] = (min(low, max(0.0, p - margin)), max(high, min(1.0, p + margin)))
     holds = {(b.column, b.low, b.high): b.holds(xs[b.column]) for b in open_}
     sketches = [F.percentile_approx(F.when(holds[key], xs[key[0]]), F.array(*(F.lit(p) for pair in each.values() for p in pair)), F.lit(ACCURACY)) for key, each in asks.items()]
     row = df.agg(*(x.alias(f"a{i}") for i, x in enumerate(sketches))).first()
     found = {(*key, rank): (v[2 * i], v[2 * i + 1]) for (key, each), v in zip(asks.items(), row) for i, rank in enumerate(each)}
-    narrow(df, xs, open_, [found[b.column, b.low, b.high, b.rank] for b in open_])
+    narrow(df, xs, open_, [found[b.column, b.low, b.high, shared[b.column, b.low, b.high][b.rank]] for b in open_])
 
 
 def narrow(df: DataFrame, xs: list[Column], open_: list[Bracket], bounds: list[tuple[float, float]]) -> None:

@@ -209,3 +209,18 @@ def test_panel_errors_and_names(spark):
     plain = panel.did(df, "out", "treat", "time", ["y", "treat_"])
     named = panel.did(df.withColumnsRenamed({"y": "post", "treat_": "__both"}), "out", "treat", "time", ["post", "__both"])
     assert plain.coef == pytest.approx(named.coef) and plain.terms == ["_cons", "treat", "post", "treat#post", "y", "treat_"] and named.terms[-2:] == ["post", "__both"]
+
+
+def test_complete_cases_of_many_variables(spark):
+    """The one expression for many variables keeps the rows that a condition for each keeps: no null, NaN or empty text, but infinite numbers."""
+    kinds = ["double", "float", "long", "string", "date"] * 4
+    names, good = [f"v{i}" for i in range(len(kinds))], {"double": "1.5D", "float": "2.5F", "long": "7L", "string": "'a'", "date": "date'2020-01-01'"}
+    holes = [{}, {0: "double('NaN')"}, {6: "float('NaN')"}, {2: "cast(null as long)"}, {8: "''"}, {13: "cast(null as string)"}, {19: "cast(null as date)"}, {5: "double('inf')", 1: "float('-inf')"}, {10: "cast(null as double)", 3: "''"}]
+    rows = " union all ".join(f"select {row} id, " + ", ".join(f"{own.get(i, good[kind])} v{i}" for i, kind in enumerate(kinds)) for row, own in enumerate(holes))
+    df = spark.sql(rows)
+    assert len(names) > frame.MANY
+    assert sorted(r["id"] for r in frame.complete_cases(df, ["id", *names, "v0"]).select("id").collect()) == [0, 7]
+    one_each = df
+    for name in names:
+        one_each = one_each.where(frame.has_value(df, name))
+    assert frame.complete_cases(df, ["id", *names]).exceptAll(one_each).count() == 0 and one_each.count() == 2
