@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -14,10 +14,15 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small_batches, stage
+from .shared import release, small_batches, stage
 
 #: Characters of a chunk, and of what it shares with the next one.
 CHUNK, OVERLAP = 16384, 512
+#: What becomes of some rows' row_id, doc_id and ids, in the task that has encoded them.
+Finish = Callable[[pa.Array, pa.Array, list[bytes]], pa.RecordBatch]
+IDS = "row_id long, doc_id long, ids binary"
+#: Long texts that are put together at a time.
+LONG_ROWS = 16
 
 
 @lru_cache(maxsize=4)
@@ -51,14 +56,18 @@ def decode(ids: np.ndarray, tokens: tuple[np.ndarray, np.ndarray]) -> bytes:
     return data[np.repeat(begins[:-1][ids] - (ends - sizes), sizes) + np.arange(ends[-1])].tobytes()
 
 
-def _whole(ranks: str, pattern: str):
+def _ids(row_id: pa.Array, doc_id: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([row_id, doc_id, pa.array(ids, pa.binary())], ["row_id", "doc_id", "ids"])
+
+
+def _whole(ranks: str, pattern: str, finish: Finish):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = coder(ranks, pattern)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                ids = [encode(enc, t or "").tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column("doc_id"), pa.array(ids, pa.binary())], ["row_id", "doc_id", "ids"])
+                yield finish(part.column("row_id"), part.column("doc_id"), [encode(enc, t or "").tobytes() for t in part.column("text").to_pylist()])
+        release()
 
     return run
 
@@ -68,7 +77,7 @@ def _cut(size: int, overlap: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row_id, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("row_id", "doc_id", "text"))):
+            for row_id, doc_id, text in zip(batch.column("row_id").to_pylist(), batch.column("doc_id").to_pylist(), (t.as_py() for t in batch.column("text"))):
                 begins = list(range(0, len(text), size))
                 for lo in range(0, len(begins), 256):
                     some = begins[lo : lo + 256]
@@ -76,6 +85,7 @@ def _cut(size: int, overlap: int):
                         [pa.array([row_id] * len(some), pa.int64()), pa.array([doc_id] * len(some), pa.int64()), pa.array(range(lo, lo + len(some)), pa.int32()), pa.array(some, pa.int32()), pa.array([min(size, len(text) - x) for x in some], pa.int32()), pa.array([x + size + overlap >= len(text) for x in some]), pa.array([text[x : x + size + overlap] for x in some], pa.string())],
                         ["row_id", "doc_id", "chunk", "begin", "own", "last", "text"],
                     )
+        release()
 
     return run
 
@@ -104,6 +114,7 @@ def _boundaries(pattern: str, overlap: int):
                 heads.append(head)
                 tails.append(tail)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row_id", "chunk", "begin")), pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], ["row_id", "chunk", "begin", "heads", "tails"])
+        release()
 
     return run
 
@@ -157,10 +168,15 @@ def pieces_of(chunks: DataFrame, cuts: DataFrame) -> DataFrame:
     return at.select("row_id", "doc_id", "start", F.substring("text", F.col("start") - F.col("begin") + 1, stop - F.col("start")).alias("piece"))
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = [b"".join(x["ids"] for x in parts) for parts in batch.column("parts").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("doc_id"), pa.array(ids, pa.binary())], ["row_id", "doc_id", "ids"])
+def _joined(finish: Finish):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, LONG_ROWS):
+                part = batch.slice(lo, LONG_ROWS)
+                yield finish(part.column("row_id"), part.column("doc_id"), [b"".join(x["ids"] for x in parts) for parts in part.column("parts").to_pylist()])
+        release()
+
+    return run
 
 
 def _pieces(ranks: str, pattern: str):
@@ -169,6 +185,7 @@ def _pieces(ranks: str, pattern: str):
         for batch in batches:
             ids = [encode(enc, t).tobytes() for t in batch.column("piece").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row_id", "doc_id", "start")), pa.array(ids, pa.binary())], ["row_id", "doc_id", "start", "ids"])
+        release()
 
     return run
 
@@ -183,35 +200,34 @@ def encoded(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", t
     repeated, told apart by row_id. An empty table gives an empty result. Other
     columns aren't looked at.
     """
+    return _finished(docs, ranks, pattern, doc_id, text, size, overlap, _ids, IDS)
+
+
+def _finished(docs: DataFrame, ranks: str, pattern: str, doc_id: str, text: str, size: int, overlap: int, finish: Finish, schema: str) -> DataFrame:
+    """What ``finish`` makes of every row's ids where they come about: a second mapInArrow would keep a second Python worker for each running task, with encoder and batches of its own."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     long = F.char_length("text") > size
-    short = rows.where(~long).mapInArrow(_whole(ranks, pattern), "row_id long, doc_id long, ids binary")
+    short = rows.where(~long).mapInArrow(_whole(ranks, pattern, finish), schema)
     chunks = stage(rows.where(long).mapInArrow(_cut(size, overlap), "row_id long, doc_id long, chunk int, begin int, own int, last boolean, text string"), "chunks")
     cut_out = pieces_of(*stitched(chunks, pattern, overlap))
     done = cut_out.mapInArrow(_pieces(ranks, pattern), "row_id long, doc_id long, start int, ids binary")
-    together = done.groupBy("row_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "ids"))).alias("parts")).mapInArrow(_joined, "row_id long, doc_id long, ids binary")
+    together = done.groupBy("row_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "ids"))).alias("parts")).mapInArrow(_joined(finish), schema)
     return short.unionByName(together)
 
 
-def _round_trip(ranks: str, pattern: str, with_ids: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digests(ranks: str, pattern: str, with_ids: bool) -> Finish:
+    def finish(row_id: pa.Array, doc_id: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
         tokens = token_bytes(ranks, pattern)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                raw = part.column("ids").to_pylist()
-                ids = [np.frombuffer(x, "<u4") for x in raw]
-                columns = [part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw]), pa.array([hashlib.sha256(decode(x, tokens)).hexdigest() for x in ids])]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    columns, names = [*columns, part.column("ids")], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+        decoded = [hashlib.sha256(decode(np.frombuffer(x, "<u4"), tokens)).hexdigest() for x in ids]
+        columns = [doc_id, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array(decoded, pa.string())]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], [*names, "ids"]) if with_ids else pa.RecordBatch.from_arrays(columns, names)
 
-    return run
+    return finish
 
 
 def round_trip(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """Tokens, SHA-256 of the ids and of the bytes that the ids decode to, a row for each row of ``docs``; with_ids: the ids, too."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    return encoded(docs, ranks, pattern, doc_id, text).mapInArrow(_round_trip(ranks, pattern, with_ids), schema)
+    return _finished(docs, ranks, pattern, doc_id, text, CHUNK, OVERLAP, _digests(ranks, pattern, with_ids), schema)

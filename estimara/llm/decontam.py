@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, byte_class, bytes_of, gram_hashes, numbered, slices, small, small_batches, stage, word_hashes, words_in
+from .shared import LOWER, byte_class, bytes_of, gram_hashes, numbered, release, slices, small, small_batches, stage, word_hashes, words_in
 
 WORD = byte_class(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]")
 WINDOW, GRAM = 10, 5
@@ -82,6 +82,7 @@ def _candidates(prints, gram: int):
                 for (d, digest), where in per.items():
                     hits[d].append({"digest": digest, "span": span, "at": where})
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row_id", "doc_id", "text_hash")), pa.array(np.diff(first), pa.int64()), pa.array(hits, kind)], ["row_id", "doc_id", "text_hash", "n_words", "hits"])
+        release()
 
     return run
 

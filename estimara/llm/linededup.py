@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import numbered, partitions, slices, stage
+from .shared import numbered, partitions, release, slices, stage
 
 #: Code points that a key must have.
 MIN_CHARS = 10
@@ -44,6 +44,7 @@ def _keys(min_chars: int):
             if out:
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.list_(pa.int32()))], ["hi", "lo", "doc_id", "text_hash", "n_lines", "lines"])
+        release()
 
     return run
 
@@ -148,6 +149,7 @@ def _texts(column: str):
             kept = [None if null else kept_text(t, m)[0] for t, m, null in zip(texts.to_pylist(), batch.column("keep").to_pylist(), batch.column(column).is_null().to_pylist())]
             i = batch.schema.get_field_index(column)
             yield batch.set_column(i, column, pa.array(kept, pa.binary()).cast(pa.string())).drop_columns(["keep"])
+        release()
 
     return run
 

@@ -32,6 +32,16 @@ def test_byte_bpe(odd, empty, size, overlap):
         assert sorted((r.doc_id or -1, r.decoded_sha256) for r in rows) == sorted((r.doc_id or -1, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in odd.collect())
 
 
+def test_ids_are_judged_where_they_come_about(odd):
+    """One Python worker a running task: whole short texts, pieces, and long texts put together, each with its digests; and as those of the ids."""
+    made = bpe.round_trip(odd, RANKS, P.PATTERN, with_ids=True)
+    assert made._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 3
+    want = sorted((r.doc_id or -1, bytes(r.ids)) for r in bpe.encoded(odd, RANKS, P.PATTERN).collect())
+    rows = made.collect()
+    assert sorted((r.doc_id or -1, bytes(r.ids)) for r in rows) == want
+    assert all(r.n_tokens == len(r.ids) // 4 and r.ids_sha256 == hashlib.sha256(bytes(r.ids)).hexdigest() for r in rows)
+
+
 def test_texts_are_encoded_like_the_library_does():
     path = P.path("word_bpe_49k.json")
     library, coder = Tokenizer.from_file(path), tokenfile.WordCoder(path)
