@@ -16,6 +16,8 @@ MISSING = ("", "na", "n/a", "nan", ".", "null", "none")
 #: A number as text. Spark's cast alone would take 1d and 1f.
 NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|infinity)$"
 CATEGORIES = 10
+#: Rows that are looked at first; what they can't settle of a column is asked of all rows.
+FIRST_ROWS = 1000
 
 
 @dataclass
@@ -70,9 +72,9 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) ->
         raise StatError("invalid_request", "The file is empty.", "A header line is needed.", "Check the file.")
     head = first[0].lstrip("\ufeff").rstrip("\r")
     sep = guess_delimiter(head)
-    found = records(spark, path, sep) if multi_line is None else None
+    found, across = records(spark, path, sep) if multi_line is None else (None, False)
     if multi_line is None:
-        multi_line = found is None and spark.read.text(path).where((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1).limit(1).count() > 0
+        multi_line = found is None and across
     options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": str(multi_line).lower(), "mode": "PERMISSIVE"}
     header = spark.read.options(**options | {"multiLine": "true"} if found is not None else options).csv(path).first()
     names, issues = clean_names([(x or "").lstrip("\ufeff") for x in header])
@@ -85,19 +87,27 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) ->
     missing = {n: F.col(n).isNull() | cell[n].isin(*MISSING) for n in names}
     numeric = {n: cell[n].rlike(NUMBER) for n in names}
     value = {n: F.when(~missing[n] & numeric[n], cell[n].try_cast("double")) for n in names}
+    first = raw.limit(FIRST_ROWS).agg(*(f for i, n in enumerate(names) for f in (F.bool_and(missing[n] | numeric[n]).alias(f"n{i}"), F.slice(F.collect_set(F.when(~missing[n], F.col(n))), 1, CATEGORIES + 1).alias(f"v{i}")))).first()
+    # A column is text by one text, and has many values by some; all rows are asked for the rest only, and only by sums that compile.
+    text = {n for i, n in enumerate(names) if first[f"n{i}"] is False}
+    known = {n: first[f"v{i}"] for i, n in enumerate(names) if len(first[f"v{i}"]) <= CATEGORIES}
     checks = [F.count("*").alias("__rows"), F.count("__bad").alias("__ragged")]
-    for n in names:
-        checks += [F.bool_and(missing[n] | numeric[n]).alias(f"{n}__number"), F.approx_count_distinct(F.when(~missing[n], F.col(n)), 0.02).alias(f"{n}__distinct"), F.bool_and(F.when(~missing[n] & numeric[n], value[n] == F.rint(value[n]))).alias(f"{n}__whole"), F.max(F.abs(value[n])).alias(f"{n}__most")]
+    checks += [F.bool_and(numeric[n] | missing[n]).alias(f"{n}__number") for n in names if n not in text]
+    for n, values in known.items():
+        checks.append(F.bool_and(missing[n] | F.col(n).isin(*values)).alias(f"{n}__known"))
+        if n not in text:
+            checks += [F.bool_and(F.when(~missing[n] & numeric[n], value[n] == F.rint(value[n]))).alias(f"{n}__whole"), F.max(F.abs(value[n])).alias(f"{n}__most")]
     got = raw.agg(*checks).first()
     if got["__ragged"]:
         issues.append(f"{got['__ragged']} rows have more or fewer fields than the header.")
     out = []
     for n in names:
-        if got[f"{n}__number"] is not False:
-            few = got[f"{n}__distinct"] <= CATEGORIES and got[f"{n}__whole"] and (got[f"{n}__most"] or 0) < 2**53
-            out.append(value[n].alias(n, metadata={"semantic": "categorical" if few else "continuous"}))
+        few = n in known and (got[f"{n}__known"] is not False or raw.where(~missing[n]).select(n).distinct().limit(CATEGORIES + 1).count() <= CATEGORIES)
+        if n not in text and got[f"{n}__number"] is not False:  # every cell that isn't missing is a number
+            few = few and got[f"{n}__whole"] and (got[f"{n}__most"] or 0) < 2**53
+            out.append(F.when(~missing[n], cell[n].try_cast("double")).alias(n, metadata={"semantic": "categorical" if few else "continuous"}))
         else:
-            out.append(F.when(~missing[n], F.col(n)).alias(n, metadata={"semantic": "categorical" if got[f"{n}__distinct"] <= CATEGORIES else "identifier"}))
+            out.append(F.when(~missing[n], F.col(n)).alias(n, metadata={"semantic": "categorical" if few else "identifier"}))
     return raw.select(*out), ImportReport(got["__rows"], len(names), sep, issues)
 
 

@@ -142,24 +142,24 @@ def _cut(sep: str, inside: dict[tuple[str, int], int]):
     return run
 
 
-def records(spark: SparkSession, path: str, sep: str) -> DataFrame | None:
-    """``text``: each record of the files but their first, without its last line break; None if all are single lines, or lines end in lone carriage returns.
+def records(spark: SparkSession, path: str, sep: str) -> tuple[DataFrame | None, bool]:
+    """``text``: each record of the files but their first, without its last line break; None if all are single lines, or lines end in lone carriage returns. And whether quotes may go on over lines.
 
     The driver gets a row for each split. A record as long as several splits is
     put together in one task, as it is one row.
     """
     lines = lines_of(spark, path)
-    odd = F.sum((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2)
-    n_odd, lone = lines.agg(F.coalesce(odd, F.lit(0)), F.coalesce(F.bool_or(F.rtrim("value").rlike("\r[^\r]")), F.lit(False))).first()
+    odd = F.sum((F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"')))) % 2)
+    n_odd, lone = lines.agg(F.coalesce(odd, F.lit(0)), F.coalesce(F.bool_or(F.contains("value", F.lit("\r")) & F.rtrim("value").rlike("\r[^\r]")), F.lit(False))).first()
     if not n_odd or lone:
-        return None
+        return None, bool(n_odd)
     splits = [tuple(r) for r in lines.mapInArrow(_ends(sep), "file string, start long, outside byte, inside byte, closes boolean").collect()]
     inside, _ = beginnings(splits)
     cut = lines.mapInArrow(_cut(sep, inside), "file string, owner long, start long, kind byte, text string")
     whole = cut.where(F.col("kind") == RECORD).select("text")
     if not inside:
-        return whole.unionByName(cut.where(F.col("kind") == OPEN).select("text"))  # a file may end inside quotes
+        return whole.unionByName(cut.where(F.col("kind") == OPEN).select("text")), True  # a file may end inside quotes
     parts = stage(cut.where(F.col("kind") != RECORD), "record-parts")
     joined = parts.groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "text"))).alias("parts"))
     crossing = joined.select(F.regexp_replace(F.array_join(F.transform("parts", lambda p: p["text"]), "\n"), "\r$", "").alias("text"))
-    return whole.unionByName(crossing)
+    return whole.unionByName(crossing), True

@@ -80,3 +80,24 @@ def test_a_record_over_many_splits_and_an_open_end(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert rows[1.0] == "line of text\n" * 50 and rows[2.0].startswith("never closed\nuntil the end")
+
+
+def test_roles_count_values_exactly(spark, tmp_path):
+    """Eleven values that a sketch takes for ten; values that come after the first rows; a text and an eleventh value in the last row only."""
+    start = 11 * 45
+    rows = [f"{start + i % 11},{i >= 2000},{3 if i < 2000 else i % 7},{4 if i < 2000 else i % 10},{'x' if i == 2999 else 5},{99 if i == 2999 else i % 10},{'' if i % 2 else 'NA'}" for i in range(3000)]
+    (tmp_path / "r.csv").write_text("eleven,text,late,ten,last,over,none\n" + "\n".join(rows) + "\n")
+    table, report = csvio.read_csv(spark, f"{tmp_path}/r.csv")
+    roles = {f.name: (f.dataType.simpleString(), f.metadata["semantic"]) for f in table.schema.fields}
+    number, text = ("double", "categorical"), ("string", "categorical")
+    assert roles == {"eleven": ("double", "continuous"), "text": text, "late": number, "ten": number, "last": text, "over": ("double", "continuous"), "none": ("double", "continuous")}
+    assert report.rows == 3000 and table.agg({"over": "max", "last": "max", "none": "count"}).first().asDict() == {"max(over)": 99.0, "max(last)": "x", "count(none)": 0}
+
+
+def test_one_pass_tells_of_quotes_and_one_of_columns(spark, tmp_path, monkeypatch):
+    """Lines are looked through once where no quotes go on over lines; the columns' sums are compiled, without sketches."""
+    (tmp_path / "q.csv").write_text("a,b\n" + '1,"x, y"\n' * 50)
+    read, seen = type(spark.read).text, []
+    monkeypatch.setattr(type(spark.read), "text", lambda *a, **k: seen.append(a) or read(*a, **k))
+    assert csvio.read_csv(spark, f"{tmp_path}/q.csv")[0].count() == 50
+    assert len(seen) == 2  # the header line, and all lines
