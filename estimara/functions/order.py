@@ -22,8 +22,9 @@ from ..plans.staging import stage
 FEW_LAGS = 16
 #: Rows of a block of such products, at least.
 BLOCK_ROWS = 1 << 14
-#: (variable, value) cells of a range where several variables are ranked.
-RANGE_CELLS = 4_000_000
+#: (variable, value) cells of a range, and rows of a part that ranks are put together in.
+RANGE_CELLS = 1_000_000
+PART_ROWS = 500_000
 
 
 def equal_neighbours(columns: list[pa.Array]) -> np.ndarray:
@@ -229,7 +230,9 @@ def ranked(df: DataFrame, names: list[str]) -> DataFrame:
     cells = local.join(F.broadcast(offsets), ["part", "v"]).select("id", "v", rank.alias("rank"))
     if k == 1:
         return cells.select(F.col("rank").alias(names[0]))
-    return cells.groupBy("id").agg(*(F.max(F.when(F.col("v") == i, F.col("rank"))).alias(name) for i, name in enumerate(names))).drop("id")
+    # As many parts as the rows need, not as the session has: each row's cells meet in one, and none are added up before.
+    dealt = cells.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // PART_ROWS)), "id")
+    return dealt.groupBy("id").agg(*(F.max(F.when(F.col("v") == i, F.col("rank"))).alias(name) for i, name in enumerate(names))).drop("id")
 
 
 def dense_index(df: DataFrame, order: list[str], name: str = "__index") -> DataFrame:

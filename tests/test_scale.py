@@ -118,6 +118,16 @@ def test_orders_with_equal_nans_are_refused(spark):
     assert order.autocovariances(df.limit(0), ["t"], ["x"], 1).n == 0
 
 
+def test_ranks_take_parts_by_rows(spark, monkeypatch):
+    """Ranks are put together in as many parts as the rows need, however many the session names."""
+    monkeypatch.setattr(order, "PART_ROWS", 50, raising=False)
+    x = np.random.default_rng(3).integers(0, 40, (600, 2)).astype(float)
+    got = order.ranked(frame_of(spark, x, ["a", "b"]), ["a", "b"])
+    assert got.rdd.getNumPartitions() == 12
+    own = lambda v: (v[:, None] > v).sum(1) + ((v[:, None] == v).sum(1) + 1) / 2
+    assert sorted(tuple(r) for r in got.collect()) == sorted(zip(own(x[:, 0]), own(x[:, 1])))
+
+
 @pytest.mark.parametrize("parts", [1, 3, 30])
 def test_ranks_of_several_columns(spark, parts):
     """Values that many rows share span ranges."""
